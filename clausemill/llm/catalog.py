@@ -1,7 +1,7 @@
 """All queries of the corpus operators and their SQL."""
 
-from clausemill.llm import licenses, mixing
+from clausemill.llm import langid, licenses, mixing, toxicity
 
-_MODULES = (licenses, mixing)
+_MODULES = (licenses, toxicity, langid, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

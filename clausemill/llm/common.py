@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -75,3 +76,22 @@ def n_words(text: Column) -> Column:
 def sql_n_words(text: str) -> str:
     """The same in DuckDB."""
     return f"CAST(len(regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT)"
+
+
+def map_rows(df: DataFrame, columns: Sequence[str], fn: Callable[..., Iterable], schema: str) -> DataFrame:
+    """``fn`` gets the lists of ``columns`` of an Arrow batch and returns the output columns as lists or arrays."""
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(schema)
+    names = [f.name for f in fields]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        want = to_arrow_schema(fields)
+        for b in batches:
+            out = fn(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns))
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=want.field(n).type) for n, x in zip(names, out, strict=True)], schema=want)
+
+    return df.select(*dict.fromkeys(columns)).mapInArrow(run, fields)
