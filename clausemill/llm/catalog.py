@@ -1,7 +1,7 @@
 """All queries of the corpus operators and their SQL."""
 
-from clausemill.llm import langid, licenses, mixing, quality, toxicity
+from clausemill.llm import langid, licenses, mixing, quality, simhash, toxicity
 
-_MODULES = (licenses, toxicity, quality, langid, mixing)
+_MODULES = (licenses, toxicity, quality, langid, simhash, mixing)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
