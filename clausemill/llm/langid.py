@@ -64,6 +64,12 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate((cp[inner], two, three[inner[1:-1]])), return_counts=True)
 
 
+def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several texts together."""
+    codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return codes, np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
+
+
 def ranked(codes: np.ndarray, counts: np.ndarray, ranks: int = RANKS) -> np.ndarray:
     """The most frequent codes, most frequent first, ties by code."""
     return codes[np.lexsort((codes, -counts))[:ranks]]
@@ -113,13 +119,15 @@ def fit(docs: DataFrame, ranks: int = RANKS, per_language: int = PER_LANGUAGE) -
     def count(langs: list, texts: list) -> Iterable:
         per: dict[str, list] = {}
         for lang, text in zip(langs, texts, strict=True):
-            per.setdefault(lang, []).append(ngrams(text))
+            parts = per.setdefault(lang, [])
+            parts.append(ngrams(text))
+            if len(parts) >= 64:  # so that memory holds the distinct n-grams, not those of a whole batch
+                parts[:] = [_added(parts)]
         out = [[], [], []]
         for lang, parts in per.items():
-            codes, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-            counts = np.bincount(at, np.concatenate([n for _, n in parts]), len(codes)).astype(np.int64)
-            for x, y in zip(out, ([lang] * len(codes), codes.tolist(), counts.tolist()), strict=True):
-                x += y
+            codes, counts = _added(parts)
+            for x, y in zip(out, ([lang] * len(codes), codes, counts), strict=True):
+                x.extend(y)
         return out
 
     grams = common.map_rows(sample, ["lang", "text"], count, "lang string, code long, n long")
