@@ -1,7 +1,7 @@
 """All queries of the corpus operators and their SQL."""
 
-from clausemill.llm import decontaminate, langid, licenses, mixing, quality, simhash, toxicity
+from clausemill.llm import decontaminate, langid, licenses, mixing, pii, quality, simhash, toxicity
 
-_MODULES = (licenses, toxicity, quality, langid, simhash, mixing, decontaminate)
+_MODULES = (licenses, toxicity, quality, langid, simhash, pii, mixing, decontaminate)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}
