@@ -88,5 +88,24 @@ def exchange(rows: DataFrame, answer: Callable[[int, list[tuple[int, str, bytes]
     return rows.select("to", "from", "kind", "data").repartition("to").sortWithinPartitions("to", "from", "kind").mapInArrow(run, fields)
 
 
+def each(rows: DataFrame, fn: Callable[[int, list[tuple[int, str, bytes]]], Iterable[tuple]]) -> DataFrame:
+    """``fn`` over every row by itself, without a shuffle."""
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(SCHEMA)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        want = to_arrow_schema(fields)
+        for b in batches:
+            for to, frm, kind, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                if out := list(fn(to, [(frm, kind, data)])):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), want.types, strict=True)], schema=want)
+
+    return rows.select("to", "from", "kind", "data").mapInArrow(run, fields)
+
+
 def of(kind: str) -> object:
     return F.col("kind") == kind

@@ -173,26 +173,7 @@ def _ask_words(rows: DataFrame, n: int) -> DataFrame:
                 mine = bucket == b
                 yield int(b), chunk, "words", blobs.pack(words[mine], blobs.small(counts[mine]))
 
-    return _each(rows, ask)
-
-
-def _each(rows: DataFrame, fn) -> DataFrame:
-    """``fn`` over every row by itself, without a shuffle."""
-    from pyspark.sql.types import StructType
-
-    fields = StructType.fromDDL(blobs.SCHEMA)
-
-    def run(batches):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        want = to_arrow_schema(fields)
-        for b in batches:
-            for to, frm, kind, data in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if out := list(fn(to, [(frm, kind, data)])):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), want.types, strict=True)], schema=want)
-
-    return rows.select("to", "from", "kind", "data").mapInArrow(run, fields)
+    return blobs.each(rows, ask)
 
 
 def _totals(answers: DataFrame) -> np.ndarray:
