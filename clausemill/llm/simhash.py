@@ -145,6 +145,25 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return classes(common.keep(fingerprints(docs, shingle), "simhash"), distance)
 
 
+def dedupe(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The documents, one of each class: the one with the smallest id; all columns kept.
+
+    Repeated rows (same id and text) stay once. Rows without an id stay, once per text, unless a
+    document with an id is in their class.
+    """
+    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
+    stay = common.keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "stay")
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    if stay.where("_id is null").limit(1).count():  # only then can rows with and without a class id be mixed up
+        alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp")).distinct()
+        nulls = docs.where("doc_id is null").withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "_row")
+        types = nulls.schema["_row"].dataType.simpleString()
+        held = common.map_rows(nulls.select(F.col("text"), F.to_json("_row").alias("_json")), ["text", "_json"], lambda t, j: [[fingerprint(x, shingle) for x in t], j], "_fp long, _json string")
+        back = held.join(alone, "_fp", "left_semi").select(F.from_json("_json", types).alias("_row")).select("_row.*")
+        kept = docs.where("doc_id is not null").join(stay, docs.doc_id == stay._id, "left_semi").unionByName(back)
+    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(common.read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
