@@ -1,0 +1,395 @@
+"""Every operator against a brute-force version, on odd and repeated texts and on empty tables."""
+
+import collections
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+
+from clausemill.llm import common, decontaminate, katz, langid, licenses, mixing, pii, quality, simhash, substrings, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+def as_dict(df):
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def size_of(t):
+    return len(WORD.findall(t or ""))
+
+
+def test_n_words(spark, docs, rows):
+    got = [r[0] for r in docs.select(common.n_words(docs.text)).collect()]
+    assert got == [size_of(r[1]) for r in rows]
+
+
+def test_mix_targets_by_hand(spark):
+    sizes = spark.createDataFrame([("b", 100), ("a", 10), (None, 50), ("c", 0)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    # Weights a 5, b 2, c 1, null 5; a stops at 30 and c at 0; 130 left for b and null by 2 : 5.
+    assert got["a"] == 30 and got["c"] == 0
+    assert got["b"] == pytest.approx(130 * 2 / 7) and got[None] == pytest.approx(130 * 5 / 7)
+    assert sum(got.values()) == pytest.approx(160)
+
+
+def test_mix(spark, docs, rows):
+    out = mixing.plan(docs.select("doc_id", "text", "source")).collect()
+    assert len(out) == len(rows)
+    again = mixing.plan(docs.select("doc_id", "text", "source").repartition(7)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    for r in out:
+        assert r["taken"] == r["copies"] * r["size"] and r["taken"] <= 3 * r["size"]
+        rate = r["target"] / r["source_size"] if r["source_size"] else 0
+        assert r["copies"] in (math.floor(rate), math.floor(rate) + 1)
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    assert mixed.count() == sum(r["copies"] for r in out)
+
+
+@pytest.mark.parametrize(
+    "text, ids, found, unmatched",
+    [
+        ("Prose.\nReleased under the MIT License.\nMore.", "MITref", "MIT", 0),
+        ("Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with the License.", "Apache2ref,ApacheUse", "Apache-2.0", 0),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL3ref", "GPL-3.0", 0),
+        ("Licensed under CC BY-NC 4.0.", "CCBYNC4ref", "CC-BY-NC-4.0", 0),
+        ("You may not use this file except in compliance with the License.", "ApacheUse", "", 1),
+        ("Released under the MIT License. Licensed under CC BY 4.0.", "MITref,CCBY4ref", "MIT,CC-BY-4.0", 0),
+        ("a licensed plumber", "", "", 0),
+        (None, "", "", 0),
+        ("", "", "", 0),
+    ],
+)
+def test_licenses(spark, text, ids, found, unmatched):
+    r = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (r["sentence_ids"], r["licenses"], r["n_unmatched"]) == (ids, found, unmatched)
+
+
+def test_quality_base(rows):
+    def brute(t):
+        w = WORD.findall(t or "")
+        c = collections.Counter(zip(w, w[1:], w[2:]))
+        hit = {j for i in range(len(w) - 2) if c[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(hit)
+
+    for _, t, *_ in [*rows, (0, "\x1c a\x85b c d # x"), (0, "p q r p q r s\n\n")]:
+        assert quality.base(t) == brute(t)
+
+
+def test_quality_measures():
+    n, per, share, bits = quality.fertility("hello world hello world")
+    assert n > 0 and per > 3 and share == 0 and 0 < bits <= 1
+    assert quality.fertility("ꙮꙮ")[2] == 1.0
+    assert quality.fertility(None) == (0, None, None, None)
+    assert [quality.script(x) for x in ("abc", "где abc где", "")] == ["Latin", "Cyrillic", "Latin"]
+
+
+def test_quality(spark, docs, rows):
+    out = quality.judge(common.keep(quality.measure(docs.select("doc_id", "lang", "text")), "q")).collect()
+    assert len(out) == len(rows)
+    assert all(not r["kept"] for r in out if r["base_failed"]) and all(r["base_failed"] for r in out if r["n_words"] < 50)
+
+
+def test_quality_rejects_noise(spark):
+    words = "the quick brown fox jumps over lazy dog while many other animals of forest look at it and wonder what this means to them all in spring".split()
+    rng = np.random.default_rng(2)
+    texts = [(i, "en", " ".join(rng.choice(words, 80))) for i in range(30)]
+    noise = (99, "en", " ".join(f"{w}%%%#" for w in rng.choice(words, 80)))
+    got = as_dict(quality.judge(common.keep(quality.measure(spark.createDataFrame([*texts, noise], "doc_id long, lang string, text string")), "q")))
+    assert got[99]["rejected_by"] and not got[99]["kept"] and all(got[i]["kept"] for i in range(30))
+
+
+def test_language(spark, docs, rows):
+    a = "the cat sat on the mat and the dog ran to the house with the children"
+    b = "der hund und die katze sind in dem haus und das kind ist nicht hier"
+    train = spark.createDataFrame([(i, t, lang) for i in range(20) for t, lang in ((a, "en"), (b, "de"))] + [(None, a, "xx"), (5, "ccc", None)], "doc_id long, text string, lang string")
+    profiles = langid.fit(train)
+    assert profiles.languages == ["de", "en"]
+    test = spark.createDataFrame([(1, "the dog sat"), (2, "und die katze"), (3, None), (4, "12 34"), (5, ""), (5, "")], "doc_id long, text string")
+    got = langid.identify(test, profiles).collect()
+    assert [r["lang_pred"] for r in got] == ["en", "de", "und", "und", "und", "und"]
+    assert all(0 <= r["score"] <= 1 for r in got)
+    assert len(langid.identify(docs.select("doc_id", "text"), profiles).collect()) == len(rows)
+    nothing = langid.fit(train.where("false"))
+    assert langid.identify(test, nothing).first()["lang_pred"] == "und"
+
+
+def test_out_of_place_distance():
+    text = "banana bandana"
+    codes, counts = langid.ngrams(text)
+    brute = collections.Counter()
+    for w in text.split():
+        brute.update(w)
+        p = f" {w} "
+        brute.update(p[i : i + 2] for i in range(len(p) - 1))
+        brute.update(p[i : i + 3] for i in range(len(p) - 2))
+    name = lambda c: "".join(chr((c >> s) & 0x1FFFFF) for s in (42, 21, 0) if c >> s)
+    assert {name(int(c)): int(n) for c, n in zip(codes, counts, strict=True)} == brute
+    top = langid.ranked(codes, counts, 20).tolist()
+    p = langid.Profiles({"x": top[::-1], "y": top}, 20)
+    assert p.predict(text)[0] == "y" and p.predict(text)[2] == 0
+
+
+def test_toxicity_folding():
+    f = toxicity.fold
+    assert f("Id10t!") == f("IDIOT") == " idiot " and f("ïdïöt") == " idiot " and f("іdіоt") == " idiot "
+    assert f("moron### $$$ x") == " moron x " and f(None) == " "
+
+
+def test_toxicity_lexicon():
+    lex = toxicity.Lexicon({" idio": 5.0, " trash ": 4.0}, model=(-3.0, 1.0, 1.0, 0.5, 1.0))
+    assert lex.features("you idiots, idiotic")[0] == 10.0
+    assert lex.features("the trash can is trash")[3] == 1  # the first stands in an exception phrase
+    assert lex.features("trashy")[3] == 0
+    assert lex.score("an idiot")[0] > 0.7 > lex.score("a saint")[0] and lex.score(None) == lex.score("")
+
+
+def test_toxicity(spark):
+    words = [f"w{i}ord" for i in range(200)]
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join(rng.choice(words, 60)) + (" you scumbag fool" if i % 4 == 0 else "")) for i in range(400)]
+    docs = spark.createDataFrame([*rows, (900, None), (901, ""), (902, "5cumb4g")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400) if i % 3] + [(1, None), (None, 1)], "doc_id long, toxic int")
+    got = as_dict(toxicity.score(docs, toxicity.fit(docs, labels)))
+    assert len(got) == 403 and all(got[i]["predicted"] == int(i % 4 == 0) for i in range(400))
+    assert got[902]["predicted"] == 1 and got[900]["predicted"] == got[901]["predicted"] == 0
+    none = toxicity.score(docs, toxicity.fit(docs, labels.where("false")))
+    assert none.where("score != 0").count() == 0
+
+
+def fingerprint(t):
+    w = WORD.findall(lower(t))
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+    return sum(1 << b for b in range(64) if h and 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def components(fps, distance):
+    ids = sorted(fps)
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            if bin(fps[a] ^ fps[b]).count("1") <= distance:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_simhash(spark, unique):
+    want = {r["doc_id"]: fingerprint(r["text"]) for r in unique.collect()}
+    got = as_dict(simhash.near_duplicates(unique))
+    assert {i: r["fp"] % (1 << 64) for i, r in got.items()} == want
+    assert {i: r["component_id"] for i, r in got.items()} == components(want, 3)
+
+
+@pytest.mark.parametrize("chunk", [3, 2048])
+def test_simhash_dense_groups(spark, chunk, monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 2**62, 6)
+    fps = {}
+    for i in range(300):
+        x = int(centres[i % 6]) if i < 240 else int(rng.integers(0, 2**62))
+        for b in rng.choice(64, rng.integers(0, 4), replace=False):
+            x ^= 1 << int(b)
+        fps[i] = x
+    monkeypatch.setattr(simhash.links, "__defaults__", (3, 6, chunk))
+    df = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in fps.items()], "doc_id long, fp long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.classes(df).collect()}
+    assert got == components(fps, 3)
+
+
+def test_simhash_odd_rows(spark, docs, rows):
+    assert simhash.near_duplicates(docs.select("doc_id", "text")).count() == len(rows)
+    kept = simhash.dedupe(docs)
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert kept.columns == docs.columns and len(ids) == len(set(ids))
+    assert simhash.dedupe(docs.where("false")).count() == 0
+
+
+def private(t):
+    def luhn(d):
+        s = [int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))]
+        return sum(s) % 10 == 0
+
+    digits = lambda m: re.sub("[^0-9]", "", m)
+    kinds = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(digits(m)) <= 19 and luhn(digits(m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(digits(m)) <= 15),
+    }
+    return [f"{k}:{m.start()}:{m.end()}" for k, (p, ok) in kinds.items() for m in re.finditer(p, t or "") if ok(m[0])]
+
+
+PRIVATE = [
+    "mail a.b+c@x-y.co.uk, and q@r.s_t@u.v; %x@y.z.",
+    "a@b.c@d.e a@@b.c @x.y",
+    "1.2.3.4.5.6.7.8 256.1.1.1 0001.02.3.4 12.3.4",
+    "card 4111 1111 1111 1111 or 4111-1111-1111-1112, 4111111111111111 4111111111111111",
+    "+1 (555) 010-9999 and +44 20.7946.0958- +1 2 +12345678901234567",
+    "😀 é x@y.zz 😀 10.0.0.1",
+    "9" * 3000 + " " + "1 " * 3000 + "a." * 2000 + "@" + "b." * 2000 + "c",
+    "+" + "(" * 2000,
+]
+
+
+def test_pii_base(spark, docs, rows):
+    texts = PRIVATE + [r[1] for r in rows]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = as_dict(pii.digest(pii.spans(df)))
+    for i, t in enumerate(texts):
+        want = private(t)
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest(), t
+        assert [got[i][f"n_{k}"] for k in pii.KINDS] == [sum(x.startswith(k) for x in want) for k in pii.KINDS]
+
+
+def test_pii_terms(spark):
+    rows = [(i, f"filler{i} number {i} words here agent Zebulon writes from jo@ex.org now text{i} ending") for i in range(6)]
+    rows += [(100 + i, f"plain{i} words here agent writes from now") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = as_dict(pii.spans(df))
+    for i in range(6):
+        assert {rows[i][1][x["s"] : x["e"]] for x in got[i]["terms"]} == {"Zebulon", "number", "ending"}
+    assert not any(got[100 + i]["terms"] for i in range(60))
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df).collect()}
+    assert clean[0] == "filler0 [TERM] 0 words here agent [TERM] writes from [EMAIL] now text0 [TERM]"
+    assert clean[100] == rows[6][1]
+
+
+def test_pii_odd_rows(spark, docs, rows):
+    assert pii.spans(docs.select("doc_id", "text")).count() == len(rows)
+    out = pii.sanitise(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    assert pii.sanitise(docs.where("false")).count() == 0
+
+
+def repeated(rows):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        b, gone = (t or "").encode(), set()
+        for p in range(len(b) - 99):
+            w = b[p : p + 100]
+            if w in seen:
+                gone.update(range(p, p + 100))
+            seen.add(w)
+        out[i] = (len(b), len(gone), sum(k - 1 not in gone for k in gone), hashlib.sha256(bytes(x for k, x in enumerate(b) if k not in gone)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(2 << 20, 2 << 20, 1 << 19), (2000, 300, 5)])
+def test_substrings(spark, unique, sizes, monkeypatch):
+    for k, v in zip(("CHUNK", "SEGMENT", "BUCKET"), sizes, strict=True):
+        monkeypatch.setattr(substrings, k, v)
+    extra = [(500, "ab" * 400), (501, "x" + "ab" * 400), (502, "é" * 120), (503, "y" * 99), (504, "y" * 100), (505, "z" * 700)]
+    df = unique.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    want = repeated([tuple(r) for r in df.collect()])
+    got = substrings.repeats(df, texts=True).collect()
+    assert {r["doc_id"]: (r["n_bytes"], sum(b - a for a, b in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in got} == want
+    assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
+
+
+def test_substrings_odd_rows(spark, docs, rows):
+    assert substrings.repeats(docs).count() == len(rows)
+    assert substrings.repeats(docs.where("false")).count() == 0
+
+
+def test_decontaminate(spark, docs, rows):
+    w = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    items = [(1, " ".join(rows[2][1].split()[:30])), (10, rows[65][1]), (2, "Word"), (3, None), (4, ""), (None, rows[3][1]), (2, "Word"), (5, "one two three one"), (6, "of no document at all")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = collections.defaultdict(set)
+    for i, t in items:
+        x = w(t)
+        n = min(10, len(x))
+        if i is not None and n:
+            for k in range(len(x) - n + 1):
+                windows[tuple(x[k : k + n])].add(str(i))
+    for most in (32 << 20, 64):  # in one block and in several
+        got = decontaminate.digest(decontaminate.scan(docs.select("doc_id", "text"), bench, most=most)).collect()
+        assert len(got) == len(rows)
+        by = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+        for i, t, *_ in rows:
+            if i is None:
+                continue
+            x, hit, found = w(t), set(), set()
+            for n in {len(k) for k in windows}:
+                for k in range(len(x) - n + 1):
+                    if f := windows.get(tuple(x[k : k + n])):
+                        hit.update(range(k, k + n))
+                        found |= f
+            want = (len(x), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit))
+            assert tuple(by[i][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and kept.count() == sum(not r["contaminated"] for r in got)
+    assert decontaminate.clean(docs, bench.where("false")).count() == len(rows)
+
+
+def brute_katz(rows):
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+    toks = {i: [*WORD.findall(lower(t)), None] for i, t in rows}
+    c1, c2 = collections.Counter(), collections.Counter()
+    for i, w in toks.items():
+        if not held[i]:
+            c1.update(w)
+            c2.update(zip(["<s>", *w[:-1]], w, strict=True))
+    tally = lambda c: np.bincount(np.minimum(list(c.values()) or [0], katz.TRUSTED + 2), minlength=katz.TRUSTED + 3)
+    d1, d2 = katz.discounts(tally(c1)), katz.discounts(tally(c2))
+    at = lambda d, c: d[min(c, katz.TRUSTED + 1)] * c
+    n = sum(c1.values())
+    left = sum(c - at(d1, c) for c in c1.values())
+    total, left = (n, left / n) if left > 0 else (n + 1, 1 / (n + 1))
+    p1 = lambda w: at(d1, c1[w]) / total if w in c1 else left
+    after = collections.defaultdict(dict)
+    for (h, w), c in c2.items():
+        after[h][w] = c
+
+    def p(h, w):
+        f = after.get(h)
+        if not f:
+            return p1(w)
+        lost, size = sum(c - at(d2, c) for c in f.values()), sum(f.values())
+        if lost <= 0:
+            lost, size = 1, size + 1
+        return at(d2, f[w]) / size if w in f else lost / size / (1 - sum(map(p1, f))) * p1(w)
+
+    for h in list(after)[:20]:
+        assert sum(p(h, w) for w in c1) + p(h, "never") == pytest.approx(1)
+    out = {}
+    for i, w in toks.items():
+        base = sum(math.log10((c1[x] + 0.5) / (n + 0.5 * (len(c1) + 1))) for x in w)
+        out[i] = (held[i], len(w), sum(x in c1 for x in w), n, base, sum(math.log10(p(h, x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True)))
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 20), (500, 100)])
+def test_katz(spark, unique, sizes, monkeypatch):
+    monkeypatch.setattr(katz, "CHUNK", sizes[0])
+    monkeypatch.setattr(katz, "BUCKET", sizes[1])
+    want = brute_katz([(r["doc_id"], r["text"]) for r in unique.collect()])
+    got = as_dict(katz.score(unique))
+    for i, w in want.items():
+        assert tuple(got[i])[1:5] == w[:2] + w[2:4]
+        assert got[i]["base_score"] == pytest.approx(w[4]) and got[i]["score"] == pytest.approx(w[5])
+
+
+def test_katz_odd_rows(spark, docs, rows):
+    assert katz.score(docs).count() == len(rows)
+    assert katz.score(docs.where("false")).count() == 0
+    held = next(i for i in range(100) if katz.held(i))
+    r = katz.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
+    assert r["train_tokens"] == 0 and r["n_known"] == 0 and r["score"] == 0
