@@ -62,12 +62,13 @@ def running(lens: Column) -> Column:
     return F.flatten(F.zip_with(parts, starts, lambda p, s: F.transform(p["a"], lambda x: x + s)))
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """Array of (m, s, e): every match of ``pattern`` with its start and end in code points.
 
     The pieces between the matches give the places, so no match is searched for again.
     """
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    matches = F.regexp_extract_all(text, pattern, 0)
     pieces = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
     before = running(F.zip_with(pieces, matches, lambda p, m: (F.length(p) + F.length(m)).cast("long")))
     zipped = F.arrays_zip(matches.alias("m"), pieces.alias("p"), before.alias("b"))

@@ -17,59 +17,60 @@ _SPAN = "array<struct<m:string,s:bigint,e:bigint,a:int>>"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 
 
-def alias_matches(norm: Column, p: Numeric) -> Column:
-    """All matches of all aliases, longer aliases first, then by place."""
-    none = F.array().cast(_SPAN)
+def _configured(params: Sequence[Numeric]) -> Column:
+    """The parameters as one constant array, so that the plan's size doesn't grow with the aliases."""
+    words = lambda w: F.array(*map(F.lit, w)).cast("array<string>")
 
-    def of(rank: int, alias: str) -> Column:
-        found = T.located(norm, T.quoted(alias) + "[^0-9]{0,6}?" + NUMBER + p.unit)
-        tagged = F.transform(found, lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["e"].alias("e"), F.lit(rank).alias("a")))
-        return F.when(F.contains(norm, F.lit(alias)), tagged).otherwise(none)
+    def of(i: int, p: Numeric) -> Column:
+        aliases = [F.struct(F.lit(k).alias("a"), F.lit(x).alias("alias"), F.lit(f"{T.quoted(x)}[^0-9]{{0,6}}?{NUMBER}{p.unit}").alias("pattern")) for k, x in enumerate(p.ranked())]
+        return F.struct(
+            F.lit(i).alias("p"), F.lit(p.id).alias("param_id"), F.lit(p.name).alias("name"), F.lit(p.category).alias("category"), F.lit(p.low).alias("low"), F.lit(p.high).alias("high"),
+            F.lit(p.metres).alias("metres"), F.array(*aliases).alias("aliases"), words(p.not_after).alias("guards"),
+        )
 
-    return F.concat(*[of(i, a) for i, a in enumerate(p.ranked())])
+    return F.array(*[of(i, p) for i, p in enumerate(params)])
 
 
-def accepted(norm: Column, p: Numeric) -> Column:
-    """Matches that overlap no accepted one and don't follow a guard word within four characters.
+def _named(norm: Column, aliases: Column) -> Column:
+    return F.filter(aliases, lambda a: F.contains(norm, a["alias"]))
+
+
+def accepted(norm: Column, config: Column) -> Column:
+    """Matches of a parameter, longer aliases first, then by place, that overlap no accepted one and
+    don't follow a guard word within four characters.
 
     A match out of the physical range holds its place too; a guarded one doesn't.
     """
+    found = F.transform(
+        _named(norm, config["aliases"]),
+        lambda a: F.transform(T.located(norm, a["pattern"]), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["e"].alias("e"), a["a"].alias("a"))),
+    )
+
     def guarded(x: Column) -> Column:
-        before = F.substr(norm, F.greatest(x["s"] - 3, F.lit(1)).cast("int"), F.least(x["s"], F.lit(4)).cast("int"))
-        return T.contains_any(F.when(x["s"] == 0, "").otherwise(before), p.not_after)
+        before = F.when(x["s"] == 0, "").otherwise(F.substr(norm, F.greatest(x["s"] - 3, F.lit(1)).cast("int"), F.least(x["s"], F.lit(4)).cast("int")))
+        return F.exists(config["guards"], lambda g: F.contains(before, g))
 
     def step(acc: Column, x: Column) -> Column:
         taken = F.exists(acc, lambda t: (t["s"] < x["e"]) & (x["s"] < t["e"]))
         return F.when(taken | guarded(x), acc).otherwise(F.array_append(acc, x))
 
-    return F.aggregate(alias_matches(norm, p), F.array().cast(_SPAN), step)
+    return F.aggregate(F.flatten(found), F.array().cast(_SPAN), step)
 
 
 def numeric(lines: DataFrame, params: Sequence[Numeric] = NUMERIC, units: dict[str, str] = UNITS) -> DataFrame:
-    """Every numeric fact: doc_id, line_no, param columns, value, unit, place, in_range (both sides of the range filter)."""
-    norm = lines.withColumn("_norm", T.normalise(F.col("text")))
-    gate = [T.contains_any(F.col("_norm"), p.aliases) for p in params]
-    any_ = gate[0]
-    for g in gate[1:]:
-        any_ = any_ | g
-    none = F.array().cast(_SPAN)
-    per = [_tag(F.when(g, accepted(F.col("_norm"), p)).otherwise(none), i) for i, (p, g) in enumerate(zip(params, gate, strict=True))]
-    hits = norm.where(any_).withColumn("_x", F.explode(F.concat(*per))).select(*lines.columns, "_x.*")
-    of = lambda f: F.element_at(F.array(*[F.lit(f(p)) for p in params]), F.col("p") + 1)
-    value = F.regexp_extract("m", f"({NUMBER})", 1).cast("double")
-    said = F.regexp_extract("m", f"{NUMBER}([^0-9]+)$", 1)
+    """Every numeric fact: the line's columns, the parameter's, value, unit, place, in_range (both sides of the range filter)."""
+    norm = lines.withColumn("_norm", T.normalise(F.col("text"))).where(T.contains_any(F.col("_norm"), [a for p in params for a in p.aliases]))
+    mine = F.filter(_configured(params), lambda p: F.size(_named(F.col("_norm"), p["aliases"])) > 0)
+    hits = norm.withColumn("_p", F.explode(mine)).withColumn("_x", F.explode(accepted(F.col("_norm"), F.col("_p"))))
+    hits = hits.select(*lines.columns, "_p.p", "_p.param_id", "_p.name", "_p.category", "_p.low", "_p.high", "_p.metres", "_x.a", "_x.s", F.col("_x.m").alias("raw_text"))
+    said = F.regexp_extract("raw_text", f"{NUMBER}([^0-9]+)$", 1)
     canon = said
     for k, v in units.items():
         canon = F.when(said == k, v).otherwise(canon)
-    shrink = (F.col("unit") == "mm") & of(lambda p: p.metres)
-    out = hits.withColumns({"param_id": of(lambda p: p.id), "name": of(lambda p: p.name), "category": of(lambda p: p.category), "value": value, "unit": canon})
+    out = hits.withColumns({"value": F.regexp_extract("raw_text", f"({NUMBER})", 1).cast("double"), "unit": canon})
+    shrink = (F.col("unit") == "mm") & F.col("metres")
     out = out.withColumns({"value": F.when(shrink, F.col("value") / 1000.0).otherwise(F.col("value")), "unit": F.when(shrink, "m").otherwise(F.col("unit"))})
-    low, high = of(lambda p: p.low), of(lambda p: p.high)
-    return out.withColumns({"in_range": (F.col("value") > low) & (F.col("value") <= high), "low": low, "high": high, "raw_text": F.col("m"), "kind": F.lit(1)})
-
-
-def _tag(spans: Column, i: int) -> Column:
-    return F.transform(spans, lambda x: F.struct(F.lit(i).alias("p"), x["a"].alias("a"), x["s"].alias("s"), x["m"].alias("m")))
+    return out.withColumns({"in_range": (F.col("value") > F.col("low")) & (F.col("value") <= F.col("high")), "kind": F.lit(1)}).drop("metres")
 
 
 def textual(lines: DataFrame, params: Sequence[Textual] = TEXTUAL) -> DataFrame:
