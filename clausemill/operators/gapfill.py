@@ -9,6 +9,7 @@ import json
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clausemill import schemas
@@ -127,7 +128,6 @@ def _closed(t: str) -> str:
 
 def parse_answers(answers: DataFrame, text: str = "answer") -> DataFrame:
     """doc_id and the proposed items of model answers: well-formed ones are parsed by Spark, the others repaired first."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def repair(s: pd.Series) -> pd.Series:
