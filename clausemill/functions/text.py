@@ -77,6 +77,22 @@ def located(text: Column, pattern: str | Column) -> Column:
     )
 
 
+def placed(text: Column, pattern: Column) -> Column:
+    """As :func:`located`, for patterns without look-around and few matches: each match is looked for after the one before.
+
+    An earlier equal substring would itself have been the leftmost match, so the first one found is the match.
+    """
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("a"))
+
+    def step(acc: Column, m: Column) -> Column:
+        s = F.position(m, text, acc["at"] + 1) - 1
+        return F.struct((s + F.length(m)).alias("at"), F.array_append(acc["a"], s).alias("a"))
+
+    matches = F.regexp_extract_all(text, pattern, 0)
+    starts = F.aggregate(matches, start, step, lambda acc: acc["a"])
+    return F.transform(F.arrays_zip(matches.alias("m"), starts.alias("s")), lambda x: F.struct(x["m"].alias("m"), x["s"].cast("long").alias("s"), (x["s"] + F.length(x["m"])).cast("long").alias("e")))
+
+
 def tokens(text: Column) -> Column:
     """Bigrams of the CJK characters, which bridge what stands between them, then ASCII words and numbers in lower case."""
     cjk = F.regexp_replace(text, "[^一-鿿]", "")

@@ -43,7 +43,7 @@ def accepted(norm: Column, config: Column) -> Column:
     """
     found = F.transform(
         _named(norm, config["aliases"]),
-        lambda a: F.transform(T.located(norm, a["pattern"]), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["e"].alias("e"), a["a"].alias("a"))),
+        lambda a: F.transform(T.placed(norm, a["pattern"]), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["e"].alias("e"), a["a"].alias("a"))),
     )
 
     def guarded(x: Column) -> Column:
@@ -59,7 +59,8 @@ def accepted(norm: Column, config: Column) -> Column:
 
 def numeric(lines: DataFrame, params: Sequence[Numeric] = NUMERIC, units: dict[str, str] = UNITS) -> DataFrame:
     """Every numeric fact: the line's columns, the parameter's, value, unit, place, in_range (both sides of the range filter)."""
-    norm = lines.withColumn("_norm", T.normalise(F.col("text"))).where(T.contains_any(F.col("_norm"), [a for p in params for a in p.aliases]))
+    named = "|".join(T.quoted(a) for p in params for a in p.aliases)
+    norm = lines.withColumn("_norm", T.normalise(F.col("text"))).where(F.col("_norm").rlike(named))  # one test: the filter holds the folding once
     mine = F.filter(_configured(params), lambda p: F.size(_named(F.col("_norm"), p["aliases"])) > 0)
     hits = norm.withColumn("_p", F.explode(mine)).withColumn("_x", F.explode(accepted(F.col("_norm"), F.col("_p"))))
     hits = hits.select(*lines.columns, "_p.p", "_p.param_id", "_p.name", "_p.category", "_p.low", "_p.high", "_p.metres", "_x.a", "_x.s", F.col("_x.m").alias("raw_text"))
@@ -75,7 +76,7 @@ def numeric(lines: DataFrame, params: Sequence[Numeric] = NUMERIC, units: dict[s
 
 def textual(lines: DataFrame, params: Sequence[Textual] = TEXTUAL) -> DataFrame:
     """The first fact of each textual parameter in a document: patterns in order within a line, lines in order."""
-    norm = T.normalise(F.col("text"))
+    norm = F.col("_norm")
 
     def of(i: int, p: Textual) -> Column:
         value = raw = F.lit(None).cast("string")
@@ -85,7 +86,9 @@ def textual(lines: DataFrame, params: Sequence[Textual] = TEXTUAL) -> DataFrame:
             raw = F.when(hit, F.regexp_extract(norm, f"(?d){pattern}", 0)).otherwise(raw)
         return F.struct(F.lit(i).alias("p"), F.lit(p.id).alias("param_id"), F.lit(p.name).alias("name"), F.lit(p.category).alias("category"), value.alias("text_value"), raw.alias("raw_text"))
 
-    hits = lines.withColumn("_x", F.explode(F.filter(F.array(*[of(i, p) for i, p in enumerate(params)]), lambda x: x["text_value"].isNotNull())))
+    any_ = "(?d)" + "|".join(f"(?:{x})" for p in params for x in p.patterns)
+    some = lines.withColumn("_norm", T.normalise(F.col("text"))).where(norm.rlike(any_))
+    hits = some.withColumn("_x", F.explode(F.filter(F.array(*[of(i, p) for i, p in enumerate(params)]), lambda x: x["text_value"].isNotNull())))
     first = hits.groupBy("doc_id", "_x.param_id").agg(F.min_by(F.struct(*lines.columns, "_x"), "line_no").alias("_r"))
     return first.select(*[F.col(f"_r.{c}").alias(c) for c in lines.columns], "_r._x.*")
 
