@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from clausemill.functions.text import located
 from clausemill.llm import common
 
 #: The kinds in order, and their patterns. Possessive quantifiers and the
@@ -40,30 +41,6 @@ TERM = r"[\p{L}\p{N}_]+"
 NEAR = 80
 DISCLOSURE, SUPPORT, LEAST_TERM = 0.9, 3, 3
 BROADCAST_TERMS = 100_000
-_CHUNK = 512
-
-
-def _running(lens: Column) -> Column:
-    """Sums of the lengths before each element; in chunks, as a fold copies what it has built."""
-    zero = F.lit(0).cast("long")
-    fold = lambda part: F.aggregate(
-        part, F.struct(zero.alias("s"), F.array().cast("array<long>").alias("a")), lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.array_append(acc["a"], acc["s"]).alias("a"))
-    )
-    n = F.ceil(F.size(lens) / _CHUNK).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda c: fold(F.slice(lens, c * _CHUNK + 1, _CHUNK)))
-    starts = fold(F.transform(parts, lambda p: p["s"]))["a"]
-    return F.flatten(F.zip_with(parts, starts, lambda p, s: F.transform(p["a"], lambda x: x + s)))
-
-
-def located(text: Column, pattern: str) -> Column:
-    """Array of (m, s, e): every match of ``pattern`` with its start and end in code points."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.slice(F.split(text, pattern, -1), 1, F.size(matches))
-    before = _running(F.zip_with(pieces, matches, lambda p, m: (F.length(p) + F.length(m)).cast("long")))
-    with_piece = F.arrays_zip(matches.alias("m"), pieces.alias("p"), before.alias("b"))
-    return F.transform(
-        with_piece, lambda x: F.struct(x["m"].alias("m"), (x["b"] + F.length(x["p"])).alias("s"), (x["b"] + F.length(x["p"]) + F.length(x["m"])).alias("e"))
-    )
 
 
 def _digits(m: Column) -> Column:
