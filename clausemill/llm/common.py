@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A word is a run of bytes other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
+#: Spark's setting to delete a statement's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,26 +27,40 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session has none (plain local tests) a temporary folder is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = tempfile.mkdtemp(prefix="clausemill-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (found or _own_dir()).rstrip("/")
+
+
+@lru_cache(maxsize=1)
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="clausemill-")
 
 
 def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a read, not the work before it, and
-    what is read twice is computed once.
+    what is read twice is computed once. The shuffle files behind the table go when it is written;
+    they would otherwise stay on the executors' disks until the driver collects its garbage.
     """
     path = f"{shared_dir(df.sparkSession)}/clausemill/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    conf, writer = df.sparkSession.conf, df.write.option("compression", "zstd")
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._kept_at = path
     return out
 
 
+def small(df: DataFrame, most: int, name: str = "small") -> DataFrame:
+    """``df`` kept as a table, to be broadcast if it has at most ``most`` rows; else joined as any other."""
+    kept = keep(df, name)
+    return F.broadcast(kept) if kept.limit(most + 1).count() <= most else kept
+
+
 def drop(*frames: DataFrame) -> None:
     """Delete tables of :func:`keep` that nothing reads any more."""
     for df in frames:
