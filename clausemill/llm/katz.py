@@ -32,7 +32,7 @@ FOLDS = 5
 #: Counts above this aren't discounted.
 TRUSTED = 5
 #: Tokens of a chunk (about), and training tokens of a bucket (on average).
-CHUNK, BUCKET = 1 << 20, 1 << 20
+CHUNK, BUCKET = 3 << 19, 1 << 20
 SEED = 42
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -150,7 +150,7 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def _load(data: bytes) -> tuple[np.ndarray, ...]:
     lens, held_, words, at = blobs.unpack(data)
-    lens, at = lens.astype(np.int64), at.astype(np.int64)
+    lens, at = lens.astype(np.int64), at.astype(np.int32)
     train = np.repeat(held_ == 0, lens)
     return lens, held_, words, at, train
 
@@ -160,7 +160,7 @@ def _bigrams(lens: np.ndarray, at: np.ndarray, n_words: int) -> np.ndarray:
     before = np.empty_like(at)
     before[1:] = at[:-1]
     before[np.concatenate(([0], lens.cumsum()[:-1]))] = n_words
-    return before * n_words + at
+    return before.astype(np.int64) * n_words + at
 
 
 def _ask_words(rows: DataFrame, n: int) -> DataFrame:
@@ -249,18 +249,18 @@ def _asked(got: list, n: int) -> tuple:
     ids = np.append(words, ~np.uint64(END))
     seen = np.append(counts, counts[end])
     bucket = _spread(ids[context], seen[context], words[word], n)
-    return lens, held_, words, at, train, counts, key, where, context, word, ids, bucket
+    return lens, held_, words, at, train, counts, key, where, context, word, ids, bucket, seen >= BUCKET // 4
 
 
 def _ask_bigrams(chunk: int, got: list, n: int) -> Iterable[tuple]:
-    _, _, words, _, train, counts, key, where, context, word, ids, bucket = _asked(got, n)
+    _, _, words, _, train, counts, key, where, context, word, ids, bucket, dealt = _asked(got, n)
     local = np.bincount(where[train], minlength=len(key))
     order = np.argsort(bucket, kind="stable")  # within a bucket by context
     edges = np.searchsorted(bucket[order], np.arange(n + 1))
     for b in np.nonzero(np.diff(edges))[0]:
         mine = order[edges[b] : edges[b + 1]]
         contexts, sizes = np.unique(context[mine], return_counts=True)
-        yield int(b), chunk, "ask", blobs.pack(ids[contexts], blobs.small(sizes), words[word[mine]] & _MASK, blobs.small(local[mine]), blobs.small(counts[word[mine]]))
+        yield int(b), chunk, "ask", blobs.pack(ids[contexts], blobs.small(sizes), words[word[mine]] & _MASK, blobs.small(local[mine]), blobs.small(counts[word[mine]]), dealt[contexts].view(np.uint8))
 
 
 #: Within a context a word's id is sent by its lower six bytes.
@@ -268,7 +268,8 @@ _MASK = np.uint64((1 << 48) - 1)
 
 
 def _answer_bigrams(bucket: int, got: list, uni: Unigrams) -> Iterable[tuple]:
-    """For each chunk, of its bigrams: their counts; of its contexts here: total, how many followers have a count of 1 to TRUSTED, and their unigram mass."""
+    """For each chunk, of its bigrams: their counts; of its contexts here: total and how many followers have a count of 1 to
+    TRUSTED; of those that need a backoff weight (see :func:`_weighed`), the followers' unigram mass."""
     parts = [blobs.unpack(d) for _, _, d in got]
     ids, owner = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     context = np.repeat(owner, np.concatenate([p[1] for p in parts]).astype(np.int64))
@@ -287,12 +288,18 @@ def _answer_bigrams(bucket: int, got: list, uni: Unigrams) -> Iterable[tuple]:
     start = start_c = 0
     for (chunk, _, _), p in zip(got, parts, strict=True):
         mine, own = at[start : start + len(p[2])], owner[start_c : start_c + len(p[0])]
-        yield chunk, bucket, "bigrams", blobs.pack(blobs.small(counts[mine]), blobs.small(total[own]), *[blobs.small(x[own]) for x in few], mass[own])
+        weighed = _weighed(counts[mine], np.repeat(np.arange(len(own)), p[1].astype(np.int64)), p[5] > 0)
+        yield chunk, bucket, "bigrams", blobs.pack(blobs.small(counts[mine]), blobs.small(total[own]), *[blobs.small(x[own]) for x in few], mass[own][weighed])
         start, start_c = start + len(p[2]), start_c + len(p[0])
 
 
+def _weighed(counts: np.ndarray, context: np.ndarray, dealt: np.ndarray) -> np.ndarray:
+    """Contexts with a bigram that was never seen; and those dealt over several buckets, as each has a part of the mass."""
+    return (np.bincount(context[counts == 0], minlength=len(dealt)) > 0) | dealt
+
+
 def _score(chunk: int, got: list, n: int, uni: Unigrams, discount: tuple) -> Iterable[tuple]:
-    lens, held_, words, at, _, counts, key, where, context, word, _, bucket = _asked(got, n)
+    lens, held_, words, at, _, counts, key, where, context, word, _, bucket, dealt = _asked(got, n)
     order = np.argsort(bucket, kind="stable")
     edges = np.searchsorted(bucket[order], np.arange(n + 1))
     c = np.zeros(len(key), np.int64)
@@ -300,12 +307,12 @@ def _score(chunk: int, got: list, n: int, uni: Unigrams, discount: tuple) -> Ite
     for b, kind, data in got:
         if kind == "bigrams":
             mine = order[edges[b] : edges[b + 1]]
-            own = np.unique(context[mine])
+            own, local = np.unique(context[mine], return_inverse=True)
             x = blobs.unpack(data)
             c[mine] = x[0]
             total[own] += x[1].astype(np.int64)
             few[:, own] += np.array(x[2 : 2 + TRUSTED], np.int64)
-            mass[own] += x[-1]
+            mass[own[_weighed(x[0], local, dealt[own])]] += x[-1]
     d, r = np.array(discount), np.arange(1, TRUSTED + 1)
     lost = ((1 - d[1 : TRUSTED + 1]) * r) @ few  # taken from the small counts of each context
     size = np.where((lost <= 0) & (total > 0), total + 1, total).astype(np.float64)  # a context without one gives one event
