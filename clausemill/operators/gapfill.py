@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from clausemill import schemas
 from clausemill.functions import text as T
 from clausemill.sources.tables import NUMERIC, TEXTUAL, Numeric, Textual
+from clausemill.workers import ship
 
 #: Lines offered to the model for a document: the feature's own limit.
 MOST_LINES = 120
@@ -129,6 +130,8 @@ def _closed(t: str) -> str:
 def parse_answers(answers: DataFrame, text: str = "answer") -> DataFrame:
     """doc_id and the proposed items of model answers: well-formed ones are parsed by Spark, the others repaired first."""
 
+    ship(answers.sparkSession)
+
     @F.pandas_udf("string")
     def repair(s: pd.Series) -> pd.Series:
         return s.map(repaired)

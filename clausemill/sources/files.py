@@ -16,6 +16,7 @@ from xml.etree import ElementTree
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from clausemill import schemas
+from clausemill.workers import ship
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 SUFFIXES = (".docx", ".pdf")
@@ -60,6 +61,7 @@ def docx_lines(content: bytes) -> Iterator[tuple[str, int | None]]:
 
 def docx(spark: SparkSession, path: str) -> DataFrame:
     """doc (file name), pos, text, page (null), level of every docx file under ``path``."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def read(batches):
@@ -82,6 +84,7 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 def zip_entries(spark: SparkSession, path: str) -> DataFrame:
     """label, text of every entry of office files: each entry's name, and the content of XML entries."""
+    ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,xlsx,pptx}").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def read(batches):

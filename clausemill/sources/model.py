@@ -15,6 +15,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+from clausemill.workers import ship
+
 #: These say that asking again won't help.
 FINAL = (400, 401, 403, 404)
 
@@ -73,4 +75,5 @@ def complete(prompts: DataFrame, model: Model) -> DataFrame:
                     out.append((None, str(e)))
             yield pd.DataFrame({"doc_id": b["doc_id"], "answer": [a for a, _ in out], "error": [e for _, e in out]})
 
+    ship(prompts.sparkSession)
     return prompts.select("doc_id", "prompt").mapInPandas(run, "doc_id long, answer string, error string")

@@ -103,3 +103,23 @@ def test_corpus(spark):
 
 def test_catalog():
     assert set(catalog.SQL) == set(catalog.QUERIES)
+
+
+def test_workers_need_no_path(tmp_path):
+    """From another folder, without PYTHONPATH: the workers get the package from the driver."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    docx(tmp_path / "a.docx", [("一、工程概况", "a1"), ("正文", "")])
+    code = f"""
+import sys; sys.path.insert(0, {str(Path(__file__).resolve().parent.parent)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+from clausemill.sources import files
+print("ROWS", files.docx(spark, {str(tmp_path)!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "ROWS 2" in out.stdout, out.stderr[-2000:]
