@@ -14,6 +14,8 @@ import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from clausemill.llm import common
+
 #: Rows of every exchange: to whom, from whom, what kind, and the packed arrays.
 SCHEMA = "`to` long, `from` long, kind string, data binary"
 
@@ -85,7 +87,7 @@ def exchange(rows: DataFrame, answer: Callable[[int, list[tuple[int, str, bytes]
         if got:
             yield from out(now, got)
 
-    return rows.select("to", "from", "kind", "data").repartition("to").sortWithinPartitions("to", "from", "kind").mapInArrow(run, fields)
+    return common.arrow(rows.select("to", "from", "kind", "data").repartition("to").sortWithinPartitions("to", "from", "kind"), run, fields)
 
 
 def each(rows: DataFrame, fn: Callable[[int, list[tuple[int, str, bytes]]], Iterable[tuple]]) -> DataFrame:
@@ -104,7 +106,7 @@ def each(rows: DataFrame, fn: Callable[[int, list[tuple[int, str, bytes]]], Iter
                 if out := list(fn(to, [(frm, kind, data)])):
                     yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), want.types, strict=True)], schema=want)
 
-    return rows.select("to", "from", "kind", "data").mapInArrow(run, fields)
+    return common.arrow(rows.select("to", "from", "kind", "data"), run, fields)
 
 
 def of(kind: str) -> object:

@@ -9,6 +9,8 @@ from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from clausemill.workers import ship
+
 #: A word is a run of bytes other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -95,6 +97,12 @@ def sql_n_words(text: str) -> str:
     return f"CAST(len(regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT)"
 
 
+def arrow(df: DataFrame, fn: Callable, schema: object) -> DataFrame:
+    """``mapInArrow`` whose workers have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)
+
+
 def map_rows(df: DataFrame, columns: Sequence[str], fn: Callable[..., Iterable], schema: str) -> DataFrame:
     """``fn`` gets the lists of ``columns`` of an Arrow batch and returns the output columns as lists or arrays."""
     from pyspark.sql.types import StructType
@@ -111,4 +119,4 @@ def map_rows(df: DataFrame, columns: Sequence[str], fn: Callable[..., Iterable],
             out = fn(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns))
             yield pa.RecordBatch.from_arrays([pa.array(x, type=want.field(n).type) for n, x in zip(names, out, strict=True)], schema=want)
 
-    return df.select(*dict.fromkeys(columns)).mapInArrow(run, fields)
+    return arrow(df.select(*dict.fromkeys(columns)), run, fields)

@@ -145,7 +145,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if ids:
             yield chunk()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"chunk long, n long, ids array<{id_type}>, data binary")
+    return common.arrow(docs.select("doc_id", "text"), run, f"chunk long, n long, ids array<{id_type}>, data binary")
 
 
 def _load(data: bytes) -> tuple[np.ndarray, ...]:

@@ -127,7 +127,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if ids:
             yield chunk()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "chunk long, n long, ids array<long>, data binary")
+    return common.arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "chunk long, n long, ids array<long>, data binary")
 
 
 def _texts(data: bytes) -> tuple[np.ndarray, list[bytes]]:
