@@ -27,6 +27,8 @@ from clausemill.llm import common
 FOLDS = 3
 RANKS = 400
 PER_LANGUAGE = 4000
+#: Languages that are learned at most, the most frequent ones: what the driver holds stays bounded.
+MOST_LANGUAGES = 1000
 #: How sharply the score falls with the relative distance.
 SHARPNESS = 25.0
 UNKNOWN = "und"
@@ -109,7 +111,7 @@ def fit(docs: DataFrame, ranks: int = RANKS, per_language: int = PER_LANGUAGE) -
     spark = docs.sparkSession
     known = docs.where("lang is not null and doc_id is not null")
     u = F.xxhash64(F.col("doc_id").cast("string"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     limit = [(lang, int(-(2**63) + 2**64 * min(1.0, per_language / n)) if per_language < n else 2**63 - 1) for lang, n in sizes.items()]
     if not limit:
         return Profiles({}, ranks)
