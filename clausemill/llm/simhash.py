@@ -126,7 +126,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, c
     dealt = many.withColumn("i", mine).select("key", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j"))
     groups = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "fp")
     sorted_ = groups.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return pairs.union(sorted_.mapInArrow(lambda batches: _linked(batches, distance), "a long, b long"))
+    return pairs.union(common.arrow(sorted_, lambda batches: _linked(batches, distance), "a long, b long"))
 
 
 def classes(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
@@ -148,20 +148,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 def dedupe(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """The documents, one of each class: the one with the smallest id; all columns kept.
 
-    Repeated rows (same id and text) stay once. Rows without an id stay, once per text, unless a
-    document with an id is in their class.
+    Documents are held against the ids that go, the shorter list. Repeated rows (same id and
+    text) stay once. Rows without an id stay, once per text, unless a document with an id is in
+    their class. Only where there are such rows do they take a way of their own.
     """
     found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
-    stay = common.keep(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "stay")
-    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if stay.where("_id is null").limit(1).count():  # only then can rows with and without a class id be mixed up
+    gone = common.keep(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
+    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    odd = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    again = common.keep(odd.select(F.col("doc_id").alias("_id")), "again")
+    if again.where("_id is not null").limit(1).count():
+        several = kept.join(again, kept.doc_id == again._id, "left_semi").withColumn("_text", F.xxhash64("text"))
+        kept = kept.join(again, kept.doc_id == again._id, "left_anti").unionByName(several.dropDuplicates(["doc_id", "_text"]).drop("_text"))
+    if again.where("_id is null").limit(1).count():
         alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp")).distinct()
-        nulls = docs.where("doc_id is null").withColumn("_row", F.struct(*docs.columns)).select("doc_id", "text", "_row")
-        types = nulls.schema["_row"].dataType.simpleString()
-        held = common.map_rows(nulls.select(F.col("text"), F.to_json("_row").alias("_json")), ["text", "_json"], lambda t, j: [[fingerprint(x, shingle) for x in t], j], "_fp long, _json string")
-        back = held.join(alone, "_fp", "left_semi").select(F.from_json("_json", types).alias("_row")).select("_row.*")
-        kept = docs.where("doc_id is not null").join(stay, docs.doc_id == stay._id, "left_semi").unionByName(back)
-    return kept.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+        row = F.struct(*docs.columns)
+        types = docs.select(row.alias("r")).schema["r"].dataType.simpleString()
+        nulls = docs.where("doc_id is null").select("text", F.to_json(row).alias("_row"))
+        marked = common.map_rows(nulls, ["text", "_row"], lambda t, r: [[fingerprint(x, shingle) for x in t], t, r], "_fp long, text string, _row string")
+        back = marked.join(alone, "_fp", "left_semi").dropDuplicates(["text"]).select(F.from_json("_row", types).alias("r")).select("r.*")
+        kept = kept.unionByName(back)
+    return kept
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
