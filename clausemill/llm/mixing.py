@@ -21,6 +21,8 @@ from clausemill.llm import common
 WEIGHTS = (5, 2, 1)
 MOST = 3
 SEED = "mix-1"
+#: A table of more sources than this isn't broadcast.
+BROADCAST_SOURCES = 100_000
 BITS = 52
 
 
@@ -62,13 +64,13 @@ def plan(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST, se
     """doc_id, size, source_size, target, copies, taken (and the columns ``carry``) for every document.
 
     The one pass over the texts keeps a narrow table (id, source, size, draw); sums and the
-    join read that. The table of sources is joined without a hint: Spark broadcasts it if its
-    measured size allows, and splits a hot source in the sort-merge join if not.
+    join read that. The table of sources is counted and broadcast up to ``BROADCAST_SOURCES``
+    rows; beyond that Spark splits a hot source in the sort-merge join.
     """
     narrow = docs.select("doc_id", "source", common.n_words(F.col("text")).alias("size"), draw(F.col("doc_id"), F.col("text"), F.col("source"), seed).alias("_u"), *carry)
     kept = narrow if carry else common.keep(narrow, "mix")
     targets = source_targets(kept.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
-    t = targets.select(F.col("source").alias("_source"), "source_size", "target")
+    t = common.small(targets.select(F.col("source").alias("_source"), "source_size", "target"), BROADCAST_SOURCES, "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     copies = F.floor("_rate") + F.when(F.col("_u") < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)
     return (
