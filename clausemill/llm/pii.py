@@ -41,6 +41,8 @@ TERM = r"[\p{L}\p{N}_]+"
 NEAR = 80
 DISCLOSURE, SUPPORT, LEAST_TERM = 0.9, 3, 3
 BROADCAST_TERMS = 100_000
+#: Term spans (one row each) up to which the documents that have them are broadcast.
+BROADCAST_SPANS = 200_000
 
 
 def _digits(m: Column) -> Column:
@@ -164,10 +166,14 @@ def replaced(text: Column, base: Column, terms: Column) -> Column:
 def sanitise(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """The documents with all spans generalised in the text, all columns kept.
 
-    Base spans are found again within the row; only the rare rows with term spans meet a join,
-    in which a hot id is split by Spark.
+    Base spans are found again within the row; only the rare rows with term spans meet a join. They
+    are broadcast up to ``BROADCAST_SPANS`` spans, so that no text is shuffled; beyond that Spark
+    splits a hot id in the sort-merge join.
     """
-    hits = spans(docs, share, support).where(F.size("terms") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("terms").alias("_terms")).distinct()
+    found_ = spans(docs, share, support).where(F.size("terms") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("terms").alias("_terms"))
+    hits = common.keep(found_.distinct(), "term-spans")
+    if (hits.agg(F.sum(F.size("_terms"))).first()[0] or 0) <= BROADCAST_SPANS:
+        hits = F.broadcast(hits)
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("_key", F.xxhash64(text))
     joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left")
