@@ -33,6 +33,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 WIDTH, LEAST_TOKENS = 6.0, 50
+#: A table of more languages than this isn't broadcast.
+BROADCAST_BANDS = 10_000
 #: The bands' half widths at least, as a share of the median (fallback: absolute).
 LEAST_HALF = {"chars_per_token": 0.15, "byte_share": 0.05, "entropy": 0.25}
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Arabic", "Han", "Other")
@@ -129,15 +131,16 @@ def base_failed() -> Column:
 def judge(measured: DataFrame, width: float = WIDTH) -> DataFrame:
     """Adds base_failed, rejected_by (measures outside their bands) and kept.
 
-    The table of bands has a row per language or script; Spark joins it as its size suggests.
+    The table of bands has a row per language or script; it is counted and broadcast up to
+    ``BROADCAST_BANDS`` rows, so that a language's documents aren't brought together.
     """
     usable = measured.where(~base_failed() & (F.col("n_tokens") >= LEAST_TOKENS))
-    middle = usable.groupBy("band").agg(*[F.percentile_approx(m, 0.5, 10_000).alias(f"_mid_{m}") for m in MEASURES])
+    middle = common.small(usable.groupBy("band").agg(*[F.percentile_approx(m, 0.5, 10_000).alias(f"_mid_{m}") for m in MEASURES]), BROADCAST_BANDS, "bands")
     off = usable.join(middle, "band").groupBy("band").agg(
         *[F.first(f"_mid_{m}").alias(f"_mid_{m}") for m in MEASURES],
         *[F.percentile_approx(F.abs(F.col(m) - F.col(f"_mid_{m}")), 0.5, 10_000).alias(f"_mad_{m}") for m in MEASURES],
     )
-    out = measured.join(off, "band", "left")
+    out = measured.join(common.small(off, BROADCAST_BANDS, "bands"), "band", "left")
     bad = []
     for m in MEASURES:
         least = F.lit(LEAST_HALF[m]) * (F.lit(1.0) if m == "byte_share" else F.col(f"_mid_{m}"))
