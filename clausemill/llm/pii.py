@@ -170,16 +170,16 @@ def sanitise(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT)
     are broadcast up to ``BROADCAST_SPANS`` spans, so that no text is shuffled; beyond that Spark
     splits a hot id in the sort-merge join.
     """
-    found_ = spans(docs, share, support).where(F.size("terms") > 0).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.col("terms").alias("_terms"))
+    found_ = spans(docs, share, support).where(F.size("terms") > 0).select(F.col("doc_id").alias("__cm_id"), F.col("h").alias("__cm_h"), F.col("terms").alias("__cm_terms"))
     hits = common.keep(found_.distinct(), "term-spans")
-    if (hits.agg(F.sum(F.size("_terms"))).first()[0] or 0) <= BROADCAST_SPANS:
+    if (hits.agg(F.sum(F.size("__cm_terms"))).first()[0] or 0) <= BROADCAST_SPANS:
         hits = F.broadcast(hits)
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_h")), "left")
-    terms = F.coalesce("_terms", F.array().cast("array<struct<s:bigint,e:bigint>>"))
-    marked = joined.withColumns({"_base": base_spans(text), "_terms": terms})
-    clean = F.when(F.size("_base") + F.size("_terms") > 0, replaced(F.col("text"), F.col("_base"), F.col("_terms"))).otherwise(F.col("text"))
+    keyed = docs.withColumn("__cm_key", F.xxhash64(text))
+    joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("__cm_id")) & (F.col("__cm_key") == F.col("__cm_h")), "left")
+    terms = F.coalesce("__cm_terms", F.array().cast("array<struct<s:bigint,e:bigint>>"))
+    marked = joined.withColumns({"__cm_base": base_spans(text), "__cm_terms": terms})
+    clean = F.when(F.size("__cm_base") + F.size("__cm_terms") > 0, replaced(F.col("text"), F.col("__cm_base"), F.col("__cm_terms"))).otherwise(F.col("text"))
     return marked.withColumn("text", clean).select(*docs.columns)
 
 

@@ -32,7 +32,7 @@ def docs(spark, rows):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    return df.withColumns({"size": F.lit("mine"), "score": F.lit(-1), "fp": F.lit("mine"), "terms": F.lit(0), "key": F.lit(0)})
+    return df.withColumns({"size": F.lit("mine"), "score": F.lit(-1), "fp": F.lit("mine"), "terms": F.lit(0), "key": F.lit(0), "licenses": F.lit("mine"), "_row": F.lit(1), "_key": F.lit(2), "_text": F.lit("mine"), "_id": F.lit(3), "_u": F.lit(4)})
 
 
 @pytest.fixture(scope="session")

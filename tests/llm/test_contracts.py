@@ -74,6 +74,12 @@ def test_licenses(spark, text, ids, found, unmatched):
     assert (r["sentence_ids"], r["licenses"], r["n_unmatched"]) == (ids, found, unmatched)
 
 
+def test_licenses_odd_rows(spark, docs, rows):
+    out = licenses.scan(docs)
+    assert out.count() == len(rows) and set(docs.columns) <= set(out.columns) and out.where("licenses != ''").count() == 0
+    assert licenses.scan(docs.where("false")).count() == 0
+
+
 def test_quality_base(rows):
     def brute(t):
         w = WORD.findall(t or "")
@@ -216,6 +222,7 @@ def test_simhash_dense_groups(spark, chunk, monkeypatch):
 def test_simhash_odd_rows(spark, docs, rows):
     assert simhash.near_duplicates(docs.select("doc_id", "text")).count() == len(rows)
     kept = simhash.dedupe(docs)
+    assert kept.where("_text = 'mine' and _id = 3").count() == kept.count()
     ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == docs.columns and len(ids) == len(set(ids))
     assert simhash.dedupe(docs.where("false")).count() == 0
@@ -274,6 +281,7 @@ def test_pii_terms(spark):
 def test_pii_odd_rows(spark, docs, rows):
     assert pii.spans(docs.select("doc_id", "text")).count() == len(rows)
     out = pii.sanitise(docs)
+    assert out.where("_key = 2 and _id = 3").count() == len(rows)
     assert out.columns == docs.columns and out.count() == len(rows)
     assert pii.sanitise(docs.where("false")).count() == 0
 
