@@ -103,12 +103,17 @@ def arrow(df: DataFrame, fn: Callable, schema: object) -> DataFrame:
     return df.mapInArrow(fn, schema)
 
 
-def map_rows(df: DataFrame, columns: Sequence[str], fn: Callable[..., Iterable], schema: str) -> DataFrame:
-    """``fn`` gets the lists of ``columns`` of an Arrow batch and returns the output columns as lists or arrays."""
+def map_rows(df: DataFrame, columns: Sequence[str], fn: Callable[..., Iterable], schema: str, keep: Sequence[str] = (), rows: int | None = 512) -> DataFrame:
+    """``fn`` gets the lists of ``columns`` of some rows and returns the columns of ``schema`` as lists or arrays.
+
+    Columns to ``keep`` come first in the result and stay as they are; ``fn`` then returns a value per row.
+    It gets ``rows`` rows at a time, so that Python holds few texts at once; None: an Arrow batch, for
+    functions that sum up what they are given.
+    """
     from pyspark.sql.types import StructType
 
-    fields = StructType.fromDDL(schema)
-    names = [f.name for f in fields]
+    kept = [df.schema[c] for c in keep]
+    fields = StructType([*kept, *StructType.fromDDL(schema)])
 
     def run(batches):
         import pyarrow as pa
@@ -116,7 +121,10 @@ def map_rows(df: DataFrame, columns: Sequence[str], fn: Callable[..., Iterable],
 
         want = to_arrow_schema(fields)
         for b in batches:
-            out = fn(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in columns))
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=want.field(n).type) for n, x in zip(names, out, strict=True)], schema=want)
+            for at in range(0, b.num_rows, rows or b.num_rows):
+                part = b.slice(at, rows) if rows else b
+                column = lambda c: part.column(part.schema.get_field_index(c))  # noqa: B023, E731
+                out = [*map(column, keep), *fn(*(column(c).to_pylist() for c in columns))]
+                yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, type=f.type) if not isinstance(x, pa.Array) else x.cast(f.type) for f, x in zip(want, out, strict=True)], schema=want)
 
-    return arrow(df.select(*dict.fromkeys(columns)), run, fields)
+    return arrow(df.select(*dict.fromkeys([*keep, *columns])), run, fields)

@@ -92,7 +92,7 @@ def frequencies(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
             c.update(held.value.intersection(words(t)))
         return [list(c), list(c.values())]
 
-    sums = common.map_rows(docs, ["text"], count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sums = common.map_rows(docs, ["text"], count, "word binary, n long", rows=None).groupBy("word").agg(F.sum("n").alias("n"))
     return {bytes(r["word"]): r["n"] for r in sums.collect()}
 
 
@@ -108,18 +108,14 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterable[list[tuple
 
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int = BLOCK_BYTES, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, ``carry``, n_words, spans (word positions hit, without overlaps) and items of every document."""
-    types = dict(docs.dtypes)
     names = ["doc_id", *[c for c in carry if c not in ("doc_id", "text")], "text"]
     now = docs.select(*names, F.lit(0).cast("long").alias("_n"), F.lit([]).cast("array<array<long>>").alias("_spans"), F.lit([]).cast("array<string>").alias("_items"))
-    schema = ", ".join(f"`{c}` {types[c]}" for c in names) + ", _n long, _spans array<array<long>>, _items array<string>"
-    every = [*names, "_n", "_spans", "_items"]
-    last = None
+    schema, last = "_n long, _spans array<array<long>>, _items array<string>", None
     for k, block in enumerate(blocks(benchmark, most)):
         found = Windows(block, frequencies(docs, {x for _, w in block for x in w}), size)
         held = docs.sparkSession.sparkContext.broadcast(found)  # made from one block
 
-        def run(*columns: list, held=held) -> Iterable:
-            *kept, texts, _, spans, items = columns
+        def run(texts: list, spans: list, items: list, held=held) -> Iterable:
             counts, all_spans, all_items = [], [], []
             for t, s, i in zip(texts, spans, items, strict=True):
                 w = words(t)
@@ -127,13 +123,13 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, most: int =
                 counts.append(len(w))
                 all_spans.append(merged([*map(tuple, s), *((a, b) for a, b, _ in hits)]) if hits else s)
                 all_items.append(sorted({*i, *(x for _, _, f in hits for x in f)}) if hits else i)
-            return [*kept, texts, counts, all_spans, all_items]
+            return [counts, all_spans, all_items]
 
         if k:  # a block at a time: its windows are the only ones an executor holds
             now = common.keep(now, "decontaminate")
             common.drop(*[last] if last is not None else [])
             last = now
-        now = common.map_rows(now, every, run, schema)
+        now = common.map_rows(now, ["text", "_spans", "_items"], run, schema, keep=names)
     text = [F.col("text")] if "text" in carry else []
     return now.select("doc_id", *[c for c in carry if c not in ("doc_id", "text")], *text, F.col("_n").alias("n_words"), F.col("_spans").alias("spans"), F.col("_items").alias("items"))
 

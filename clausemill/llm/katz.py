@@ -184,7 +184,7 @@ def _totals(answers: DataFrame) -> np.ndarray:
         x = np.array([blobs.unpack(bytes(d))[0] for d in data], np.int64).reshape(-1, n).sum(0)
         return [[int(v)] for v in x]
 
-    sums = common.map_rows(answers.where(blobs.of("totals")), ["data"], read, ", ".join(f"t{i} long" for i in range(n)))
+    sums = common.map_rows(answers.where(blobs.of("totals")), ["data"], read, ", ".join(f"t{i} long" for i in range(n)), rows=None)
     return np.array([x or 0 for x in sums.agg(*[F.sum(f"t{i}") for i in range(n)]).first()], np.int64)
 
 

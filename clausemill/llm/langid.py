@@ -132,7 +132,7 @@ def fit(docs: DataFrame, ranks: int = RANKS, per_language: int = PER_LANGUAGE) -
                 x.extend(y)
         return out
 
-    grams = common.map_rows(sample, ["lang", "text"], count, "lang string, code long, n long")
+    grams = common.map_rows(sample, ["lang", "text"], count, "lang string, code long, n long", rows=None)
     sums = grams.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = sums.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= ranks)
     profiles: dict[str, list[int]] = {}
@@ -144,15 +144,12 @@ def fit(docs: DataFrame, ranks: int = RANKS, per_language: int = PER_LANGUAGE) -
 def identify(docs: DataFrame, profiles: Profiles, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``carry``, lang_pred, score and distance for every document."""
     held = docs.sparkSession.sparkContext.broadcast(profiles)  # ranks x languages numbers
-    types = dict(docs.dtypes)
-    names = [key, *carry]
 
-    def score(*columns: list) -> Iterable:
-        found = [held.value.predict(t) for t in columns[-1]]
-        return [*columns[:-1], [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]]
+    def score(texts: list) -> Iterable:
+        found = [held.value.predict(t) for t in texts]
+        return [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found]]
 
-    schema = ", ".join(f"`{n}` {types[n]}" for n in names) + ", lang_pred string, score double, distance double"
-    return common.map_rows(docs, [*names, "text"], score, schema)
+    return common.map_rows(docs, ["text"], score, "lang_pred string, score double, distance double", keep=(key, *carry))
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

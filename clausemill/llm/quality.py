@@ -115,13 +115,13 @@ MEASURES = ("chars_per_token", "byte_share", "entropy")
 def measure(docs: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """doc_id, the group of the bands, the base counts and the measures of every whole text."""
 
-    def run(ids: list, langs: list, texts: list) -> Iterable:
+    def run(langs: list, texts: list) -> Iterable:
         b, f = [base(t) for t in texts], [fertility(t, folder) for t in texts]
         group = [lang if lang is not None else f"script:{script(t or '')}" for lang, t in zip(langs, texts, strict=True)]
-        return [ids, group, *([x[i] for x in b] for i in range(5)), *([x[i] for x in f] for i in range(4))]
+        return [group, *([x[i] for x in b] for i in range(5)), *([x[i] for x in f] for i in range(4))]
 
-    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
-    return common.map_rows(docs, ["doc_id", "lang", "text"], run, schema)
+    schema = "band string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double"
+    return common.map_rows(docs, ["lang", "text"], run, schema, keep=("doc_id",))
 
 
 def base_failed() -> Column:

@@ -52,10 +52,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id and fp of every document."""
 
-    def run(ids: list, texts: list) -> Iterable:
-        return [ids, [fingerprint(t, shingle) for t in texts]]
-
-    return common.map_rows(docs, ["doc_id", "text"], run, f"doc_id {dict(docs.dtypes)['doc_id']}, fp long")
+    return common.map_rows(docs, ["text"], lambda texts: [[fingerprint(t, shingle) for t in texts]], "fp long", keep=("doc_id",))
 
 
 def masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
@@ -156,16 +153,16 @@ def dedupe(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) ->
     gone = common.keep(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
     kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
     odd = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    again = common.keep(odd.select(F.col("doc_id").alias("_id")), "again")
-    if again.where("_id is not null").limit(1).count():
-        several = kept.join(again, kept.doc_id == again._id, "left_semi").withColumn("_text", F.xxhash64("text"))
-        kept = kept.join(again, kept.doc_id == again._id, "left_anti").unionByName(several.dropDuplicates(["doc_id", "_text"]).drop("_text"))
-    if again.where("_id is null").limit(1).count():
+    again = common.keep(odd.select(F.col("doc_id").alias("__cm_id")), "again")
+    if again.where("__cm_id is not null").limit(1).count():
+        several = kept.join(again, kept["doc_id"] == again["__cm_id"], "left_semi").withColumn("__cm_text", F.xxhash64("text"))
+        kept = kept.join(again, kept["doc_id"] == again["__cm_id"], "left_anti").unionByName(several.dropDuplicates(["doc_id", "__cm_text"]).drop("__cm_text"))
+    if again.where("__cm_id is null").limit(1).count():
         alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp")).distinct()
         row = F.struct(*docs.columns)
         types = docs.select(row.alias("r")).schema["r"].dataType.simpleString()
         nulls = docs.where("doc_id is null").select("text", F.to_json(row).alias("_row"))
-        marked = common.map_rows(nulls, ["text", "_row"], lambda t, r: [[fingerprint(x, shingle) for x in t], t, r], "_fp long, text string, _row string")
+        marked = common.map_rows(nulls, ["text"], lambda texts: [[fingerprint(t, shingle) for t in texts]], "_fp long", keep=("text", "_row"))
         back = marked.join(alone, "_fp", "left_semi").dropDuplicates(["text"]).select(F.from_json("_row", types).alias("r")).select("r.*")
         kept = kept.unionByName(back)
     return kept

@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: in
                 seen.setdefault(e, [0, 0, 0, 0])[2 * h + y] += 1
         return [list(seen), *zip(*seen.values(), strict=True)] if seen else [[], [], [], [], []]
 
-    grams = common.map_rows(sample, ["text", "toxic", "half"], count, "entry string, n00 long, n01 long, n10 long, n11 long")
+    grams = common.map_rows(sample, ["text", "toxic", "half"], count, "entry string, n00 long, n01 long, n10 long, n11 long", rows=None)
     summed = grams.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")])
     sizes = {(r["half"], r["toxic"]): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
     n = {(h, y): sizes.get((h, y), 0) for h in (0, 1) for y in (0, 1)}
@@ -210,11 +210,11 @@ def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> Da
     """doc_id, score, predicted and n_hits for every document."""
     held = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MOST_ENTRIES entries
 
-    def run(ids: list, texts: list) -> Iterable:
+    def run(texts: list) -> Iterable:
         found = [held.value.score(t) for t in texts]
-        return [ids, [f[0] for f in found], [int(f[0] >= threshold) for f in found], [f[1] for f in found]]
+        return [[f[0] for f in found], [int(f[0] >= threshold) for f in found], [f[1] for f in found]]
 
-    return common.map_rows(docs, ["doc_id", "text"], run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int, n_hits long")
+    return common.map_rows(docs, ["text"], run, "score double, predicted int, n_hits long", keep=("doc_id",))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
