@@ -39,17 +39,17 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[int]:
-    """64-bit ids of the words and of the end token (the id of no word: the empty one's)."""
+    """Ids of the words and of the end token (the id of no word: the empty one's): the upper 56 bits of a hash."""
     from xxhash import xxh64_intdigest as h
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    return [h(w, SEED) for w in words] + [END]
+    return [h(w, SEED) >> 8 for w in words] + [END]
 
 
 def _end() -> int:
     from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(b"", SEED)
+    return xxh64_intdigest(b"", SEED) >> 8
 
 
 END = _end()
