@@ -7,7 +7,8 @@ unigrams' left mass is that of all unknown words together. A token is scored by
 else by its context's backoff weight and, in turn, its unigram.
 
 The tables are partitioned by hash: a bucket owns the counts of its words, and a bucket owns
-those of its contexts (frequent contexts are dealt over several by the next word). Documents
+those of its contexts (frequent contexts are dealt over several by the next word, and all of
+these are asked for their parts of the context's total). Documents
 are packed into chunks, and each chunk asks the owners for the counts of its distinct words
 and bigrams once, whatever their number in the chunk (see :mod:`blobs`). Nothing but a
 dozen totals reaches the driver.
@@ -103,15 +104,23 @@ class Unigrams:
         return np.where(c > 0, known, left)
 
 
-def _spread(context: np.ndarray, count: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of each bigram: by its context, and by the word too where the context is frequent."""
-    salts = (count // (BUCKET // 4) + 1).astype(np.uint64)
+def _salts(count: np.ndarray, most: int) -> np.ndarray:
+    """Parts that contexts seen so often are dealt into; ``most`` is a bucket's number of training tokens."""
+    return (count // max(most // 4, 1) + 1).astype(np.uint64)
+
+
+def _bucket(context: np.ndarray, salt: np.ndarray, n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        salt = ((word * _MIX) >> np.uint64(32)) % salts
         return (((context * _MIX + salt * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
 
 
-def chunks(docs: DataFrame) -> DataFrame:
+def _spread(context: np.ndarray, salts: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of each bigram: by its context, and by the word too where the context is frequent."""
+    with np.errstate(over="ignore"):
+        return _bucket(context, ((word * _MIX) >> np.uint64(32)) % salts, n)
+
+
+def chunks(docs: DataFrame, most: int) -> DataFrame:
     """Rows of chunks: documents (ids, held, lengths), and their tokens as ranks in the chunk's list of words."""
     id_type = dict(docs.dtypes)["doc_id"]
 
@@ -139,7 +148,7 @@ def chunks(docs: DataFrame) -> DataFrame:
                 ids.append(doc_id)
                 parts.append(np.array(tokens(text), np.uint64))
                 size += len(parts[-1])
-                if size >= CHUNK:
+                if size >= most:
                     yield chunk()
                     number, ids, parts, size = number + 1, [], [], 0
         if ids:
@@ -188,24 +197,28 @@ def _totals(answers: DataFrame) -> np.ndarray:
     return np.array([x or 0 for x in sums.agg(*[F.sum(f"t{i}") for i in range(n)]).first()], np.int64)
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
+def score(docs: DataFrame, chunk: int | None = None, bucket: int | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    ``chunk`` and ``bucket`` (tokens; ``CHUNK`` and ``BUCKET``) change no result.
+    """
     id_type = dict(docs.dtypes)["doc_id"]
-    table = common.keep(chunks(docs), "katz-chunks")
+    most = bucket or BUCKET
+    table = common.keep(chunks(docs, chunk or CHUNK), "katz-chunks")
     size = table.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-size // BUCKET))
+    n = max(1, -(-size // most))
     rows = table.select(F.col("chunk").alias("to"), F.col("chunk").alias("from"), F.lit("chunk").alias("kind"), "data")
 
     counts = common.keep(blobs.exchange(_ask_words(rows, n), _answer_words), "katz-words")
     t = _totals(counts)
     uni = Unigrams.of(int(t[0]), int(t[1]), t[2:])
 
-    asked = blobs.exchange(rows.union(counts.where(blobs.of("counts"))), lambda to, got: _ask_bigrams(to, got, n))
+    asked = blobs.exchange(rows.union(counts.where(blobs.of("counts"))), lambda to, got: _ask_bigrams(to, got, n, most))
     bigrams = common.keep(blobs.exchange(asked, lambda to, got: _answer_bigrams(to, got, uni)), "katz-bigrams")
     d = tuple(discounts(_totals(bigrams)[2:]))
 
     every = rows.union(counts.where(blobs.of("counts"))).union(bigrams.where(blobs.of("bigrams")))
-    scored = blobs.exchange(every, lambda to, got: _score(to, got, n, uni, d), "chunk long, k int, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = blobs.exchange(every, lambda to, got: _score(to, got, n, most, uni, d), "chunk long, k int, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     ids = table.select("chunk", F.posexplode("ids").alias("k", "doc_id"))
     out = scored.join(ids, ["chunk", "k"])
     return out.select(F.col("doc_id").cast(id_type), "held_out", "n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), "base_score", "score")
@@ -237,8 +250,8 @@ def _word_counts(words: np.ndarray, got: list, n: int) -> np.ndarray:
     return counts
 
 
-def _asked(got: list, n: int) -> tuple:
-    """A chunk's distinct bigrams, sorted by bucket, and where each token's is."""
+def _asked(got: list, n: int, most: int) -> tuple:
+    """A chunk's distinct bigrams, where each token's is, and what it asks (see :func:`_parts`)."""
     data = next(d for _, kind, d in got if kind == "chunk")
     lens, held_, words, at, train = _load(data)
     counts = _word_counts(words, got, n)
@@ -248,19 +261,37 @@ def _asked(got: list, n: int) -> tuple:
     end = int(np.nonzero(words == np.uint64(END))[0][0])
     ids = np.append(words, ~np.uint64(END))
     seen = np.append(counts, counts[end])
-    bucket = _spread(ids[context], seen[context], words[word], n)
-    return lens, held_, words, at, train, counts, key, where, context, word, ids, bucket, seen >= BUCKET // 4
+    salts = _salts(seen, most)
+    parts = _parts(context, _spread(ids[context], salts[context], words[word], n), ids, salts, n)
+    return lens, held_, words, at, train, counts, key, where, context, word, ids, parts, salts > 1
 
 
-def _ask_bigrams(chunk: int, got: list, n: int) -> Iterable[tuple]:
-    _, _, words, _, train, counts, key, where, context, word, ids, bucket, dealt = _asked(got, n)
-    local = np.bincount(where[train], minlength=len(key))
+def _parts(context: np.ndarray, bucket: np.ndarray, ids: np.ndarray, salts: np.ndarray, n: int) -> Iterable[tuple]:
+    """What a chunk asks of each bucket: the bucket, the bigrams (by context), the contexts, and the place of each bigram's context.
+
+    A context that is dealt is asked of all its buckets, also where the chunk has no bigram of it, as each
+    has a part of its total. Those are no more than eight contexts a bucket on average.
+    """
     order = np.argsort(bucket, kind="stable")  # within a bucket by context
     edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    for b in np.nonzero(np.diff(edges))[0]:
+    dealt = np.unique(context[salts[context] > 1])
+    times = salts[dealt].astype(np.int64)
+    owner = np.repeat(dealt, times)
+    salt = np.arange(len(owner)) - np.repeat(times.cumsum() - times, times)
+    more = np.unique(_bucket(ids[owner], salt.astype(np.uint64), n) * len(ids) + owner)
+    more_edges = np.searchsorted(more // len(ids), np.arange(n + 1))
+    for b in np.nonzero(np.diff(edges) + np.diff(more_edges))[0]:
         mine = order[edges[b] : edges[b + 1]]
-        contexts, sizes = np.unique(context[mine], return_counts=True)
-        yield int(b), chunk, "ask", blobs.pack(ids[contexts], blobs.small(sizes), words[word[mine]] & _MASK, blobs.small(local[mine]), blobs.small(counts[word[mine]]), dealt[contexts].view(np.uint8))
+        own = np.union1d(context[mine], more[more_edges[b] : more_edges[b + 1]] % len(ids))
+        yield int(b), mine, own, np.searchsorted(own, context[mine])
+
+
+def _ask_bigrams(chunk: int, got: list, n: int, most: int) -> Iterable[tuple]:
+    _, _, words, _, train, counts, key, where, _, word, ids, parts, dealt = _asked(got, n, most)
+    local = np.bincount(where[train], minlength=len(key))
+    for b, mine, contexts, place in parts:
+        sizes = np.bincount(place, minlength=len(contexts))
+        yield b, chunk, "ask", blobs.pack(ids[contexts], blobs.small(sizes), words[word[mine]] & _MASK, blobs.small(local[mine]), blobs.small(counts[word[mine]]), dealt[contexts].view(np.uint8))
 
 
 #: Within a context a word's id is sent by its lower six bytes.
@@ -298,21 +329,17 @@ def _weighed(counts: np.ndarray, context: np.ndarray, dealt: np.ndarray) -> np.n
     return (np.bincount(context[counts == 0], minlength=len(dealt)) > 0) | dealt
 
 
-def _score(chunk: int, got: list, n: int, uni: Unigrams, discount: tuple) -> Iterable[tuple]:
-    lens, held_, words, at, _, counts, key, where, context, word, _, bucket, dealt = _asked(got, n)
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
+def _score(chunk: int, got: list, n: int, most: int, uni: Unigrams, discount: tuple) -> Iterable[tuple]:
+    lens, held_, words, at, _, counts, key, where, context, word, _, parts, dealt = _asked(got, n, most)
+    answers = {b: data for b, kind, data in got if kind == "bigrams"}
     c = np.zeros(len(key), np.int64)
     total, few, mass = np.zeros(len(words) + 1, np.int64), np.zeros((TRUSTED, len(words) + 1), np.int64), np.zeros(len(words) + 1)
-    for b, kind, data in got:
-        if kind == "bigrams":
-            mine = order[edges[b] : edges[b + 1]]
-            own, local = np.unique(context[mine], return_inverse=True)
-            x = blobs.unpack(data)
-            c[mine] = x[0]
-            total[own] += x[1].astype(np.int64)
-            few[:, own] += np.array(x[2 : 2 + TRUSTED], np.int64)
-            mass[own[_weighed(x[0], local, dealt[own])]] += x[-1]
+    for b, mine, own, place in parts:
+        x = blobs.unpack(answers[b])
+        c[mine] = x[0]
+        total[own] += x[1].astype(np.int64)
+        few[:, own] += np.array(x[2 : 2 + TRUSTED], np.int64)
+        mass[own[_weighed(x[0], place, dealt[own])]] += x[-1]
     d, r = np.array(discount), np.arange(1, TRUSTED + 1)
     lost = ((1 - d[1 : TRUSTED + 1]) * r) @ few  # taken from the small counts of each context
     size = np.where((lost <= 0) & (total > 0), total + 1, total).astype(np.float64)  # a context without one gives one event

@@ -395,6 +395,19 @@ def test_katz(spark, unique, sizes, monkeypatch):
         assert got[i]["base_score"] == pytest.approx(w[4]) and got[i]["score"] == pytest.approx(w[5])
 
 
+@pytest.mark.parametrize("sizes", [(60, 100), (1, 40)])
+def test_katz_dealt_contexts(spark, sizes):
+    """Chunks that have few followers of a frequent context still score by all of its counts."""
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"{'the' if k % 2 else 'w%d' % w}" for k, w in enumerate(rng.integers(0, 150, 12)))) for i in range(200)]
+    rows += [(900, "the"), (901, "w3"), (902, "the unseen"), (903, None)]
+    want = brute_katz(rows)
+    got = as_dict(katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk=sizes[0], bucket=sizes[1]))
+    assert len(got) == len(rows)
+    for i, w in want.items():
+        assert got[i]["score"] == pytest.approx(w[5]), i
+
+
 def test_katz_odd_rows(spark, docs, rows):
     assert katz.score(docs).count() == len(rows)
     assert katz.score(docs.where("false")).count() == 0
