@@ -2,14 +2,18 @@
 
 Base spans (email, ip, card, phone) come from patterns within the row. Then corpus
 co-occurrence tells how strongly a term reveals a protected value: with n(e) documents
-naming value e, n(t) having term t, n(e,t) having t near e, of N documents, the term
+naming value e, n(t) having term t, n(e,t) having both, of N documents, the term
 discloses PMI(e;t) = log2(n(e,t) N / (n(e) n(t))) of the log2(N / n(e)) bits that e is worth. Terms
-that disclose at least the share ``DISCLOSURE`` and were seen near e in ``SUPPORT`` different texts
-are spans of kind "term" and are generalised with the base spans.
-
-All of it is DataFrame code. One pass keeps a narrow table (ids, spans, terms near them); only
-candidate terms, cut by an upper bound of their PMI, are counted over all texts in a second
-pass. They are broadcast if there are at most ``BROADCAST_TERMS``, and joined by a shuffle of
+that disclose at least the share ``DISCLOSURE`` and are in ``SUPPORT`` documents with e
+are spans of kind "term", wherever they stand in these, and are generalised with the base spans.
+A document is an id and a text, so copies under other ids count as documents of their own. A term in one
+document only has no association to count: every word found nowhere else would disclose all values
+beside it (``support`` = 1 does that).
+
+All of it is DataFrame code. One pass keeps a narrow table (ids, spans, and the terms of documents with
+spans). As n(e,t) <= n(e), a term of e has n(t) <= n(e)^share N^(1 - share): pairs are formed of the few
+values and terms within this bound only, and only candidate terms are counted over all texts in a
+second pass. They are broadcast if there are at most ``BROADCAST_TERMS``, and joined by a shuffle of
 pre-aggregated counts beyond that.
 
 Defined cases: a null text is an empty one and has no spans; rows with the same id and the
@@ -37,9 +41,7 @@ PATTERNS = {
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9]", "phone": r"\+[0-9]"}
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 TERM = r"[\p{L}\p{N}_]+"
-#: Code points on either side of a value in which a term is near it.
-NEAR = 80
-DISCLOSURE, SUPPORT, LEAST_TERM = 0.9, 3, 3
+DISCLOSURE, SUPPORT, LEAST_TERM = 0.9, 2, 3
 BROADCAST_TERMS = 100_000
 #: Term spans (one row each) up to which the documents that have them are broadcast.
 BROADCAST_SPANS = 200_000
@@ -76,47 +78,54 @@ def base_spans(text: Column) -> Column:
     return F.concat(*map(of, KINDS))
 
 
-def near_terms(text: Column, spans: Column) -> Column:
-    """Array of (value, term, s, e): the whole words near each span that touch no span."""
-    total = F.length(text).cast("long")
-
-    def around(x: Column) -> Column:
-        at = F.greatest(x["s"] - NEAR, F.lit(0).cast("long"))
-        left = located(text.substr((at + 1).cast("int"), (x["s"] - at).cast("int")), TERM)
-        right = located(text.substr((x["e"] + 1).cast("int"), F.lit(NEAR)), TERM)
-        whole_left = F.filter(left, lambda w: (w["s"] > 0) | (at == 0))
-        whole_right = F.filter(right, lambda w: (w["e"] < NEAR) | (x["e"] + NEAR >= total))
-        move = lambda words, by: F.transform(
-            words, lambda w: F.struct(x["value"].alias("value"), F.lower(w["m"]).alias("term"), (w["s"] + by).alias("s"), (w["e"] + by).alias("e"))
-        )
-        return F.concat(move(whole_left, at), move(whole_right, x["e"]))
-
-    words = F.flatten(F.transform(spans, around))
+def beside(text: Column, spans: Column) -> Column:
+    """Array of (term, s, e): the words of the text that touch no span."""
+    words = F.transform(located(text, TERM), lambda w: F.struct(F.lower(w["m"]).alias("term"), w["s"].alias("s"), w["e"].alias("e")))
     fits = lambda w: (F.length(w["term"]) >= LEAST_TERM) & w["term"].rlike(r"\p{L}")
     return F.filter(words, lambda w: fits(w) & ~F.exists(spans, lambda x: (w["s"] < x["e"]) & (x["s"] < w["e"])))
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, base spans and the terms near them: a narrow table, one row per document."""
+    """doc_id, hash of the text, base spans and the terms beside them: one row per document, narrow without spans."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    none = "array<struct<value:string,term:string,s:bigint,e:bigint>>"
+    none = "array<struct<term:string,s:bigint,e:bigint>>"
     some = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("_t"), base_spans(text).alias("base"))
-    return some.select("doc_id", "h", "base", F.when(F.size("base") > 0, near_terms(F.col("_t"), F.col("base"))).otherwise(F.array().cast(none)).alias("near"))
+    return some.select("doc_id", "h", "base", F.when(F.size("base") > 0, beside(F.col("_t"), F.col("base"))).otherwise(F.array().cast(none)).alias("beside"))
+
+
+def _values(narrow: DataFrame) -> DataFrame:
+    """doc_id, h and value: each document and the values it names."""
+    return narrow.where(F.size("base") > 0).select("doc_id", "h", F.explode("base").alias("x")).select("doc_id", "h", F.col("x.value").alias("value")).distinct()
+
+
+def _of(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+    """Join by document."""
+    named = right.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
+    return left.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), how).drop("_id", "_h")
 
 
 def disclosing(narrow: DataFrame, docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """(value, term) pairs whose term discloses the value, of the table :func:`found`."""
-    total = docs.count()
-    named = narrow.where(F.size("base") > 0)
-    values = named.select("doc_id", "h", F.explode("base").alias("x")).select("doc_id", "h", F.col("x.value").alias("value")).distinct()
-    near = named.select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", F.col("x.value").alias("value"), F.col("x.term").alias("term")).distinct()
-    n_e = values.groupBy("value").agg(F.count("*").alias("n_e"))
-    texts = near.select("value", "term", "h").distinct().groupBy("value", "term").agg(F.count("*").alias("texts"))
-    pairs = near.groupBy("value", "term").agg(F.count("*").alias("n_et")).join(texts.where(F.col("texts") >= support), ["value", "term"])
-    seen = near.select("doc_id", "h", "term").distinct().groupBy("term").agg(F.count("*").alias("seen"))
-    worth = F.log2(F.lit(float(max(total, 1))) / F.col("n_e"))
-    told = lambda n_t: F.log2(F.col("n_et") * float(max(total, 1)) / (F.col("n_e") * n_t))
-    likely = common.keep(pairs.join(n_e, "value").join(seen, "term").where((worth > 0) & (told(F.col("seen")) >= share * worth)), "terms")
+    total = float(max(docs.count(), 1))
+    n_e = common.keep(_values(narrow).groupBy("value").agg(F.count("*").alias("n_e")).where((F.col("n_e") >= support) & (F.col("n_e") < total)), "values")
+    most = n_e.agg(F.max("n_e")).first()[0]
+    if most is None:
+        return n_e.select("value", F.col("value").alias("term"))
+    # A little above the exact bound, as it is only a first cut.
+    bound = lambda n: F.pow(n, F.lit(share)) * (total ** (1 - share) * (1 + 1e-9))
+    worth = F.log2(F.lit(total) / F.col("n_e"))
+    told = lambda n_t: F.log2(F.col("n_et") * total / (F.col("n_e") * n_t))
+
+    named = common.keep(_values(narrow).join(n_e, "value"), "named")
+    has = _of(narrow, named.select("doc_id", "h").distinct(), "left_semi").select("doc_id", "h", F.explode(F.array_distinct("beside.term")).alias("term"))
+    words = common.keep(has.distinct(), "words")
+    seen = common.keep(words.groupBy("term").agg(F.count("*").alias("seen")), "seen")
+    fits = (F.col("seen") >= support) & (F.col("seen") <= bound(F.lit(float(most))))
+    # Terms that one in some hundred documents has are few, and go before they meet in a task.
+    often = seen.where(~fits & (F.col("seen") >= max(support, 100, words.select("doc_id", "h").distinct().count() // 200))).select("term")
+    some = words.join(F.broadcast(often), "term", "left_anti").join(seen.where(fits), "term")
+    pairs = _of(some, named, "inner").where(F.col("seen") <= bound(F.col("n_e"))).groupBy("value", "term").agg(F.count("*").alias("n_et"), F.first("n_e").alias("n_e"), F.first("seen").alias("seen"))
+    likely = common.keep(pairs.where((F.col("n_et") >= support) & (told(F.col("seen")) >= share * worth)), "terms")
     terms = likely.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"))).alias("term"))
     if likely.limit(1).count() == 0:
@@ -125,17 +134,17 @@ def disclosing(narrow: DataFrame, docs: DataFrame, share: float = DISCLOSURE, su
         n_t = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
     else:
         n_t = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-    return likely.join(n_t, "term").where(told(F.greatest("n_t", "seen")) >= share * worth).select("value", "term")
+    return likely.join(n_t, "term", "left").where(told(F.greatest("n_t", "seen")) >= share * worth).select("value", "term")
 
 
 def spans(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """doc_id, h (hash of the text), base and terms (sorted arrays of spans) for every document."""
     narrow = common.keep(found(docs.select("doc_id", "text")), "pii")
     pairs = common.keep(disclosing(narrow, docs, share, support), "disclosing")
-    near = narrow.where(F.size("near") > 0).select("doc_id", "h", F.explode("near").alias("x")).select("doc_id", "h", "x.*")
-    hits = near.join(pairs, ["value", "term"]).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
-    hits = hits.withColumnsRenamed({"doc_id": "_id", "h": "_h"})
-    out = narrow.join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    told = common.keep(_values(narrow).join(pairs, "value").select("doc_id", "h", "term").distinct(), "told")
+    words = _of(narrow, told.select("doc_id", "h").distinct(), "left_semi").select("doc_id", "h", F.explode("beside").alias("x")).select("doc_id", "h", "x.*")
+    hits = _of(words, told.withColumnRenamed("term", "_term"), "inner").where("term = _term").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
+    out = _of(narrow, hits, "left")
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
     return out.select("doc_id", "h", "base", F.coalesce("terms", none).alias("terms"))
 
