@@ -74,6 +74,72 @@ def test_licenses(spark, text, ids, found, unmatched):
     assert (r["sentence_ids"], r["licenses"], r["n_unmatched"]) == (ids, found, unmatched)
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED."""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions.
+3. Neither the name of the
+   copyright holder nor the names of its contributors may be used to
+   endorse or promote products derived from this software."""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS."""
+
+
+@pytest.mark.parametrize(
+    "text, ids, found",
+    [
+        (MIT, "Copyright,MITgrant,MITnotice,ASIS", "MIT"),
+        (GPL, "GPLfree,GPLnowarranty,GPLreceived", "GPL"),
+        (GPL.replace("software:", "software;"), "GPLfree,GPLnowarranty,GPLreceived", "GPL"),
+        (BSD, "BSDredist,BSDsource,BSDbinary,BSDname", "BSD-3-Clause"),
+        (APACHE, "Apache2ref,ApacheUse,ApacheCopy,ApacheLimit", "Apache-2.0"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not", "MPL2ref", "MPL-2.0"),
+        ("// SPDX-License-Identifier: MIT\nint main;", "SPDX-MIT", "MIT"),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-GPL-2.0", "GPL-2.0"),
+        ("SPDX-License-Identifier: Zlib", "SPDX", ""),
+        ("a title\nReleased under the MIT License\nmore prose", "MITref", "MIT"),
+        ("Permission is hereby granted, free of charge, to any person obtaining a copy.\nOf this software and", "", ""),
+    ],
+)
+def test_licenses_of_canonical_notices(spark, text, ids, found):
+    for t in (text, text.replace("\n", "\r\n")):
+        r = licenses.scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()
+        assert (r["sentence_ids"], r["licenses"]) == (ids, found)
+
+
 def test_licenses_odd_rows(spark, docs, rows):
     out = licenses.scan(docs)
     assert out.count() == len(rows) and set(docs.columns) <= set(out.columns) and out.where("licenses != ''").count() == 0
