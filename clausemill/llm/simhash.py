@@ -126,15 +126,19 @@ def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, c
     return pairs.union(common.arrow(sorted_, lambda batches: _linked(batches, distance), "a long, b long"))
 
 
-def classes(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """``fps`` (doc_id, fp) with component_id: the smallest doc_id that links reach."""
+def _named(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
+    """fp, component_id and root (the smallest fingerprint of the class) of every distinct fingerprint."""
     distinct = common.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprints")
     roots = graph.components(links(distinct.select("fp"), distance, blocks), "links")
     named = distinct.join(roots.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = common.keep(named, "roots")
     ids = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = common.keep(named.join(ids, "root").select("fp", "component_id"), "classes")
-    return fps.join(of, "fp")
+    return common.keep(named.join(ids, "root").select("fp", "component_id", "root"), "classes")
+
+
+def classes(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
+    """``fps`` (doc_id, fp) with component_id: the smallest doc_id that links reach."""
+    return fps.join(_named(fps, distance, blocks).drop("root"), "fp")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -143,29 +147,29 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
 
 
 def dedupe(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The documents, one of each class: the one with the smallest id; all columns kept.
+    """The documents, one of each class: the one with the smallest id, without ids any; ties go by a hash of the text, then of the row.
 
-    Documents are held against the ids that go, the shorter list. Repeated rows (same id and
-    text) stay once. Rows without an id stay, once per text, unless a document with an id is in
-    their class. Only where there are such rows do they take a way of their own.
+    Documents are held against the ids that go, the shorter list; all columns are kept. Ids that repeat or are
+    missing don't tell which row goes: only where there are such rows do they take a way of their own, by
+    their fingerprint.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, distance)
+    fps = common.keep(fingerprints(docs.select("doc_id", "text"), shingle), "simhash")
+    of = _named(fps, distance, BLOCKS)
+    found = fps.join(of, "fp")
+    odd = fps.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    again = common.keep(odd.select(F.col("doc_id").alias("__cm_id")), "again")
     gone = common.keep(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
     kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    odd = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-    again = common.keep(odd.select(F.col("doc_id").alias("__cm_id")), "again")
-    if again.where("__cm_id is not null").limit(1).count():
-        several = kept.join(again, kept["doc_id"] == again["__cm_id"], "left_semi").withColumn("__cm_text", F.xxhash64("text"))
-        kept = kept.join(again, kept["doc_id"] == again["__cm_id"], "left_anti").unionByName(several.dropDuplicates(["doc_id", "__cm_text"]).drop("__cm_text"))
-    if again.where("__cm_id is null").limit(1).count():
-        alone = found.where("doc_id is null and component_id is null").select(F.col("fp").alias("_fp")).distinct()
-        row = F.struct(*docs.columns)
-        types = docs.select(row.alias("r")).schema["r"].dataType.simpleString()
-        nulls = docs.where("doc_id is null").select("text", F.to_json(row).alias("_row"))
-        marked = common.map_rows(nulls, ["text"], lambda texts: [[fingerprint(t, shingle) for t in texts]], "_fp long", keep=("text", "_row"))
-        back = marked.join(alone, "_fp", "left_semi").dropDuplicates(["text"]).select(F.from_json("_row", types).alias("r")).select("r.*")
-        kept = kept.unionByName(back)
-    return kept
+    if not again.limit(1).count():
+        return kept
+    several = docs.join(again.where("__cm_id is not null"), docs["doc_id"] == again["__cm_id"], "left_semi").union(docs.where("doc_id is null"))
+    rows = several.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    marked = common.map_rows(rows, ["text"], lambda texts: [[fingerprint(t, shingle) for t in texts]], "_fp long", keep=("doc_id", "text", "_row"))
+    first = marked.join(of, (F.col("_fp") == F.col("fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    order = F.struct(F.xxhash64("text"), F.xxhash64(F.to_json("_row")), F.to_json("_row"))
+    back = first.groupBy("root").agg(F.min_by("_row", order).alias("_row")).select("_row.*")
+    alone = kept.join(again, kept["doc_id"] == again["__cm_id"], "left_anti")
+    return alone.unionByName(back)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

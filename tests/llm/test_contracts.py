@@ -294,6 +294,19 @@ def test_simhash_odd_rows(spark, docs, rows):
     assert simhash.dedupe(docs.where("false")).count() == 0
 
 
+def test_dedupe_keeps_one_row_of_every_class(spark):
+    """Ids that are missing, and ids that repeat with other texts, in one class and in several."""
+    text = lambda seed: " ".join(f"w{x}" for x in np.random.default_rng(seed).integers(0, 10**6, 300))
+    near = lambda t: t + " "  # same words, another text
+    a, b, c, d, e = map(text, range(5))
+    rows = [(None, a), (None, near(a)), (None, b), (5, c), (5, d), (1, d), (7, e), (7, near(e)), (None, d), (9, b + " "), (9, text(9)), (9, text(9))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r["doc_id"], (r["text"] or "").strip()) for r in simhash.dedupe(df).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (5, c), (1, d), (7, e), (9, b), (9, text(9))], key=str)
+    again = sorted((tuple(r) for r in simhash.dedupe(df.repartition(5)).collect()), key=str)
+    assert again == sorted((tuple(r) for r in simhash.dedupe(df.repartition(2)).collect()), key=str)
+
+
 def private(t):
     def luhn(d):
         s = [int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))]
