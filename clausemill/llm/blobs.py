@@ -18,6 +18,7 @@ from clausemill.llm import common
 
 #: Rows of every exchange: to whom, from whom, what kind, and the packed arrays.
 SCHEMA = "`to` long, `from` long, kind string, data binary"
+MOST_PARTITIONS = 1 << 16
 
 
 def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
@@ -48,10 +49,50 @@ def small(a: np.ndarray) -> np.ndarray:
     return a.astype(np.uint8 if top < 256 else np.uint16 if top < 65536 else np.uint32 if top < 2**32 else np.uint64)
 
 
-def exchange(rows: DataFrame, answer: Callable[[int, list[tuple[int, str, bytes]]], Iterable[tuple]], schema: str = SCHEMA) -> DataFrame:
+def splits(df: DataFrame) -> int:
+    """Number of partitions in which ``df`` is read: it follows the input."""
+    return max(1, df.rdd.getNumPartitions())
+
+
+def size(n_splits: int, least: int, per_split: int, message: int = 100) -> int:
+    """Units (bytes, tokens) of a chunk and of a bucket for so many splits of ``per_split`` units.
+
+    Chunks times buckets are the rows of an exchange. For a row to hold ``message`` units the product of the two sizes
+    is ``message`` times the whole: both grow with the root of the input, from ``least`` on.
+    """
+    return max(least, int((message * n_splits * per_split) ** 0.5))
+
+
+def meet(table: DataFrame, rows: DataFrame, answer: Callable[[int, dict, list[tuple[int, str, bytes]]], Iterable[tuple]], schema: str = SCHEMA) -> DataFrame:
+    """``answer`` (to, the columns of ``table``'s row, [(from, kind, data)]) for every row of ``table``.
+
+    ``table`` is kept in buckets by ``to`` (:func:`common.keep`), so it is read in place and only ``rows`` are shuffled.
+    """
+    from pyspark.sql.types import StructType
+
+    fields = StructType.fromDDL(schema)
+
+    def run(left, right):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        want = to_arrow_schema(fields)
+        out: list[tuple] = []
+        got = sorted(zip(*(right.column(c).to_pylist() for c in ("from", "kind", "data")), strict=True), key=lambda r: r[:2])
+        for own in left.to_pylist():
+            out += answer(own["to"], own, got)
+        columns = zip(*out, strict=True) if out else [[]] * len(want)
+        return pa.Table.from_arrays([pa.array(x, type=t) for x, t in zip(columns, want.types, strict=True)], schema=want)
+
+    common.ship(table.sparkSession)
+    return table.groupBy("to").cogroup(rows.select("to", "from", "kind", "data").groupBy("to")).applyInArrow(run, fields)
+
+
+def exchange(rows: DataFrame, answer: Callable[[int, list[tuple[int, str, bytes]]], Iterable[tuple]], receivers: int, schema: str = SCHEMA) -> DataFrame:
     """Bring the rows ``to`` the same receiver together; ``answer`` (to, [(from, kind, data)]) yields rows of ``schema``.
 
-    A receiver's rows come sorted by sender and kind, so its answer doesn't depend on the order of arrival.
+    A receiver's rows come sorted by sender and kind, so its answer doesn't depend on the order of arrival. Partitions
+    follow the number of receivers, so a task's share doesn't grow with the input.
     """
     from pyspark.sql.types import StructType
 
@@ -87,7 +128,7 @@ def exchange(rows: DataFrame, answer: Callable[[int, list[tuple[int, str, bytes]
         if got:
             yield from out(now, got)
 
-    return common.arrow(rows.select("to", "from", "kind", "data").repartition("to").sortWithinPartitions("to", "from", "kind"), run, fields)
+    return common.arrow(rows.select("to", "from", "kind", "data").repartition(max(1, min(receivers, MOST_PARTITIONS)), "to").sortWithinPartitions("to", "from", "kind"), run, fields)
 
 
 def each(rows: DataFrame, fn: Callable[[int, list[tuple[int, str, bytes]]], Iterable[tuple]]) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from contextlib import contextmanager
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -24,11 +25,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    Only where the session has none (plain local tests) a temporary folder is set.
+    A temporary folder is set only where the session has none and runs on this machine alone; a cluster's
+    executors wouldn't find each other's files there, so without the setting it is an error.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found and (of_context := sc._jsc.sc().getCheckpointDir()).isDefined():
+        found = of_context.get()
+    if not found and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or _own_dir()).rstrip("/")
 
 
@@ -37,26 +44,57 @@ def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="clausemill-")
 
 
-def keep(df: DataFrame, name: str, *by: str) -> DataFrame:
+#: Lists of the tables kept since a :func:`scratch` began, the innermost last.
+_scratch: list[list[DataFrame]] = []
+
+
+def keep(df: DataFrame, name: str, *by: str, buckets: tuple[int, str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a read, not the work before it, and
     what is read twice is computed once. The shuffle files behind the table go when it is written;
     they would otherwise stay on the executors' disks until the driver collects its garbage.
+    A table with ``buckets`` (number, column) is grouped by that column in later reads without a shuffle.
     """
-    path = f"{shared_dir(df.sparkSession)}/clausemill/{name}-{uuid.uuid4().hex}"
-    conf, writer = df.sparkSession.conf, df.write.option("compression", "zstd")
+    spark, mark = df.sparkSession, f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/clausemill/{mark}"
+    conf, writer = spark.conf, df.write.option("compression", "zstd")
     before = conf.get(CLEANUP, "false")
     conf.set(CLEANUP, "true")
+    table = f"clausemill_{mark}".replace("-", "_") if buckets else None
     try:
-        (writer.partitionBy(*by) if by else writer).parquet(path)
+        if table:
+            writer.bucketBy(*buckets).option("path", path).saveAsTable(table)
+        else:
+            (writer.partitionBy(*by) if by else writer).parquet(path)
     finally:
         conf.set(CLEANUP, before)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._kept_at = path
+    out = spark.table(table) if table else spark.read.schema(df.schema).parquet(path)
+    out._kept_at, out._kept_as = path, table
+    for inner in _scratch[-1:]:
+        inner.append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables kept within are deleted at the end, but for those that are to last (:func:`lasting`)."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        drop(*_scratch.pop())
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """Take a kept table out of the current :func:`scratch`; it belongs to the one around it, if any."""
+    if _scratch:
+        _scratch[-1][:] = [x for x in _scratch[-1] if x is not df]
+        for outer in _scratch[-2:-1]:
+            outer.append(df)
+    return df
+
+
 def small(df: DataFrame, most: int, name: str = "small") -> DataFrame:
     """``df`` kept as a table, to be broadcast if it has at most ``most`` rows; else joined as any other."""
     kept = keep(df, name)
@@ -67,6 +105,8 @@ def drop(*frames: DataFrame) -> None:
     """Delete tables of :func:`keep` that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_kept_at", None):
+            if df._kept_as:
+                df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._kept_as}")
             jvm = df.sparkSession._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

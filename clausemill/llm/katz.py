@@ -1,28 +1,31 @@
-"""Language-model scoring by a Katz backoff bigram model.
-
-Counts of the training documents are discounted by Good-Turing, a context's left mass goes to
-the words not seen after it in proportion to their unigram probability (exactly normalised:
-the weight is the left mass over one minus the unigram mass of the words seen), and the
-unigrams' left mass is that of all unknown words together. A token is scored by its bigram,
-else by its context's backoff weight and, in turn, its unigram.
-
-The tables are partitioned by hash: a bucket owns the counts of its words, and a bucket owns
-those of its contexts (frequent contexts are dealt over several by the next word, and all of
-these are asked for their parts of the context's total). Documents
-are packed into chunks, and each chunk asks the owners for the counts of its distinct words
-and bigrams once, whatever their number in the chunk (see :mod:`blobs`). Nothing but a
-dozen totals reaches the driver.
-
-Defined cases: a null or empty text has its end token only; a null id trains; repeated rows
-count and are scored each; an empty table gives an empty result; without training tokens a
-known word doesn't exist and every token is unknown, with probability one.
+"""Language-model scoring by a Katz backoff model of ``ORDER`` words (trigrams).
+
+Counts of the training documents are discounted by Good-Turing at every order. A context's left mass goes to
+the words not seen after it in proportion to their probability at the next lower order (exactly normalised: the
+weight is the left mass over one minus the lower-order probability of the words seen), and the unigrams' left
+mass is that of all unknown words together. A token is scored recursively: by its n-gram if that was seen, else
+by its context's backoff weight times its score at the next lower order. A text's first words have a start mark
+as context.
+
+The counts are tables partitioned by hash: a bucket owns words, or contexts with all that follows them. A word's
+id is its place in its bucket, so equal ids are equal words. A context that is frequent is dealt over
+several buckets by the next word, and all of these are asked for their parts of its total. Documents are packed
+into chunks, kept in the shared folder in buckets by chunk, so they are never shuffled; order by order each
+chunk asks the owners once for its distinct n-grams and learns what the next order needs (see :mod:`blobs`).
+Nothing but a dozen totals an order reaches the driver. :func:`fit` writes the tables as Parquet, partitioned by order,
+and :func:`score` with that model scores any other corpus: a model's row enters its bucket as one more message.
+
+Defined cases: a null or empty text has its end token only; a very long text is one chunk; a null id trains;
+repeated rows count and are scored each; ties don't arise; extra columns are left out; an empty table gives an
+empty result; without training tokens a known word doesn't exist and every token is unknown, with
+probability one.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,30 +33,30 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from clausemill.llm import blobs, common
 
 FOLDS = 5
+ORDER = 3
 #: Counts above this aren't discounted.
 TRUSTED = 5
-#: Tokens of a chunk (about), and training tokens of a bucket (on average).
-CHUNK, BUCKET = 3 << 19, 1 << 20
-SEED = 42
+#: Tokens of a chunk (about), and training tokens of a bucket (on average), at least; tokens of an input split at most (about).
+CHUNK, BUCKET, SPLIT = 1 << 20, 1 << 20, 1 << 25
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: The id of the mark before a text; words have ids from 1.
+START = 0
+END = b""
+MODEL = -1
 
 
-def tokens(text: str | None) -> list[int]:
-    """Ids of the words and of the end token (the id of no word: the empty one's): the upper 56 bits of a hash."""
-    from xxhash import xxh64_intdigest as h
+class Words(dict):
+    """Number of each word, in order of first use."""
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    return [h(w, SEED) >> 8 for w in words] + [END]
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
 
-def _end() -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(b"", SEED) >> 8
-
-
-END = _end()
+def tokens(text: str | None) -> list[bytes]:
+    """Lower-cased words of a text and its end."""
+    return [*(text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split(), END]
 
 
 def held(doc_id: object, folds: int = FOLDS) -> bool:
@@ -104,23 +107,74 @@ class Unigrams:
         return np.where(c > 0, known, left)
 
 
-def _salts(count: np.ndarray, most: int) -> np.ndarray:
-    """Parts that contexts seen so often are dealt into; ``most`` is a bucket's number of training tokens."""
-    return (count // max(most // 4, 1) + 1).astype(np.uint64)
+@dataclass(frozen=True)
+class Plan:
+    """What all chunks and buckets know: number of buckets, tokens of a bucket, whether the documents are learned from, the
+    unigrams and the discounts of orders 2 and up, as far as these are counted."""
+
+    n: int
+    most: int
+    learn: bool
+    unigrams: Unigrams | None = None
+    discount: tuple[tuple[float, ...], ...] = ()
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A place of each distinct value of ``key``, ascending, and each row's number among the values."""
+    order = np.argsort(key)
+    new = np.empty(len(key), bool)
+    new[:1] = True
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    where = np.empty(len(key), np.int64)
+    where[order] = new.cumsum() - 1
+    return order[new], where
+
+
+def _joint(arrays: Iterable[np.ndarray]) -> np.ndarray:
+    """One number for each row of several columns of whole numbers; equal for equal rows only."""
+    out = None
+    for a in arrays:
+        a = a.astype(np.int64)
+        if out is None:
+            out = a
+            continue
+        if len(a) and (int(out.max()) + 1) * (int(a.max()) + 1) >= 2**62:
+            out, a = _distinct(out)[1], _distinct(a)[1]
+        out = out * (int(a.max()) + 1 if len(a) else 1) + a
+    return out
 
 
-def _bucket(context: np.ndarray, salt: np.ndarray, n: int) -> np.ndarray:
+def _bucket(ids: list[np.ndarray], salt: np.ndarray | int, n: int) -> np.ndarray:
+    """Owner of each context, whose words are the columns ``ids``."""
     with np.errstate(over="ignore"):
-        return (((context * _MIX + salt * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
+        h = np.full(len(ids[0]), salt, np.uint64) if np.isscalar(salt) else salt.astype(np.uint64)
+        for x in ids:
+            h = (h ^ (x.astype(np.uint64) + _MORE)) * _MIX
+            h ^= h >> np.uint64(29)
+        return ((h * _MORE >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
 
 
-def _spread(context: np.ndarray, salts: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of each bigram: by its context, and by the word too where the context is frequent."""
+def _salt(word: np.ndarray, salts: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _bucket(context, ((word * _MIX) >> np.uint64(32)) % salts, n)
+        return ((word.astype(np.uint64) * _MIX) >> np.uint64(32)) % salts.astype(np.uint64)
+
+
+def _owners(words: list[bytes], n: int) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(w) % n for w in words], np.int64)
+
+
+def _pack_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return blobs.small(np.array([len(w) for w in words], np.int64)), np.frombuffer(b"".join(words), np.uint8)
 
 
-def chunks(docs: DataFrame, most: int) -> DataFrame:
+def _unpack_words(lens: np.ndarray, body: np.ndarray) -> list[bytes]:
+    raw, ends = body.tobytes(), lens.astype(np.int64).cumsum().tolist()
+    return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def chunks(docs: DataFrame, most: int, learn: bool) -> DataFrame:
     """Rows of chunks: documents (ids, held, lengths), and their tokens as ranks in the chunk's list of words."""
     id_type = dict(docs.dtypes)["doc_id"]
 
@@ -128,61 +182,75 @@ def chunks(docs: DataFrame, most: int) -> DataFrame:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        number, ids, parts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, parts, size, words = TaskContext.get().partitionId() << 32, [], [], 0, Words()
+        id_arrow = None
 
         def chunk():
-            words, at, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-            order = np.argsort(-counts, kind="stable")
+            at = np.concatenate(parts)
+            order = np.argsort(-np.bincount(at, minlength=len(words)), kind="stable")
             rank = np.empty(len(order), np.int64)
             rank[order] = np.arange(len(order))
             lens = np.array([len(p) for p in parts])
-            data = blobs.pack(blobs.small(lens), np.array([held(i) for i in ids], np.uint8), words[order], blobs.small(rank[at]))
+            listed = list(words)
+            data = blobs.pack(blobs.small(lens), np.array([not learn or held(i) for i in ids], np.uint8), *_pack_words([listed[i] for i in order]), blobs.small(rank[at]))
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([lens.sum()], pa.int64()), pa.array([ids], pa.list_(id_arrow)), pa.array([data], pa.binary())], names=["chunk", "n", "ids", "data"]
+                [pa.array([number], pa.int64()), pa.array([len(at)], pa.int64()), pa.array([ids], pa.list_(id_arrow)), pa.array([data], pa.binary())], names=["to", "n", "ids", "data"]
             )
 
-        id_arrow = None
         for b in batches:
             id_arrow = b.column(0).type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
-                parts.append(np.array(tokens(text), np.uint64))
+                parts.append(np.array([words[w] for w in tokens(text)], np.int32))
                 size += len(parts[-1])
                 if size >= most:
                     yield chunk()
-                    number, ids, parts, size = number + 1, [], [], 0
+                    number, ids, parts, size, words = number + 1, [], [], 0, Words()
         if ids:
             yield chunk()
 
-    return common.arrow(docs.select("doc_id", "text"), run, f"chunk long, n long, ids array<{id_type}>, data binary")
+    return common.arrow(docs.select("doc_id", "text"), run, f"`to` long, n long, ids array<{id_type}>, data binary")
 
 
-def _load(data: bytes) -> tuple[np.ndarray, ...]:
-    lens, held_, words, at = blobs.unpack(data)
-    lens, at = lens.astype(np.int64), at.astype(np.int32)
-    train = np.repeat(held_ == 0, lens)
-    return lens, held_, words, at, train
+def _load(data: bytes) -> tuple:
+    lens, held_, word_lens, body, at = blobs.unpack(data)
+    lens = lens.astype(np.int64)
+    return lens, held_, _unpack_words(word_lens, body), at.astype(np.int64), np.repeat(held_ == 0, lens)
 
 
-def _bigrams(lens: np.ndarray, at: np.ndarray, n_words: int) -> np.ndarray:
-    """Context (rank; ``n_words``: the start of a text) times words plus word, for every token."""
-    before = np.empty_like(at)
-    before[1:] = at[:-1]
-    before[np.concatenate(([0], lens.cumsum()[:-1]))] = n_words
-    return before.astype(np.int64) * n_words + at
+def _ask_words(chunk: int, own: dict, n: int) -> Iterable[tuple]:
+    _, _, words, at, train = _load(own["data"])
+    counts, bucket = np.bincount(at[train], minlength=len(words)), _owners(words, n)
+    for b in np.unique(bucket):
+        mine = np.nonzero(bucket == b)[0] if n > 1 else np.arange(len(words))
+        yield int(b), chunk, "ask", blobs.pack(*_pack_words([words[i] for i in mine]), blobs.small(counts[mine]))
 
 
-def _ask_words(rows: DataFrame, n: int) -> DataFrame:
-    def ask(_: int, got: list) -> Iterable[tuple]:
-        for chunk, _, data in got:
-            _, _, words, at, train = _load(data)
-            counts = np.bincount(at[train], minlength=len(words))
-            bucket = ((words * _MIX) >> np.uint64(24)) % np.uint64(n)
-            for b in np.unique(bucket):
-                mine = bucket == b
-                yield int(b), chunk, "words", blobs.pack(words[mine], blobs.small(counts[mine]))
+def _answer_words(bucket: int, got: list, p: Plan) -> Iterable[tuple]:
+    """For each chunk its words' ids and counts; the training words as a row of the model."""
+    ids, parts = Words(), []
+    for _, _, data in got:
+        lens, body, counts = blobs.unpack(data)
+        parts.append((np.array([ids[w] for w in _unpack_words(lens, body)], np.int64), counts.astype(np.int64)))
+    counts = np.zeros(len(ids), np.int64)
+    for at, c in parts:
+        np.add.at(counts, at, c)
+    order = np.argsort(counts == 0, kind="stable")  # words of the model keep their places when others come
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    yield -1, bucket, "totals", _tally(counts)
+    if p.learn and (counts > 0).any():
+        listed = list(ids)
+        known = order[: (counts > 0).sum()]
+        yield bucket, MODEL, "model", blobs.pack(*_pack_words([listed[i] for i in known]), blobs.small(counts[known]))
+    for (chunk, _, _), (at, _) in zip(got, parts, strict=True):
+        if chunk != MODEL:
+            yield chunk, bucket, "1", blobs.pack(blobs.small(1 + place[at] * p.n + bucket), blobs.small(counts[at]))
 
-    return blobs.each(rows, ask)
+
+def _tally(counts: np.ndarray) -> bytes:
+    n = np.bincount(np.minimum(counts, TRUSTED + 2), minlength=TRUSTED + 3)
+    return blobs.pack(np.concatenate(([counts.sum(), (counts > 0).sum()], n)).astype(np.int64))
 
 
 def _totals(answers: DataFrame) -> np.ndarray:
@@ -197,164 +265,231 @@ def _totals(answers: DataFrame) -> np.ndarray:
     return np.array([x or 0 for x in sums.agg(*[F.sum(f"t{i}") for i in range(n)]).first()], np.int64)
 
 
-def score(docs: DataFrame, chunk: int | None = None, bucket: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+class Chunk:
+    """A chunk's distinct n-grams, order by order, with what the buckets have answered so far.
 
-    ``chunk`` and ``bucket`` (tokens; ``CHUNK`` and ``BUCKET``) change no result.
+    Of the current order: ``where`` (the n-gram of each token), ``context`` and ``word`` of each n-gram, the
+    ``low`` n-gram of one order less, ``ids`` (the words of each context, a column each), ``seen`` (how often a
+    context was seen) and ``low_size`` (events of the context of one order less). A context is an n-gram of the
+    order before, or, as the last one, the start of a text.
     """
-    id_type = dict(docs.dtypes)["doc_id"]
-    most = bucket or BUCKET
-    table = common.keep(chunks(docs, chunk or CHUNK), "katz-chunks")
-    size = table.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-size // most))
-    rows = table.select(F.col("chunk").alias("to"), F.col("chunk").alias("from"), F.lit("chunk").alias("kind"), "data")
 
-    counts = common.keep(blobs.exchange(_ask_words(rows, n), _answer_words), "katz-words")
-    t = _totals(counts)
-    uni = Unigrams.of(int(t[0]), int(t[1]), t[2:])
-
-    asked = blobs.exchange(rows.union(counts.where(blobs.of("counts"))), lambda to, got: _ask_bigrams(to, got, n, most))
-    bigrams = common.keep(blobs.exchange(asked, lambda to, got: _answer_bigrams(to, got, uni)), "katz-bigrams")
-    d = tuple(discounts(_totals(bigrams)[2:]))
-
-    every = rows.union(counts.where(blobs.of("counts"))).union(bigrams.where(blobs.of("bigrams")))
-    scored = blobs.exchange(every, lambda to, got: _score(to, got, n, most, uni, d), "chunk long, k int, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    ids = table.select("chunk", F.posexplode("ids").alias("k", "doc_id"))
-    out = scored.join(ids, ["chunk", "k"])
-    return out.select(F.col("doc_id").cast(id_type), "held_out", "n_tokens", "n_known", F.lit(uni.total).cast("long").alias("train_tokens"), "base_score", "score")
+    def __init__(self, own: dict, got: list, p: Plan) -> None:
+        self.p, self.got = p, {(kind, b): data for b, kind, data in got}
+        self.lens, self.held, self.words, self.at, self.train = _load(own["data"])
+        self.starts = np.concatenate(([0], self.lens.cumsum()[:-1]))
+        bucket = _owners(self.words, p.n)
+        self.word_ids, self.c = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        for b in np.unique(bucket):
+            ids, c = blobs.unpack(self.got["1", int(b)])
+            mine = bucket == b
+            self.word_ids[mine], self.c[mine] = ids, c
+        self.order, self.counts = 1, self.c
+        self.texts = int(self.c[self.words.index(END)])  # training texts: each has one end
+        self.where = self.word = self.at
+        self.log = np.log10(p.unigrams.probability(self.c))
+        self.ids: list[np.ndarray] = []
+        self.size = np.zeros(1)
+        self.context = np.zeros(len(self.words), np.int64)
+        self.word = np.arange(len(self.words))
+        for k in range(2, 2 + len(p.discount)):
+            self.extend()
+            self.learn(k)
+
+    def extend(self) -> None:
+        """To the next order."""
+        n = len(self.word)
+        before = np.empty_like(self.where)
+        before[1:] = self.where[:-1]
+        before[self.starts] = n
+        low_context = self.context[self.where] if self.order > 1 else None
+        self.ids = [np.append(x[self.context], START) for x in self.ids] + [np.append(self.word_ids[self.word], START)]
+        self.seen = np.append(self.c, self.texts)
+        first, where = _distinct(before * len(self.words) + self.at)
+        self.low_size = np.zeros(n + 1)
+        if low_context is not None:
+            self.low_size[before[first]] = self.size[low_context[first]]
+        self.low, self.low_c = self.where[first], self.c[self.where[first]]
+        self.context, self.word, self.where = before[first], self.at[first], where
+        self.order += 1
+
+    def parts(self) -> Iterable[tuple]:
+        """What the chunk asks of each bucket: the bucket, the n-grams (by context), the contexts, the place of each n-gram's context.
+
+        A context that is dealt is asked of all its buckets, also where the chunk has no n-gram of it, as each
+        has a part of its total. Those are no more than eight contexts a bucket on average and order.
+        """
+        n, m = self.p.n, len(self.seen)
+        by = np.lexsort(self.ids[::-1])  # contexts by the ids of their words, which packs well
+        rank = np.empty(m, np.int64)
+        rank[by] = np.arange(m)
+        self.salts = self.seen // max(self.p.most // 4, 1) + 1
+        salt = _salt(self.word_ids[self.word], self.salts[self.context])
+        bucket = _bucket([x[self.context] for x in self.ids], salt, n)
+        order = np.argsort(bucket * m + rank[self.context], kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(n + 1))
+        dealt = np.unique(self.context[self.salts[self.context] > 1])
+        times = self.salts[dealt]
+        owner = np.repeat(dealt, times)
+        salt = np.arange(len(owner)) - np.repeat(times.cumsum() - times, times)
+        more = np.unique(_bucket([x[owner] for x in self.ids], salt, n) * m + rank[owner])
+        more_edges = np.searchsorted(more // m, np.arange(n + 1))
+        for b in np.nonzero(np.diff(edges) + np.diff(more_edges))[0]:
+            mine = order[edges[b] : edges[b + 1]]
+            own = np.union1d(rank[self.context[mine]], more[more_edges[b] : more_edges[b + 1]] % m)
+            yield int(b), mine, by[own], np.searchsorted(own, rank[self.context[mine]])
+
+    def ask(self, chunk: int) -> Iterable[tuple]:
+        local = np.bincount(self.where[self.train], minlength=len(self.word))
+        for b, mine, own, place in self.parts():
+            ids = [x[own] for x in self.ids]
+            yield b, chunk, "ask", blobs.pack(
+                blobs.small(np.diff(ids[0], prepend=0)), *map(blobs.small, ids[1:]), blobs.small(np.bincount(place, minlength=len(own))),
+                (self.salts[own] > 1).view(np.uint8), blobs.small(self.low_size[own].astype(np.int64)),
+                blobs.small(self.word_ids[self.word[mine]]), blobs.small(local[mine]), blobs.small(self.low_c[mine]),
+            )
+
+    def learn(self, k: int) -> None:
+        """Counts and log probabilities of the n-grams from the buckets' answers."""
+        m = len(self.seen)
+        c = np.zeros(len(self.word), np.int64)
+        total, few, mass = np.zeros(m, np.int64), np.zeros((TRUSTED, m), np.int64), np.zeros(m)
+        for b, mine, own, place in self.parts():
+            x = blobs.unpack(self.got[str(k), b])
+            c[mine] = x[0]
+            total[own] += x[1].astype(np.int64)
+            few[:, own] += np.array(x[2 : 2 + TRUSTED], np.int64)
+            mass[own[_weighed(x[0], place, self.salts[own] > 1)]] += x[-1]
+        d, r = np.array(self.p.discount[k - 2]), np.arange(1, TRUSTED + 1)
+        lost = ((1 - d[1 : TRUSTED + 1]) * r) @ few  # taken from the small counts of each context
+        self.size = np.where((lost <= 0) & (total > 0), total + 1, total).astype(np.float64)  # a context without one gives one event
+        left = np.where(lost > 0, lost, 1.0) / np.maximum(self.size, 1)
+        weight = np.where(total > 0, left / (1 - np.minimum(mass, 1 - 1e-15)), 1.0)
+        seen = d[np.minimum(c, TRUSTED + 1)] * c / np.maximum(self.size[self.context], 1)
+        self.log = np.log10(np.where(c > 0, seen, weight[self.context])) + np.where(c > 0, 0.0, self.log[self.low])
+        self.c = c
 
 
-def _answer_words(bucket: int, got: list) -> Iterable[tuple]:
-    parts = [blobs.unpack(d) for _, _, d in got]
-    words, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    counts = np.bincount(at, np.concatenate([p[1] for p in parts]).astype(np.float64), len(words)).astype(np.int64)
-    yield -1, bucket, "totals", _tally(counts)
-    start = 0
-    for (chunk, _, _), p in zip(got, parts, strict=True):
-        yield chunk, bucket, "counts", blobs.pack(blobs.small(counts[at[start : start + len(p[0])]]))
-        start += len(p[0])
+def _weighed(counts: np.ndarray, context: np.ndarray, dealt: np.ndarray) -> np.ndarray:
+    """Contexts with an n-gram that was never seen; and those dealt over several buckets, as each has a part of the mass."""
+    return (np.bincount(context[counts == 0], minlength=len(dealt)) > 0) | dealt
 
 
-def _tally(counts: np.ndarray) -> bytes:
-    n = np.bincount(np.minimum(counts, TRUSTED + 2), minlength=TRUSTED + 3)
-    return blobs.pack(np.concatenate(([counts.sum(), (counts > 0).sum()], n)).astype(np.int64))
+def _ask(chunk: int, own: dict, got: list, p: Plan) -> Iterable[tuple]:
+    c = Chunk(own, got, p)
+    c.extend()
+    return c.ask(chunk)
 
 
-def _word_counts(words: np.ndarray, got: list, n: int) -> np.ndarray:
-    """The buckets' answers put in the order of the chunk's words."""
-    bucket = (((words * _MIX) >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
-    counts = np.zeros(len(words), np.int64)
-    for b, kind, data in got:
-        if kind == "counts":
-            counts[bucket == b] = blobs.unpack(data)[0]
-    return counts
-
-
-def _asked(got: list, n: int, most: int) -> tuple:
-    """A chunk's distinct bigrams, where each token's is, and what it asks (see :func:`_parts`)."""
-    data = next(d for _, kind, d in got if kind == "chunk")
-    lens, held_, words, at, train = _load(data)
-    counts = _word_counts(words, got, n)
-    key, where = np.unique(_bigrams(lens, at, len(words)), return_inverse=True)
-    context, word = key // len(words), key % len(words)
-    # The start of a text is a context that every document has; its count is that of the end.
-    end = int(np.nonzero(words == np.uint64(END))[0][0])
-    ids = np.append(words, ~np.uint64(END))
-    seen = np.append(counts, counts[end])
-    salts = _salts(seen, most)
-    parts = _parts(context, _spread(ids[context], salts[context], words[word], n), ids, salts, n)
-    return lens, held_, words, at, train, counts, key, where, context, word, ids, parts, salts > 1
-
-
-def _parts(context: np.ndarray, bucket: np.ndarray, ids: np.ndarray, salts: np.ndarray, n: int) -> Iterable[tuple]:
-    """What a chunk asks of each bucket: the bucket, the bigrams (by context), the contexts, and the place of each bigram's context.
-
-    A context that is dealt is asked of all its buckets, also where the chunk has no bigram of it, as each
-    has a part of its total. Those are no more than eight contexts a bucket on average.
-    """
-    order = np.argsort(bucket, kind="stable")  # within a bucket by context
-    edges = np.searchsorted(bucket[order], np.arange(n + 1))
-    dealt = np.unique(context[salts[context] > 1])
-    times = salts[dealt].astype(np.int64)
-    owner = np.repeat(dealt, times)
-    salt = np.arange(len(owner)) - np.repeat(times.cumsum() - times, times)
-    more = np.unique(_bucket(ids[owner], salt.astype(np.uint64), n) * len(ids) + owner)
-    more_edges = np.searchsorted(more // len(ids), np.arange(n + 1))
-    for b in np.nonzero(np.diff(edges) + np.diff(more_edges))[0]:
-        mine = order[edges[b] : edges[b + 1]]
-        own = np.union1d(context[mine], more[more_edges[b] : more_edges[b + 1]] % len(ids))
-        yield int(b), mine, own, np.searchsorted(own, context[mine])
-
-
-def _ask_bigrams(chunk: int, got: list, n: int, most: int) -> Iterable[tuple]:
-    _, _, words, _, train, counts, key, where, _, word, ids, parts, dealt = _asked(got, n, most)
-    local = np.bincount(where[train], minlength=len(key))
-    for b, mine, contexts, place in parts:
-        sizes = np.bincount(place, minlength=len(contexts))
-        yield b, chunk, "ask", blobs.pack(ids[contexts], blobs.small(sizes), words[word[mine]] & _MASK, blobs.small(local[mine]), blobs.small(counts[word[mine]]), dealt[contexts].view(np.uint8))
-
-
-#: Within a context a word's id is sent by its lower six bytes.
-_MASK = np.uint64((1 << 48) - 1)
-
-
-def _answer_bigrams(bucket: int, got: list, uni: Unigrams) -> Iterable[tuple]:
-    """For each chunk, of its bigrams: their counts; of its contexts here: total and how many followers have a count of 1 to
-    TRUSTED; of those that need a backoff weight (see :func:`_weighed`), the followers' unigram mass."""
+def _answer(bucket: int, got: list, p: Plan, k: int) -> Iterable[tuple]:
+    """For each chunk, of its n-grams: their counts; of its contexts here: total and how many followers have a count of 1 to
+    TRUSTED; of those that need a backoff weight (see :func:`_weighed`), the followers' mass at the next lower order."""
     parts = [blobs.unpack(d) for _, _, d in got]
-    ids, owner = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    context = np.repeat(owner, np.concatenate([p[1] for p in parts]).astype(np.int64))
-    word = np.concatenate([p[2] for p in parts])
-    with np.errstate(over="ignore"):
-        mixed = ids[context] * _MIX ^ ((word + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F))
-    _, first, at = np.unique(mixed, return_index=True, return_inverse=True)
-    counts = np.bincount(at, np.concatenate([p[3] for p in parts]).astype(np.float64), len(first)).astype(np.int64)
+    join = lambda i: np.concatenate([x[i] for x in parts])
+    ids = [np.concatenate([x[0].astype(np.int64).cumsum() for x in parts]), *(join(i).astype(np.int64) for i in range(1, k - 1))]
+    first_owner, owner = _distinct(_joint(ids))
+    n = len(first_owner)
+    context = np.repeat(owner, join(k - 1).astype(np.int64))
+    low_size = join(k + 1).astype(np.float64)[first_owner]
+    word = join(k + 2).astype(np.int64)
+    first, at = _distinct(_joint((context, word)))
+    counts = np.bincount(at, join(k + 3).astype(np.float64), len(first)).astype(np.int64)
+    low_c = join(k + 4).astype(np.int64)[first]
     yield -1, bucket, "totals", _tally(counts)
     seen = counts > 0
     c, of = counts[seen], context[first][seen]
-    mass = uni.probability(np.concatenate([p[4] for p in parts])[first][seen].astype(np.int64))
-    total = np.bincount(of, c, len(ids)).astype(np.int64)
-    few = [np.bincount(of[c == r], minlength=len(ids)) for r in range(1, TRUSTED + 1)]
-    mass = np.bincount(of, mass, len(ids))
+    if k == 2:
+        low = p.unigrams.probability(low_c[seen])
+    else:
+        low = np.array(p.discount[k - 3])[np.minimum(low_c[seen], TRUSTED + 1)] * low_c[seen] / np.maximum(low_size[of], 1)
+    total = np.bincount(of, c, n).astype(np.int64)
+    few = [np.bincount(of[c == r], minlength=n) for r in range(1, TRUSTED + 1)]
+    mass = np.bincount(of, low, n)
+    if p.learn and len(c):
+        used = np.unique(of)
+        columns = [x[first_owner][used] for x in ids]
+        order = np.lexsort(columns[::-1])  # rows of the model are written as a chunk's
+        rank = np.empty(n, np.int64)
+        rank[used[order]] = np.arange(len(used))
+        by = np.argsort(rank[of], kind="stable")
+        yield bucket, MODEL, "model", blobs.pack(
+            blobs.small(np.diff(columns[0][order], prepend=0)), *[blobs.small(x[order]) for x in columns[1:]], blobs.small(np.bincount(rank[of], minlength=len(used))),
+            np.zeros(len(used), np.uint8), blobs.small(low_size[used[order]].astype(np.int64)),
+            blobs.small(word[first][seen][by]), blobs.small(c[by]), blobs.small(low_c[seen][by]),
+        )
     start = start_c = 0
-    for (chunk, _, _), p in zip(got, parts, strict=True):
-        mine, own = at[start : start + len(p[2])], owner[start_c : start_c + len(p[0])]
-        weighed = _weighed(counts[mine], np.repeat(np.arange(len(own)), p[1].astype(np.int64)), p[5] > 0)
-        yield chunk, bucket, "bigrams", blobs.pack(blobs.small(counts[mine]), blobs.small(total[own]), *[blobs.small(x[own]) for x in few], mass[own][weighed])
-        start, start_c = start + len(p[2]), start_c + len(p[0])
-
-
-def _weighed(counts: np.ndarray, context: np.ndarray, dealt: np.ndarray) -> np.ndarray:
-    """Contexts with a bigram that was never seen; and those dealt over several buckets, as each has a part of the mass."""
-    return (np.bincount(context[counts == 0], minlength=len(dealt)) > 0) | dealt
-
-
-def _score(chunk: int, got: list, n: int, most: int, uni: Unigrams, discount: tuple) -> Iterable[tuple]:
-    lens, held_, words, at, _, counts, key, where, context, word, _, parts, dealt = _asked(got, n, most)
-    answers = {b: data for b, kind, data in got if kind == "bigrams"}
-    c = np.zeros(len(key), np.int64)
-    total, few, mass = np.zeros(len(words) + 1, np.int64), np.zeros((TRUSTED, len(words) + 1), np.int64), np.zeros(len(words) + 1)
-    for b, mine, own, place in parts:
-        x = blobs.unpack(answers[b])
-        c[mine] = x[0]
-        total[own] += x[1].astype(np.int64)
-        few[:, own] += np.array(x[2 : 2 + TRUSTED], np.int64)
-        mass[own[_weighed(x[0], place, dealt[own])]] += x[-1]
-    d, r = np.array(discount), np.arange(1, TRUSTED + 1)
-    lost = ((1 - d[1 : TRUSTED + 1]) * r) @ few  # taken from the small counts of each context
-    size = np.where((lost <= 0) & (total > 0), total + 1, total).astype(np.float64)  # a context without one gives one event
-    left = np.where(lost > 0, lost, 1.0) / np.maximum(size, 1)
-    weight = np.where(total > 0, left / (1 - np.minimum(mass, 1 - 1e-15)), 1.0)
-    p1 = uni.probability(counts)
-    p2 = np.where(c > 0, d[np.minimum(c, TRUSTED + 1)] * c / np.maximum(size[context], 1), weight[context] * p1[word])
-    if uni.total:
-        base = np.log10((counts + 0.5) / (uni.total + 0.5 * (uni.distinct + 1)))
+    for (chunk, _, _), x in zip(got, parts, strict=True):
+        n_words, n_own = len(x[k + 2]), len(x[0])
+        mine, own = at[start : start + n_words], owner[start_c : start_c + n_own]
+        start, start_c = start + n_words, start_c + n_own
+        if chunk == MODEL:
+            continue
+        weighed = _weighed(counts[mine], np.repeat(np.arange(n_own), x[k - 1].astype(np.int64)), x[k] > 0)
+        yield chunk, bucket, str(k), blobs.pack(blobs.small(counts[mine]), blobs.small(total[own]), *[blobs.small(f[own]) for f in few], mass[own][weighed])
+
+
+def _score(_: int, own: dict, got: list, p: Plan) -> Iterable[tuple]:
+    c = Chunk(own, got, p)
+    uni = p.unigrams
+    base = np.log10((c.counts + 0.5) / (uni.total + 0.5 * (uni.distinct + 1))) if uni.total else np.zeros(len(c.words))
+    per = lambda x: np.add.reduceat(x, c.starts).tolist()
+    yield from zip(own["ids"], (c.held == 1).tolist(), c.lens.tolist(), per((c.counts[c.at] > 0).astype(np.int64)), [uni.total] * len(c.lens), per(base[c.at]), per(c.log[c.where]), strict=True)
+
+
+def _build(docs: DataFrame, order: int, chunk: int | None, bucket: int | None, model: DataFrame | None = None) -> tuple[DataFrame, Plan, list[DataFrame]]:
+    """The table of chunks, the plan with all totals, and the kept answers of the buckets for each order."""
+    learn, n_splits = model is None, blobs.splits(docs)
+    table = common.keep(chunks(docs, chunk or blobs.size(n_splits, CHUNK, SPLIT), learn), "katz-chunks", buckets=(n_splits, "to"))
+    if learn:
+        most = bucket or blobs.size(n_splits, BUCKET, SPLIT)
+        n = max(1, -(-(table.agg(F.sum("n")).first()[0] or 0) // most))
     else:
-        base = np.zeros(len(words))
-    starts = np.concatenate(([0], lens.cumsum()[:-1]))
-    per = lambda x: np.add.reduceat(x, starts)
-    known, base_sum, sums = per((counts[at] > 0).astype(np.int64)), per(base[at]), per(np.log10(p2)[where])
-    yield from zip([chunk] * len(lens), range(len(lens)), (held_ == 1).tolist(), lens.tolist(), known.tolist(), base_sum.tolist(), sums.tolist(), strict=True)
+        n, most = model.select("buckets", "most").first()
+    p, answers = Plan(n, most, learn), []
+    of_model = lambda k: model.where(F.col("order") == k).select(F.col("bucket").alias("to"), F.lit(MODEL).cast("long").alias("from"), F.lit("ask").alias("kind"), "data")
+    for k in range(1, order + 1):
+        if k == 1:
+            asks = blobs.each(table.select("to", F.col("to").alias("from"), F.lit("chunk").alias("kind"), "data"), lambda to, got, p=p: _ask_words(to, {"data": got[0][2]}, p.n))
+            answer = lambda to, got, p=p: _answer_words(to, got, p)
+        else:
+            asks = blobs.meet(table, _for_chunks(answers), lambda to, own, got, p=p: _ask(to, own, got, p))
+            answer = lambda to, got, p=p, k=k: _answer(to, got, p, k)
+        answers.append(common.keep(blobs.exchange(asks if learn else asks.union(of_model(k)), answer, n), "katz-counts"))
+        t = _totals(answers[-1])
+        p = replace(p, unigrams=Unigrams.of(int(t[0]), int(t[1]), t[2:])) if k == 1 else replace(p, discount=(*p.discount, tuple(discounts(t[2:]))))
+    return table, p, answers
+
+
+def _for_chunks(answers: list[DataFrame]) -> DataFrame:
+    out = answers[0]
+    for a in answers[1:]:
+        out = out.union(a)
+    return out.where(~F.col("kind").isin("totals", "model"))
+
+
+def fit(docs: DataFrame, path: str, order: int = ORDER, chunk: int | None = None, bucket: int | None = None) -> None:
+    """Write the model of the documents that aren't held out: Parquet partitioned by order, a row for each bucket."""
+    with common.scratch():
+        _, p, answers = _build(docs, order, chunk, bucket)
+        for k, a in enumerate(answers, 1):
+            rows = a.where(blobs.of("model")).select(F.col("to").alias("bucket"), F.lit(p.n).cast("long").alias("buckets"), F.lit(p.most).cast("long").alias("most"), F.lit(k).alias("order"), "data")
+            rows.write.partitionBy("order").mode("append" if k > 1 else "overwrite").parquet(path)
+
+
+def score(docs: DataFrame, order: int = ORDER, chunk: int | None = None, bucket: int | None = None, model: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+
+    The documents that aren't held out are learned from; with ``model`` (a path of :func:`fit`, of the same order) nothing is, and all
+    are held out. ``chunk`` and ``bucket`` (tokens; at least ``CHUNK`` and ``BUCKET``, more with the input) change no result.
+    """
+    id_type = dict(docs.dtypes)["doc_id"]
+    with common.scratch():
+        table, p, answers = _build(docs, order, chunk, bucket, docs.sparkSession.read.parquet(model) if model else None)
+        out = blobs.meet(
+            table, _for_chunks(answers), lambda to, own, got: _score(to, own, got, p),
+            f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
+        )
+        return common.lasting(common.keep(out, "katz-scores"))
 
 
 def op10_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -459,65 +459,85 @@ def test_decontaminate(spark, docs, rows):
     assert decontaminate.clean(docs, bench.where("false")).count() == len(rows)
 
 
-def brute_katz(rows):
-    held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
+def brute_katz(rows, order=katz.ORDER, train=None):
+    """Scores by a plain dictionary model of any order; ``train``: rows to learn from instead of those not held out."""
+    held = {i: train is not None or zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
     toks = {i: [*WORD.findall(lower(t)), None] for i, t in rows}
-    c1, c2 = collections.Counter(), collections.Counter()
-    for i, w in toks.items():
-        if not held[i]:
-            c1.update(w)
-            c2.update(zip(["<s>", *w[:-1]], w, strict=True))
+    grams = lambda w, k: [tuple((["<s>"] * (k - 1) + w)[i : i + k]) for i in range(len(w))]
+    learned = [toks[i] for i in toks if not held[i]] if train is None else [[*WORD.findall(lower(t)), None] for _, t in train]
+    c = {k: collections.Counter(g for w in learned for g in grams(w, k)) for k in range(1, order + 1)}
     tally = lambda c: np.bincount(np.minimum(list(c.values()) or [0], katz.TRUSTED + 2), minlength=katz.TRUSTED + 3)
-    d1, d2 = katz.discounts(tally(c1)), katz.discounts(tally(c2))
-    at = lambda d, c: d[min(c, katz.TRUSTED + 1)] * c
-    n = sum(c1.values())
-    left = sum(c - at(d1, c) for c in c1.values())
+    d = {k: katz.discounts(tally(c[k])) for k in c}
+    at = lambda k, n: d[k][min(n, katz.TRUSTED + 1)] * n
+    n = sum(c[1].values())
+    left = sum(x - at(1, x) for x in c[1].values())
     total, left = (n, left / n) if left > 0 else (n + 1, 1 / (n + 1))
-    p1 = lambda w: at(d1, c1[w]) / total if w in c1 else left
     after = collections.defaultdict(dict)
-    for (h, w), c in c2.items():
-        after[h][w] = c
+    for k in range(2, order + 1):
+        for g, x in c[k].items():
+            after[g[:-1]][g[-1]] = x
+    known = {}
 
     def p(h, w):
-        f = after.get(h)
-        if not f:
-            return p1(w)
-        lost, size = sum(c - at(d2, c) for c in f.values()), sum(f.values())
-        if lost <= 0:
-            lost, size = 1, size + 1
-        return at(d2, f[w]) / size if w in f else lost / size / (1 - sum(map(p1, f))) * p1(w)
-
-    for h in list(after)[:20]:
-        assert sum(p(h, w) for w in c1) + p(h, "never") == pytest.approx(1)
+        if not h:
+            return at(1, c[1][w,]) / total if (w,) in c[1] else left
+        if h not in known:
+            f, k = after.get(h), len(h) + 1
+            if f:
+                lost, size = sum(x - at(k, x) for x in f.values()), sum(f.values())
+                lost, size = (1, size + 1) if lost <= 0 else (lost, size)
+                known[h] = size, lost / size / (1 - sum(p(h[1:], x) for x in f))
+            else:
+                known[h] = 0, 1
+        size, weight = known[h]
+        return at(len(h) + 1, after[h][w]) / size if w in after.get(h, ()) else weight * p(h[1:], w)
+
+    for h in list(after)[::97][:30]:
+        assert sum(p(h, w) for (w,) in c[1]) + p(h, "never") == pytest.approx(1)
     out = {}
     for i, w in toks.items():
-        base = sum(math.log10((c1[x] + 0.5) / (n + 0.5 * (len(c1) + 1))) for x in w)
-        out[i] = (held[i], len(w), sum(x in c1 for x in w), n, base, sum(math.log10(p(h, x)) for h, x in zip(["<s>", *w[:-1]], w, strict=True)))
+        base = sum(math.log10((c[1][x,] + 0.5) / (n + 0.5 * (len(c[1]) + 1))) for x in w) if n else 0
+        out[i] = (held[i], len(w), sum((x,) in c[1] for x in w), n, base, sum(math.log10(p(g[:-1], g[-1])) for g in grams(w, order)))
     return out
 
 
-@pytest.mark.parametrize("sizes", [(1 << 20, 1 << 20), (500, 100)])
-def test_katz(spark, unique, sizes, monkeypatch):
-    monkeypatch.setattr(katz, "CHUNK", sizes[0])
-    monkeypatch.setattr(katz, "BUCKET", sizes[1])
-    want = brute_katz([(r["doc_id"], r["text"]) for r in unique.collect()])
-    got = as_dict(katz.score(unique))
+@pytest.mark.parametrize("order, chunk, bucket", [(3, None, None), (3, 500, 700), (2, 1, 1500), (4, 700, 900)])
+def test_katz(spark, unique, order, chunk, bucket):
+    want = brute_katz([(r["doc_id"], r["text"]) for r in unique.collect()], order)
+    got = as_dict(katz.score(unique, order, chunk, bucket))
+    assert got.keys() == want.keys()
     for i, w in want.items():
-        assert tuple(got[i])[1:5] == w[:2] + w[2:4]
+        assert tuple(got[i])[1:5] == w[:4]
         assert got[i]["base_score"] == pytest.approx(w[4]) and got[i]["score"] == pytest.approx(w[5])
 
 
 @pytest.mark.parametrize("sizes", [(60, 100), (1, 40)])
 def test_katz_dealt_contexts(spark, sizes):
-    """Chunks that have few followers of a frequent context still score by all of its counts."""
+    """Chunks that have few followers of a frequent context still score by all of its counts; sizes reach the workers as arguments."""
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(f"{'the' if k % 2 else 'w%d' % w}" for k, w in enumerate(rng.integers(0, 150, 12)))) for i in range(200)]
     rows += [(900, "the"), (901, "w3"), (902, "the unseen"), (903, None)]
     want = brute_katz(rows)
-    got = as_dict(katz.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk=sizes[0], bucket=sizes[1]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = as_dict(katz.score(df, chunk=sizes[0], bucket=sizes[1]))
     assert len(got) == len(rows)
     for i, w in want.items():
-        assert got[i]["score"] == pytest.approx(w[5]), i
+        assert got[i]["score"] == pytest.approx(w[5], abs=1e-6), i
+
+
+def test_katz_model_scores_another_corpus(spark, unique, tmp_path):
+    """The tables written are the model: another corpus is scored as if by a dictionary model of the first."""
+    rows = [(r["doc_id"], r["text"]) for r in unique.collect()]
+    other = [(1, rows[0][1] + " new words " + (rows[1][1] or "")), (2, None), (3, "never seen at all"), (4, rows[5][1])]
+    train = [r for r in rows if not katz.held(r[0])]
+    want = brute_katz(other, train=train)
+    for k, (chunk, bucket) in enumerate(((None, None), (300, 100))):
+        path = str(tmp_path / f"model{k}")
+        katz.fit(unique, path, chunk=chunk, bucket=bucket)
+        assert {r["order"] for r in spark.read.parquet(path).select("order").collect()} == {1, 2, 3}
+        got = as_dict(katz.score(spark.createDataFrame(other, "doc_id long, text string"), model=path))
+        for i, w in want.items():
+            assert tuple(got[i])[1:5] == w[:4] and got[i]["score"] == pytest.approx(w[5]) and got[i]["base_score"] == pytest.approx(w[4])
 
 
 def test_katz_odd_rows(spark, docs, rows):
