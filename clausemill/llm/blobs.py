@@ -27,16 +27,16 @@ def pack(*arrays: np.ndarray, level: int = 3) -> bytes:
     for a in arrays:
         a = np.ascontiguousarray(a)
         body = zstandard.ZstdCompressor(level=level).compress(np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()) if a.size else b""
-        parts += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), len(body).to_bytes(8, "little"), body]
+        parts += [a.dtype.str.encode().ljust(8), len(a).to_bytes(8, "little"), len(body).to_bytes(8, "little"), body]
     return b"".join(parts)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
-        dtype = np.dtype(data[at : at + 4].decode().strip())
-        n, size = int.from_bytes(data[at + 4 : at + 12], "little"), int.from_bytes(data[at + 12 : at + 20], "little")
-        at += 20
+        dtype = np.dtype(data[at : at + 8].decode().strip())
+        n, size = int.from_bytes(data[at + 8 : at + 16], "little"), int.from_bytes(data[at + 16 : at + 24], "little")
+        at += 24
         raw = zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=n * dtype.itemsize) if n else b""
         out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, n).T).reshape(-1).view(dtype) if n else np.empty(0, dtype))
         at += size

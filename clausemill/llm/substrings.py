@@ -1,43 +1,72 @@
-"""Exact removal of repeated byte strings.
+"""Exact removal of repeated byte strings by a run-length index.
 
 A byte is removed where a string of ``LENGTH`` bytes over it also starts earlier in the corpus.
 
-A run-compressed Burrows-Wheeler transform of the whole corpus would have to be built and
-streamed through by one machine, or once per block for every other block; neither holds at
-scale, so the runs are taken from the texts instead, as a prefix-free parse takes them. Every
-window of ``LENGTH`` bytes is owned by its smallest ``GRAM``-byte gram (by hash, leftmost), and
-consecutive windows with one owner are a phrase. Equal windows have equal owners, so
+The corpus is parsed into phrases, as builders of run-length indexes do: every window of ``LENGTH`` bytes is owned
+by its smallest ``GRAM``-byte gram (by hash, leftmost), and consecutive windows with one owner are a phrase.
+Equal windows have equal owners, so they meet in the bucket of that gram, and an index is needed of a bucket's phrases
+only. There
 
-1. a phrase that occurred earlier repeats as a whole: one comparison for a run of windows;
-2. a phrase whose owner gram stands in no different phrase has no other repeats;
-3. only the windows of the rest, first phrases whose gram has several contexts, are compared
-   one by one, by hash and place.
+1. equal phrases fall together, byte by byte; all but the first repeat as a whole;
+2. of the phrases of a gram, those go on that share the bytes before or after it with another, as equal windows do;
+3. these are dealt into rounds by their order in the corpus, a round as large as all before it: its phrases make a run-compressed
+   Burrows-Wheeler transform with sampled run ends, the later phrases stream their matching statistics through it, and
+   matches of ``LENGTH`` bytes are marked (see :mod:`runindex`). Within a round, equal windows are found by the
+   ranks that the transform was sorted by.
 
-Phrases and windows travel packed, from chunks of documents to hash buckets (see :mod:`blobs`):
-no group of copies is gathered, identical windows of a chunk are sent once. Hashes have 64 bits.
+No result rests on a hash: hashes choose a window's owner and its bucket only. A chunk first tells the buckets its grams, and
+sends the phrases of grams that another phrase of the corpus has, each different one once, packed (see :mod:`blobs`). A
+gram with more than ``HOT`` phrases isn't kept whole: its windows are split by their distance from the gram into
+``PARTS`` ranges, and the 81 bytes or more that all windows of a range have in common are the key instead. Chunks stay
+where they are; a bucket's row for a chunk holds a phrase once, so copies add a row per chunk at most.
 
 Defined cases: a null text has no bytes; rows with the same id are ordered as stored, so of
-repeated rows the first stays; a null id comes first; texts under ``LENGTH`` bytes lose
-nothing; a very long text is handled in segments; an empty table gives an empty result.
+repeated rows the first stays; a null id comes first; ids that are whole numbers are ordered as such, others as text; texts under
+``LENGTH`` bytes lose nothing; a very long text is parsed in segments; ties (a window that starts twice) go to the earlier start;
+extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from clausemill.llm import blobs, common
+from clausemill.llm import blobs, common, runindex
 
 LENGTH, GRAM = 100, 24
-#: Bytes of text of a chunk and of a segment, and phrases of a bucket (about).
-CHUNK, SEGMENT, BUCKET = 2 << 20, 2 << 20, 1 << 19
-_B = np.uint64(0x9E3779B97F4A7C15 | 1)
-_B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
+#: Distances between a window's start and its gram, and the ranges that those of a hot gram are split into.
+SPAN = LENGTH - GRAM + 1
+PARTS = 4
+#: Bytes that every window has on one side of its gram at least.
+SIDE = (LENGTH - GRAM) // 2
+
+
+@dataclass(frozen=True)
+class Sizes:
+    """Bytes of a chunk, of a segment of a long text, of a bucket's share of the corpus and of the phrases indexed together; phrases that
+    make a gram hot and phrases of a round, at most. They change no result."""
+
+    chunk: int = 2 << 20
+    segment: int = 2 << 20
+    bucket: int = 20 << 20
+    block: int = 4 << 20
+    hot: int = 4096
+
+    @staticmethod
+    def of(splits: int) -> Sizes:
+        """Chunks and buckets that grow with the root of the input (see :func:`blobs.size`)."""
+        return Sizes(chunk=blobs.size(splits, 2 << 20, 1 << 28), bucket=blobs.size(splits, 20 << 20, 1 << 28))
+
+
+_B = np.uint64(0x9E3779B97F4A7C15)
+_B_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_MULTIPLIER = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 @lru_cache(maxsize=1)
@@ -47,119 +76,117 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
-    """Spread a polynomial hash over all 64 bits."""
+    """Spread a hash over all 64 bits."""
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
         h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
         return h ^ (h >> np.uint64(33))
 
 
-class Parse:
-    """Phrases of some segments of text: owner hash, phrase hash, segment, place of the first window, number of windows."""
-
-    def __init__(self, segments: list[bytes]) -> None:
-        buf = np.frombuffer(b"".join(segments), np.uint8)
-        sizes = np.array([len(s) for s in segments])
-        base = np.concatenate(([0], sizes.cumsum()))
-        n = len(buf)
-        powers, inverse = _powers(max(1 << 22, 1 << (n + 1).bit_length()))
-        self.inverse, self.base = inverse, base
-        with np.errstate(over="ignore"):
-            self.sums = np.concatenate((np.zeros(1, np.uint64), ((buf.astype(np.uint64) + np.uint64(1)) * powers[:n]).cumsum()))
-        empty = np.empty(0, np.int64)
-        self.owner = self.phrase = np.empty(0, np.uint64)
-        self.segment = self.first = self.count = empty
-        windows = n - LENGTH + 1
-        if windows <= 0:
-            return
-        seg = np.repeat(np.arange(len(segments)), sizes)
-        at = np.arange(n, dtype=np.uint64)
-        gram = _mix(self.hashes(np.arange(n - GRAM + 1), GRAM))
-        low = (gram & np.uint64(0xFFFFFFFF00000000)) | at[: len(gram)]
-        span, size = LENGTH - GRAM + 1, 1
-        while 2 * size <= span:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        if size < span:
-            low = np.minimum(low[: len(low) - (span - size)], low[span - size :])
-        owner = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)[:windows]
-        whole = seg[:windows] == seg[LENGTH - 1 :]
-        new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (seg[1:windows] != seg[: windows - 1]) | ~whole[:-1])) & whole
-        first = np.nonzero(new)[0]
-        ends = np.concatenate((first[1:], [windows]))
-        valid = np.concatenate(([0], whole.cumsum()))
-        self.count = valid[ends] - valid[first]
-        self.first, self.segment = first, seg[first]
-        self.owner = gram[owner[first]]
-        with np.errstate(over="ignore"):
-            self.phrase = _mix(self.hashes(first, self.count + LENGTH - 1) + self.count.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+def parse(segments: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Phrases of some segments of text: place of the first window, number of windows, place of the gram, segment."""
+    buf = np.frombuffer(b"".join(segments), np.uint8)
+    sizes = np.array([len(s) for s in segments], np.int64)
+    n = len(buf)
+    windows = n - LENGTH + 1
+    if windows <= 0:
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    powers, inverse = _powers(max(1 << 22, 1 << (n + 1).bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.concatenate((np.zeros(1, np.uint64), ((buf.astype(np.uint64) + np.uint64(1)) * powers[:n]).cumsum()))
+        gram = _mix((sums[GRAM:] - sums[:-GRAM]) * inverse[: n - GRAM + 1])
+    low, size = (gram & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(gram), dtype=np.uint64), 1
+    while 2 * size <= SPAN:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    if size < SPAN:
+        low = np.minimum(low[: len(low) - (SPAN - size)], low[SPAN - size :])
+    owner = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)[:windows]
+    seg = np.repeat(np.arange(len(segments)), sizes)
+    whole = seg[:windows] == seg[LENGTH - 1 :]
+    new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (seg[1:windows] != seg[: windows - 1]) | ~whole[:-1])) & whole
+    first = np.nonzero(new)[0]
+    valid = np.concatenate(([0], whole.cumsum()))
+    count = valid[np.concatenate((first[1:], [windows]))] - valid[first]
+    return first, count, owner[first], seg[first]
+
+
+def phrases(texts: list[bytes], most: int) -> tuple[np.ndarray, ...]:
+    """Phrases of the joined texts: place of the first window, number of windows, distance of the gram.
 
-    def hashes(self, start: np.ndarray, length) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (self.sums[start + length] - self.sums[start]) * self.inverse[start]
+    A text longer than a segment is cut so that every window lies in one segment.
+    """
+    found, part, base, size, start = [], [], [], 0, 0
+
+    def done():
+        first, count, gram, seg = parse(part)
+        offset = np.array(base, np.int64) - np.concatenate(([0], np.cumsum([len(x) for x in part])[:-1])).astype(np.int64)
+        found.append((first + offset[seg], count, gram - first))
+
+    for t in texts:
+        for at in range(0, max(1, len(t) - LENGTH + 1), most):
+            s = t[at : at + most + LENGTH - 1]
+            if size and size + len(s) > most + LENGTH:
+                done()
+                part, base, size = [], [], 0
+            part.append(s)
+            base.append(start + at)
+            size += len(s)
+        start += len(t)
+    if part:
+        done()
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """Rows of chunks: ids and texts of about ``CHUNK`` bytes."""
+def chunks(docs: DataFrame, s: Sizes) -> DataFrame:
+    """Rows of chunks: ids, texts of about a chunk's bytes, and their phrases."""
+    id_type = dict(docs.dtypes)["doc_id"]
+    number_ids = id_type in ("tinyint", "smallint", "int", "bigint")
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        id_arrow = None
 
         def chunk():
             lens = np.array([len(t) for t in texts], np.int64)
             body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
-            keys = np.array([-(2**63) if i is None else i for i in ids], np.int64)
-            data = blobs.pack(lens, keys, np.frombuffer(body, np.uint8), level=1)
+            keys = np.array([-(2**63) if i is None else i for i in ids], np.int64) if number_ids else np.array([b"" if i is None else b"t" + str(i).encode() for i in ids])
+            first, count, gram = phrases(texts, s.segment)
+            data = blobs.pack(lens, keys, np.frombuffer(body, np.uint8), blobs.small(np.diff(first, prepend=0)), count.astype(np.uint8), gram.astype(np.uint8), level=1)
             n = int(np.maximum(lens - LENGTH + 1, 0).sum())
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([data], pa.binary())], names=["chunk", "n", "ids", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([n], pa.int64()), pa.array([ids], pa.list_(id_arrow)), pa.array([data], pa.binary())], names=["to", "n", "ids", "data"])
 
         for b in batches:
+            id_arrow = b.column(0).type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
                 texts.append((text or "").encode("utf-8", "surrogatepass"))
                 size += len(texts[-1])
-                if size >= CHUNK:
+                if size >= s.chunk:
                     yield chunk()
                     number, ids, texts, size = number + 1, [], [], 0
         if ids:
             yield chunk()
 
-    return common.arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "chunk long, n long, ids array<long>, data binary")
-
-
-def _texts(data: bytes) -> tuple[np.ndarray, list[bytes]]:
-    lens, keys, body = blobs.unpack(data)
-    raw = zstandard.ZstdDecompressor().decompress(body.tobytes(), max_output_size=max(1, int(lens.sum()))) if lens.sum() else b""
-    ends = lens.cumsum()
-    return keys, [raw[e - n : e] for e, n in zip(ends.tolist(), lens.tolist(), strict=True)]
+    return common.arrow(docs.select("doc_id", "text"), run, f"`to` long, n long, ids array<{id_type}>, data binary")
 
 
-def _parses(texts: list[bytes]) -> Iterator[tuple[Parse, np.ndarray, np.ndarray]]:
-    """Parses of about a segment's size, with each phrase's document and its place there.
-
-    A text longer than a segment is cut so that every window lies in one segment.
-    """
-    part, doc, offset, size = [], [], [], 0
-
-    def parse():
-        p = Parse(part)
-        return p, np.array(doc)[p.segment], np.array(offset)[p.segment] + p.first - p.base[p.segment]
-
-    for d, t in enumerate(texts):
-        for at in range(0, max(1, len(t) - LENGTH + 1), SEGMENT):
-            s = t[at : at + SEGMENT + LENGTH - 1]
-            if size and size + len(s) > SEGMENT + LENGTH:
-                yield parse()
-                part, doc, offset, size = [], [], [], 0
-            part.append(s)
-            doc.append(d)
-            offset.append(at)
-            size += len(s)
-    if part:
-        yield parse()
+def _hashed(buf: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A hash of the ``length`` bytes at each place."""
+    out = np.zeros(len(at), np.uint64)
+    for n in np.unique(length):
+        mine = np.nonzero(length == n)[0]
+        padded = np.zeros((len(mine), -(-int(n) // 8) * 8), np.uint8)
+        padded[:, :n] = buf[at[mine][:, None] + np.arange(n)]
+        h = np.full(len(mine), n, np.uint64)
+        with np.errstate(over="ignore"):
+            for column in padded.view("<u8").T:
+                h = _mix(h * _MULTIPLIER ^ column)
+        out[mine] = h
+    return out
 
 
 def _deal(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -169,162 +196,241 @@ def _deal(bucket: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(b), order[edges[b] : edges[b + 1]]
 
 
-def _places(keys: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Documents used (key and number in the chunk), and each row's document among them and place."""
-    used, of = np.unique(doc, return_inverse=True)
-    return keys[used], blobs.small(used), blobs.small(of), blobs.small(at)
-
-
-def _order(got: list, places: list[list[np.ndarray]]) -> np.ndarray:
-    """Rank of every row: by id, chunk, number in the chunk, place."""
-    key = np.concatenate([p[0][p[2]] for p in places])
-    number = np.concatenate([p[1].astype(np.int64)[p[2]] for p in places])
-    at = np.concatenate([p[3].astype(np.int64) for p in places])
-    chunk = np.repeat([c for c, _, _ in got], [len(p[3]) for p in places])
-    rank = np.empty(len(key), np.int64)
-    rank[np.lexsort((at, number, chunk, key))] = np.arange(len(key))
-    return rank
-
-
-def _firsts(value: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each row by ``value``, and whether it is the first of its class."""
-    _, of = np.unique(value, return_inverse=True)
-    low = np.full(of.max() + 1, len(rank), np.int64)
-    np.minimum.at(low, of, rank)
-    return of, low[of] == rank
-
-
-def _ask_phrases(_: int, got: list, n: int) -> Iterable[tuple]:
-    for chunk, _, data in got:
-        keys, texts = _texts(data)
-        found = [(p.owner, p.phrase, d, a) for p, d, a in _parses(texts)]
-        owner, phrase, doc, at = (np.concatenate(x) for x in zip(*found, strict=True))
-        for b, mine in _deal((owner % np.uint64(n)).astype(np.int64), n):
-            yield b, chunk, "phrases", blobs.pack(owner[mine], phrase[mine], *_places(keys, doc[mine], at[mine]), level=1)
-
-
-#: What a bucket says of a phrase.
-ALONE, REPEATED, CONTESTED = 0, 1, 2
-
-
-def _answer_phrases(bucket: int, got: list) -> Iterable[tuple]:
-    parts = [blobs.unpack(d) for _, _, d in got]
-    owner, phrase = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    with np.errstate(over="ignore"):
-        _, first = _firsts(phrase ^ (owner * _B), _order(got, [p[2:] for p in parts]))
-    _, gram = np.unique(owner, return_inverse=True)
-    several = np.bincount(gram, first)[gram] > 1
-    says = np.where(~first, REPEATED, np.where(several, CONTESTED, ALONE)).astype(np.uint8)
-    start = 0
-    for (chunk, _, _), p in zip(got, parts, strict=True):
-        yield chunk, bucket, "phrases", blobs.pack(says[start : start + len(p[0])])
-        start += len(p[0])
-
-
-def _said(owner: np.ndarray, got: list, n: int) -> np.ndarray:
-    out = np.zeros(len(owner), np.uint8)
-    by = {b: blobs.unpack(d)[0] for b, kind, d in got if kind == "phrases"}
-    for b, mine in _deal((owner % np.uint64(n)).astype(np.int64), n):
-        out[mine] = by[b]
-    return out
-
-
-class _Chunk:
-    """A chunk's phrases with what the buckets said, and the windows to be compared one by one.
-
-    Of equal windows of the chunk the first is compared; the others repeat it.
-    """
-
-    def __init__(self, got: list, n: int) -> None:
-        self.keys, self.texts = _texts(next(d for _, kind, d in got if kind == "chunk"))
-        found, hashes = [], []
-        parses = list(_parses(self.texts))
-        owner = np.concatenate([p.owner for p, _, _ in parses])
-        says, start = _said(owner, got, n), 0
-        for p, doc, at in parses:
-            s = says[start : start + len(p.owner)]
-            start += len(p.owner)
-            found.append((doc, at, p.count, s))
-            open_ = np.nonzero(s == CONTESTED)[0]
-            step = _steps(p.count[open_])
-            with np.errstate(over="ignore"):
-                hashes.append((_mix(p.hashes(np.repeat(p.first[open_], p.count[open_]) + step, LENGTH)), np.repeat(doc[open_], p.count[open_]), np.repeat(at[open_], p.count[open_]) + step))
-        self.doc, self.at, self.count, self.says = (np.concatenate(x) for x in zip(*found, strict=True))
-        self.window, self.window_doc, self.window_at = (np.concatenate(x) for x in zip(*hashes, strict=True))
-        rank = np.lexsort((self.window_at, self.window_doc, self.keys[self.window_doc]))
-        order = np.empty(len(rank), np.int64)
-        order[rank] = np.arange(len(rank))
-        self.first = _firsts(self.window, order)[1] if len(order) else np.empty(0, bool)
-        self.asked = np.nonzero(self.first)[0]
-
-    def buckets(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
-        for b, mine in _deal((self.window[self.asked] % np.uint64(n)).astype(np.int64), n):
-            yield b, self.asked[mine]
-
-
 def _steps(counts: np.ndarray) -> np.ndarray:
     """0 to count - 1 for each count."""
     total = counts.cumsum()
     return np.arange(total[-1] if len(total) else 0) - np.repeat(total - counts, counts)
 
 
-def _ask_windows(chunk: int, got: list, n: int) -> Iterable[tuple]:
-    c = _Chunk(got, n)
-    for b, mine in c.buckets(n):
-        yield b, chunk, "windows", blobs.pack(c.window[mine], *_places(c.keys, c.window_doc[mine], c.window_at[mine]), level=1)
-
-
-def _answer_windows(bucket: int, got: list) -> Iterable[tuple]:
+#: What a bucket says of a gram: one phrase of the corpus has it, several have, or more than a bucket should hold.
+ALONE, SHARED, OFTEN = 0, 1, 2
+
+
+class Chunk:
+    """A chunk's texts and phrases, and its different grams with the number of phrases of each."""
+
+    def __init__(self, own: dict) -> None:
+        self.lens, self.keys, body, first, count, gram = blobs.unpack(own["data"])
+        raw = zstandard.ZstdDecompressor().decompress(body.tobytes(), max_output_size=max(1, int(self.lens.sum()))) if self.lens.sum() else b""
+        self.raw, self.buf = raw, np.frombuffer(raw, np.uint8)
+        self.starts = np.concatenate(([0], self.lens.cumsum()[:-1])).astype(np.int64)
+        self.first, self.count, self.gram = first.astype(np.int64).cumsum(), count.astype(np.int64), gram.astype(np.int64)
+        h = _hashed(self.buf, self.first + self.gram, np.full(len(self.first), GRAM))
+        self.grams, self.of, self.times = np.unique(h, return_inverse=True, return_counts=True)
+
+    def choose(self, got: list, n: int) -> None:
+        """The different phrases to send, by what the buckets say: place, windows, place and length of the key, in corpus order; and which
+        of them every phrase with a key equals."""
+        says = np.zeros(len(self.grams), np.uint8)
+        by = {b: data for b, kind, data in got if kind == "grams"}
+        for b, mine in _deal((self.grams % np.uint64(n)).astype(np.int64), n):
+            says[mine] = blobs.unpack(by[b])[0]
+        said = says[self.of]
+        whole, split = np.nonzero(said == SHARED)[0], np.nonzero(said == OFTEN)[0]
+        at, count = [self.first[whole]], [self.count[whole]]
+        key, length = [self.first[whole] + self.gram[whole]], [np.full(len(whole), GRAM)]
+        edges = np.arange(PARTS + 1) * SPAN // PARTS
+        for a, b in zip(edges[:-1], edges[1:] - 1, strict=True):  # windows with the gram at a distance of a to b
+            low, high = np.maximum(self.gram[split] - b, 0), np.minimum(self.gram[split] - a, self.count[split] - 1)
+            some = low <= high
+            mine = split[some]
+            at.append(self.first[mine] + low[some])
+            count.append(high[some] - low[some] + 1)
+            key.append(self.first[mine] + self.gram[mine] - a)
+            length.append(np.full(len(mine), LENGTH - (b - a)))
+        at, count, key, length = map(np.concatenate, (at, count, key, length))
+        doc = np.searchsorted(self.starts, at, "right") - 1
+        while (empty := self.lens[doc] == 0).any():  # an empty text starts where the next one does
+            doc[empty] -= 1
+        order = np.lexsort((at, doc, self.keys[doc]))
+        self.at, self.windows, self.key, self.key_length, self.doc = at[order], count[order], key[order], length[order], doc[order]
+        seen: dict[bytes, int] = {}
+        ends = (self.at + self.windows + LENGTH - 1).tolist()
+        self.same = np.array([seen.setdefault(self.raw[a:b], i) for i, (a, b) in enumerate(zip(self.at.tolist(), ends, strict=True))], np.int64)
+        self.sent = np.nonzero(self.same == np.arange(len(self.same)))[0]
+        self.hash = _hashed(self.buf, self.key[self.sent], self.key_length[self.sent])
+
+    def dealt(self, n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The phrases to send to each bucket, those of a key together, which packs well."""
+        by_hash = np.argsort(self.hash, kind="stable")
+        for b, mine in _deal((self.hash[by_hash] % np.uint64(n)).astype(np.int64), n):
+            yield b, self.sent[by_hash[mine]]
+
+
+def _ask_grams(chunk: int, own: dict, n: int) -> Iterable[tuple]:
+    c = Chunk(own)
+    for b, mine in _deal((c.grams % np.uint64(n)).astype(np.int64), n):
+        yield b, chunk, "grams", blobs.pack(np.diff(c.grams[mine], prepend=np.uint64(0)), blobs.small(c.times[mine]), level=1)
+
+
+def _answer_grams(bucket: int, got: list, hot: int) -> Iterable[tuple]:
     parts = [blobs.unpack(d) for _, _, d in got]
-    first = _firsts(np.concatenate([p[0] for p in parts]), _order(got, [p[1:] for p in parts]))[1]
+    keys = [p[0].cumsum(dtype=np.uint64) for p in parts]
+    _, at = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(at, np.concatenate([p[1] for p in parts]).astype(np.float64))
+    says = np.where(total <= 1, ALONE, np.where(total > hot, OFTEN, SHARED)).astype(np.uint8)[at]
+    start = 0
+    for (chunk, _, _), k in zip(got, keys, strict=True):
+        yield chunk, bucket, "grams", blobs.pack(says[start : start + len(k)])
+        start += len(k)
+
+
+def _ask_phrases(chunk: int, own: dict, got: list, n: int) -> Iterable[tuple]:
+    c = Chunk(own)
+    c.choose(got, n)
+    for b, mine in c.dealt(n):
+        windows, at = c.windows[mine], c.at[mine]
+        lens = windows + LENGTH - 1
+        body = c.buf[np.repeat(at, lens) + _steps(lens)]
+        used, of = np.unique(c.doc[mine], return_inverse=True)
+        yield b, chunk, "phrases", blobs.pack(
+            blobs.small(windows), blobs.small(c.key[mine] - at), blobs.small(c.key_length[mine]), body, c.keys[used], blobs.small(used), blobs.small(of), blobs.small(at - c.starts[c.doc[mine]])
+        )
+
+
+def _order(got: list, parts: list[list[np.ndarray]]) -> np.ndarray:
+    """The rows in corpus order: by id, chunk, number in the chunk, place."""
+    key = np.concatenate([p[4][p[6]] for p in parts])
+    number = np.concatenate([p[5].astype(np.int64)[p[6]] for p in parts])
+    at = np.concatenate([p[7].astype(np.int64) for p in parts])
+    chunk = np.repeat([c for c, _, _ in got], [len(p[7]) for p in parts])
+    return np.lexsort((at, number, chunk, key))
+
+
+def _answer_phrases(bucket: int, got: list, s: Sizes) -> Iterable[tuple]:
+    """For each chunk's phrases, a bit for every window: whether it starts earlier in the corpus, too."""
+    parts = [blobs.unpack(d) for _, _, d in got]
+    windows, offset, length = (np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(3))
+    body = np.concatenate([p[3] for p in parts]).tobytes()
+    ends = (windows + LENGTH - 1).cumsum()
+    texts = [body[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    del body
+    seen: dict[bytes, int] = {}
+    of_key: dict[bytes, list[int]] = {}
+    repeated = np.zeros(len(texts), bool)
+    for i in _order(got, parts).tolist():
+        t = texts[i]
+        if seen.setdefault(t, i) != i:
+            repeated[i] = True
+        else:
+            of_key.setdefault(t[offset[i] : offset[i] + length[i]], []).append(i)
+    bits, at = np.repeat(repeated, windows), windows.cumsum() - windows
+    for group in _blocks((_likely(g, texts, offset, length) for g in of_key.values() if len(g) > 1), texts, s.block):
+        for i, marked in _marked(group, texts, windows, s.hot):
+            bits[at[i] : at[i] + len(marked)] |= marked
     start = 0
     for (chunk, _, _), p in zip(got, parts, strict=True):
-        yield chunk, bucket, "windows", blobs.pack(np.packbits(~first[start : start + len(p[0])]))
-        start += len(p[0])
-
-
-def _removed(chunk: int, got: list, n: int, texts: bool) -> Iterable[tuple]:
-    c = _Chunk(got, n)
-    repeats = ~c.first
-    by = {b: blobs.unpack(d)[0] for b, kind, d in got if kind == "windows"}
-    for b, mine in c.buckets(n):
-        repeats[mine] = np.unpackbits(by[b], count=len(mine)).astype(bool)
-    whole = c.says == REPEATED
-    doc = np.concatenate((c.doc[whole], c.window_doc[repeats]))
-    at = np.concatenate((c.at[whole], c.window_at[repeats]))
-    length = np.concatenate((c.count[whole] + LENGTH - 1, np.full(int(repeats.sum()), LENGTH)))
-    order = np.argsort(doc, kind="stable")
-    edges = np.searchsorted(doc[order], np.arange(len(c.texts) + 1))
-    for d, t in enumerate(c.texts):
-        mine = order[edges[d] : edges[d + 1]]
-        if len(mine):
-            change = np.zeros(len(t) + 1, np.int64)
-            np.add.at(change, at[mine], 1)
-            np.subtract.at(change, at[mine] + length[mine], 1)
-            gone = change.cumsum()[:-1] > 0
-            edge = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
-            spans = np.column_stack((np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0]))
-            rest = np.frombuffer(t, np.uint8)[~gone].tobytes()
+        n = int(p[0].sum(dtype=np.int64))
+        yield chunk, bucket, "phrases", blobs.pack(np.packbits(bits[start : start + n]))
+        start += n
+
+
+def _likely(group: list[int], texts: list[bytes], offset: np.ndarray, length: np.ndarray) -> list[int]:
+    """Those phrases of a gram that share ``SIDE`` bytes before it or after it with another: each window has the one or the other."""
+    if length[group[0]] != GRAM:
+        return group
+    sides: dict[tuple[int, bytes], list[int]] = {}
+    for i in group:
+        t, a = texts[i], offset[i]
+        if a >= SIDE:
+            sides.setdefault((0, t[a - SIDE : a]), []).append(i)
+        if len(t) - a - GRAM >= SIDE:
+            sides.setdefault((1, t[a + GRAM : a + GRAM + SIDE]), []).append(i)
+    some = {i for x in sides.values() if len(x) > 1 for i in x}
+    return [i for i in group if i in some]
+
+
+def _blocks(groups: Iterable[list[int]], texts: list[bytes], most: int) -> Iterator[list[list[int]]]:
+    """Groups of phrases, about ``most`` bytes together; a group isn't cut."""
+    block, size = [], 0
+    for g in groups:
+        if len(g) < 2:
+            continue
+        block.append(g)
+        size += sum(len(texts[i]) for i in g)
+        if size >= most:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _marked(groups: list[list[int]], texts: list[bytes], windows: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Phrases and which of their windows repeat one of an earlier phrase or an earlier place of the same.
+
+    Groups are in corpus order. Round 0 indexes each group's first phrase, round k the 2^(k-1) phrases after those of the rounds before
+    (``most`` at most); the phrases of later rounds are streamed through it.
+    """
+    which = np.array([i for g in groups for i in g])
+    group = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
+    rank = np.concatenate([np.arange(len(g)) for g in groups])
+    doubling = max(1, most).bit_length()
+    full = 1 << (doubling - 1)
+    round_ = np.where(rank < full, np.ceil(np.log2(rank + 1)).astype(np.int64), doubling + (rank - full) // full)
+    last = np.zeros(len(groups), np.int64)
+    np.maximum.at(last, group, round_)
+    for r in range(int(round_.max()) + 1):
+        inside = np.nonzero((round_ == r) & ((last[group] > r) | (np.bincount(group[round_ == r], minlength=len(groups))[group] > 1)))[0]
+        if not len(inside):
+            continue
+        index = runindex.Index([texts[i] for i in which[inside]])
+        yield from _split(which[inside], windows, index.repeated(group[inside], windows[which[inside]], LENGTH))
+        later = np.nonzero((round_ > r) & (last[group] > r))[0]
+        if len(later):
+            yield from _split(which[later], windows, index.stream([texts[i] for i in which[later]], windows[which[later]], LENGTH))
+
+
+def _split(which: np.ndarray, windows: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    ends = windows[which].cumsum()
+    for i, a, b in zip(which.tolist(), (ends - windows[which]).tolist(), ends.tolist(), strict=True):
+        yield i, bits[a:b]
+
+
+def _removed(_: int, own: dict, got: list, n: int, texts: bool) -> Iterable[tuple]:
+    c = Chunk(own)
+    c.choose(got, n)
+    by = {b: data for b, kind, data in got if kind == "phrases"}
+    gone = np.zeros(len(c.buf) + 1, np.int64)
+
+    def remove(at: np.ndarray, length: int | np.ndarray) -> None:
+        np.add.at(gone, at, 1)
+        np.subtract.at(gone, at + length, 1)
+
+    for b, mine in c.dealt(n):
+        windows = c.windows[mine]
+        bits = np.unpackbits(blobs.unpack(by[b])[0], count=int(windows.sum())).astype(bool)
+        remove((np.repeat(c.at[mine], windows) + _steps(windows))[bits], LENGTH)
+    again = np.nonzero(c.same != np.arange(len(c.same)))[0]
+    remove(c.at[again], c.windows[again] + LENGTH - 1)
+    gone = gone.cumsum() > 0
+    for doc_id, a, size in zip(own["ids"], c.starts.tolist(), c.lens.tolist(), strict=True):
+        mine = gone[a : a + size]
+        if mine.any():
+            edge = np.diff(np.concatenate(([0], mine.view(np.int8), [0])))
+            spans = np.column_stack((np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0])).tolist()
+            rest = c.buf[a : a + size][~mine].tobytes()
         else:
-            spans, rest = np.empty((0, 2), np.int64), t
-        yield chunk, d, len(t), spans.tolist(), hashlib.sha256(rest).hexdigest(), rest if texts else None
+            spans, rest = [], c.raw[a : a + size]
+        yield doc_id, size, spans, hashlib.sha256(rest).hexdigest(), rest if texts else None
 
 
-def repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
+def repeats(docs: DataFrame, texts: bool = False, sizes: Sizes | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (removed byte runs), kept_sha256 and, if asked for, the kept bytes of every document."""
-    table = common.keep(chunks(docs), "substrings")
-    windows = table.agg(F.sum("n")).first()[0] or 0
-    n = max(1, -(-windows // (BUCKET * (LENGTH - GRAM) // 2)))
-    rows = table.select(F.col("chunk").alias("to"), F.col("chunk").alias("from"), F.lit("chunk").alias("kind"), "data")
-    asked = blobs.each(rows, lambda to, got: _ask_phrases(to, got, n))
-    phrases = common.keep(blobs.exchange(asked, _answer_phrases), "phrases")
-    open_ = blobs.exchange(rows.union(phrases), lambda to, got: _ask_windows(to, got, n))
-    compared = common.keep(blobs.exchange(open_, _answer_windows), "windows")
-    out = blobs.exchange(
-        rows.union(phrases).union(compared), lambda to, got: _removed(to, got, n, texts), "chunk long, k int, n_bytes long, spans array<array<long>>, kept_sha256 string, kept binary"
-    )
-    ids = table.select("chunk", F.posexplode("ids").alias("k", "doc_id"))
-    return out.join(ids, ["chunk", "k"]).select("doc_id", "n_bytes", "spans", "kept_sha256", *(["kept"] if texts else []))
+    splits = blobs.splits(docs)
+    s = sizes or Sizes.of(splits)
+    with common.scratch():
+        table = common.keep(chunks(docs, s), "substrings", buckets=(splits, "to"))
+        n = max(1, -(-(table.agg(F.sum("n")).first()[0] or 0) // s.bucket))
+        rows = table.select("to", F.col("to").alias("from"), F.lit("chunk").alias("kind"), "data")
+        asked = blobs.each(rows, lambda to, got: _ask_grams(to, {"data": got[0][2]}, n))
+        grams = common.keep(blobs.exchange(asked, lambda to, got: _answer_grams(to, got, s.hot), n), "grams")
+        asked = blobs.meet(table, grams, lambda to, own, got: _ask_phrases(to, own, got, n))
+        marked = common.keep(blobs.exchange(asked, lambda to, got: _answer_phrases(to, got, s), n), "phrases")
+        id_type = dict(docs.dtypes)["doc_id"]
+        out = blobs.meet(
+            table, grams.union(marked), lambda to, own, got: _removed(to, own, got, n, texts), f"doc_id {id_type}, n_bytes long, spans array<array<long>>, kept_sha256 string, kept binary"
+        )
+        return common.lasting(common.keep(out if texts else out.drop("kept"), "repeats"))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

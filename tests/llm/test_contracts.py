@@ -411,21 +411,59 @@ def repeated(rows):
     return out
 
 
-@pytest.mark.parametrize("sizes", [(2 << 20, 2 << 20, 1 << 19), (2000, 300, 5)])
-def test_substrings(spark, unique, sizes, monkeypatch):
-    for k, v in zip(("CHUNK", "SEGMENT", "BUCKET"), sizes, strict=True):
-        monkeypatch.setattr(substrings, k, v)
-    extra = [(500, "ab" * 400), (501, "x" + "ab" * 400), (502, "é" * 120), (503, "y" * 99), (504, "y" * 100), (505, "z" * 700)]
-    df = unique.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
+@pytest.mark.parametrize("sizes", [None, substrings.Sizes(2000, 300, 3000, 500, 4096), substrings.Sizes(1500, 400, 9000, 2000, 2)])
+def test_substrings(spark, unique, sizes):
+    """In one bucket and in many, with segments, with hot grams that are split and rounds of two phrases: sizes reach the workers as arguments."""
+    passage = "a line of boilerplate that stands in many places, between other words of every kind, each time the same as it was before it. "
+    rng = np.random.default_rng(4)
+    vary = [(600 + i, passage[: int(rng.integers(60, 128))] + f"{rng.integers(0, 6)} " + passage * int(rng.integers(0, 2)) + f"and {rng.integers(0, 4)} " + passage[int(rng.integers(0, 60)) :]) for i in range(40)]
+    extra = [(500, "ab" * 400), (501, "x" + "ab" * 400), (502, "é" * 120), (503, "y" * 99), (504, "y" * 100), (505, "z" * 700), (506, "\0" * 250), (507, "")]
+    df = unique.select("doc_id", "text").union(spark.createDataFrame(extra + vary, "doc_id long, text string"))
     want = repeated([tuple(r) for r in df.collect()])
-    got = substrings.repeats(df, texts=True).collect()
+    got = substrings.repeats(df, texts=True, sizes=sizes).collect()
     assert {r["doc_id"]: (r["n_bytes"], sum(b - a for a, b in r["spans"]), len(r["spans"]), r["kept_sha256"]) for r in got} == want
     assert all(hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_run_length_index():
+    """Matching statistics and repeats within the index against all windows, in texts of few letters and of all bytes."""
+    rng = np.random.default_rng(1)
+    for trial in range(40):
+        letters = [b"ab", b"a\0\xff", bytes(range(256))][trial % 3]
+        base = [bytes(rng.choice(list(letters), 300).astype(np.uint8)) for _ in range(3)]
+
+        def phrase():
+            x = bytearray(base[rng.integers(3)][int(rng.integers(150)) :][: int(rng.integers(100, 150))])
+            for _ in range(rng.integers(3)):
+                x[rng.integers(len(x))] = rng.integers(256)
+            return bytes(x)
+
+        inside, other = list({phrase(): 0 for _ in range(rng.integers(2, 20))}), [phrase() for _ in range(20)]
+        windows = lambda x: [x[i : i + 100] for i in range(len(x) - 99)]
+        n = lambda texts: np.array([len(x) - 99 for x in texts])
+        index = substrings.runindex.Index(inside)
+        have, seen = {w for x in inside for w in windows(x)}, set()
+        assert index.stream(other, n(other), 100).tolist() == [w in have for x in other for w in windows(x)]
+        assert index.repeated(np.zeros(len(inside), int), n(inside), 100).tolist() == [w in seen or seen.add(w) is not None for x in inside for w in windows(x)]
+        assert len(index.start) <= len(index.raw)
+
+
+def test_substrings_boilerplate_stays_in_its_row(spark):
+    """A line that every document has is sent once by a chunk, however often it stands there."""
+    line = "the same line of boilerplate, long enough to be a repeated passage of a hundred bytes and some more, at the end of all. "
+    raw = substrings.chunks(spark.createDataFrame([(i, line * 3) for i in range(300)], "doc_id long, text string").coalesce(1), substrings.Sizes()).first().asDict()
+    grams = list(substrings._ask_grams(raw["to"], raw, 1))
+    said = [(b, kind, data) for _, b, kind, data in substrings._answer_grams(0, [(c, k, d) for _, c, k, d in grams], 10**9)]
+    sent = list(substrings._ask_phrases(raw["to"], raw, said, 1))
+    assert sum(len(substrings.blobs.unpack(d)[0]) for *_, d in sent) < 30
+
+
 def test_substrings_odd_rows(spark, docs, rows):
     assert substrings.repeats(docs).count() == len(rows)
     assert substrings.repeats(docs.where("false")).count() == 0
+    text = "a passage that stands in two documents and is longer than a hundred bytes, so that the later one of both loses it all."
+    named = substrings.repeats(spark.createDataFrame([("b", text), ("a", text), (None, text), ("c", None)], "doc_id string, text string"))
+    assert {r["doc_id"]: len(r["spans"]) for r in named.collect()} == {None: 0, "a": 1, "b": 1, "c": 0}
 
 
 def test_decontaminate(spark, docs, rows):
