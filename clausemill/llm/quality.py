@@ -11,11 +11,14 @@ the narrow table of measures make them; texts are read and tokenised once.
 
 Defined cases: a null or empty text has no words and fails the base rule; a text under
 ``LEAST_TOKENS`` tokens is too short for the bands; a measure that is null is never out of its
-band; repeated rows are judged alike; an empty table gives an empty result.
+band; a null language takes the bands of its script; a very long text, also one of blanks or letters alone, is measured
+whole; a measure on its band's edge is within; scripts with as many letters go by the order of ``SCRIPTS``; repeated
+rows are judged alike; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
@@ -64,6 +67,29 @@ def _fallback(folder: str) -> np.ndarray:
     return out
 
 
+#: White space, and how long a run of it goes to the merging step by itself: the pattern's engine recurses over such a run.
+_BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANK = 10_000
+_LONG_BLANKS = re.compile(f"[{_BLANK}]{{{LONG_BLANK},}}")
+
+
+def encode(text: str, folder: str = TOKENIZERS) -> list[int]:
+    """Token ids of a text; the same as the vocabulary's own encoder gives, for runs of white space of any length.
+
+    ``PATTERN`` takes such a run without its last character as one piece (at the end of the text: the whole run).
+    """
+    e = _encoding(folder)
+    if len(text) < LONG_BLANK:
+        return e.encode_ordinary(text)
+    out, at = [], 0
+    for m in _LONG_BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        out += e.encode_ordinary(text[at : m.start()])
+        out += e._core_bpe.encode_single_piece(text[m.start() : end].encode())
+        at = end
+    return out + e.encode_ordinary(text[at:])
+
+
 def script(text: str) -> str:
     """Script of most letters among the first of each kind; by Unicode block, counted over the whole text."""
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -102,7 +128,7 @@ def fertility(text: str | None, folder: str = TOKENIZERS) -> tuple[int, float |
     if not text:
         return 0, None, None, None
     cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    ids = np.array(_encoding(folder).encode_ordinary(text), np.int64)
+    ids = np.array(encode(text, folder), np.int64)
     counts = np.unique(ids, return_counts=True)[1] / len(ids)
     utf8 = 1 + (cp >= 0x80) + (cp >= 0x800) + (cp >= 0x10000)
     bits = float(-(counts * np.log2(counts)).sum())
