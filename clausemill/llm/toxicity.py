@@ -10,8 +10,9 @@ the sample makes a lexicon on which the other half calibrates the score; the lex
 made from both. Scoring is one pass over whole texts without a shuffle.
 
 Defined cases: a null or empty text scores as one without hits; several labels for a document
-count as toxic if any is; null labels teach nothing; with nothing to learn from every score is 0;
-repeated rows are scored alike; an empty table gives an empty result.
+count as toxic if any is; null labels and null ids teach nothing; with nothing to learn from every score is 0;
+a very long text is scored whole; of entries that start at one place the heaviest counts, of equal ones the first found;
+repeated rows are scored alike (and each teaches, if labelled); extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,16 +23,16 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clausemill.llm import common
 
 FOLDS = 3
 THRESHOLD = 0.7
-#: Bounds of the sample (documents per class) and of the lexicon (entries).
+#: Bound of the sample: labelled documents per class.
 PER_CLASS = 10_000
-MOST_ENTRIES = 2_000
-#: An entry stands in so many toxic documents of the sample at least, by number and by share.
+#: An entry stands in so many toxic documents of the sample at least, by number and by share. That bounds the lexicon: it has at
+#: most 1 / LEAST_SHARE times as many entries as a toxic document of the sample has different words and word starts.
 LEAST_DOCS, LEAST_SHARE = 3, 0.004
 LEAST_WEIGHT = 2.0
 SHORTEST, LONGEST = 4, 12
@@ -147,68 +148,76 @@ def entries(texts: Iterable[str | None]) -> Iterable[set[str]]:
         yield out
 
 
-def select(counts: Sequence[tuple[str, int, int]], toxic: int, other: int, most: int = MOST_ENTRIES) -> dict[str, float]:
-    """Weights of the entries that speak for toxicity; a start that serves as well replaces what it starts."""
-    least = max(LEAST_DOCS, LEAST_SHARE * toxic)
-    weighed = []
-    for entry, t, n in counts:
-        w = np.log((t + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (other + 1))
-        if t >= least and w >= LEAST_WEIGHT and t > 4 * n * toxic / max(other, 1):
-            weighed.append((entry, t, float(w)))
+def weight(t: float, n: float, toxic: int, other: int) -> float:
+    """Log odds of an entry in ``t`` of ``toxic`` documents and ``n`` of the ``other`` ones."""
+    return float(np.log((t + 0.5) / (toxic + 1)) - np.log((n + 0.5) / (other + 1)))
+
+
+def least(toxic: int) -> float:
+    return max(LEAST_DOCS, LEAST_SHARE * toxic)
+
+
+def speaks(t: Column, n: Column, toxic: int, other: int) -> Column:
+    """Whether an entry in ``t`` toxic and ``n`` other documents of the sample speaks for toxicity."""
+    w = F.log((t + 0.5) / (toxic + 1)) - F.log((n + 0.5) / (other + 1))
+    return (t >= least(toxic)) & (w >= LEAST_WEIGHT) & (t * max(other, 1) > 4 * n * toxic)
+
+
+def select(counts: Iterable[tuple[str, int, int]], toxic: int, other: int) -> dict[str, float]:
+    """Weights of the entries (entry, toxic documents, other documents); a start that serves as well replaces what it starts."""
     out: dict[str, float] = {}
-    seen: dict[str, int] = {}
-    for entry, t, w in sorted(weighed, key=lambda x: (len(x[0].rstrip()), x[0])):
+    for entry, w in sorted(((e, weight(t, n, toxic, other)) for e, t, n in counts), key=lambda x: (len(x[0].rstrip()), x[0])):
         if not any(entry[:n] in out and out[entry[:n]] >= w - 0.75 for n in range(SHORTEST + 1, len(entry))):
-            out[entry], seen[entry] = w, t
-    return dict(sorted(out.items(), key=lambda x: (-seen[x[0]] * x[1], x[0]))[:most])
+            out[entry] = w
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, most: int = MOST_ENTRIES, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, exceptions: Sequence[str] = EXCEPTIONS) -> Lexicon:
     """The lexicon from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     At most ``per_class`` ids of each class (smallest hashes first) are taken; that list of
     ids is bounded, so it is broadcast and no text is shuffled.
     """
     spark = docs.sparkSession
-    truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    truth = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     hashed = truth.select("doc_id", "toxic", F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
-    ids = [r for y in (0, 1) for r in hashed.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_class).collect()]
-    if not ids or len({r["toxic"] for r in ids}) < 2:
-        return Lexicon({}, exceptions, ())
-    chosen = F.broadcast(spark.createDataFrame([(r["doc_id"], int(r["toxic"]), r["h"] % 2) for r in ids], "doc_id long, toxic int, half int"))
-    sample = common.keep(docs.join(chosen, "doc_id").select("text", "toxic", "half"), "toxic")
-
-    def count(texts: list, toxic: list, half: list) -> Iterable:
-        seen: dict[str, list[int]] = {}
-        for found, y, h in zip(entries(texts), toxic, half, strict=True):
-            for e in found:
-                seen.setdefault(e, [0, 0, 0, 0])[2 * h + y] += 1
-        return [list(seen), *zip(*seen.values(), strict=True)] if seen else [[], [], [], [], []]
-
-    grams = common.map_rows(sample, ["text", "toxic", "half"], count, "entry string, n00 long, n01 long, n10 long, n11 long", rows=None)
-    summed = grams.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")])
-    sizes = {(r["half"], r["toxic"]): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
-    n = {(h, y): sizes.get((h, y), 0) for h in (0, 1) for y in (0, 1)}
-    least = max(LEAST_DOCS, LEAST_SHARE * (n[0, 1] + n[1, 1]) / 4)
-    few = summed.where((F.col("n01") + F.col("n11") >= least) & (F.col("n01") + F.col("n11") > F.col("n00") + F.col("n10")))
-    rows = few.orderBy(F.desc(F.col("n01") + F.col("n11")), "entry").limit(100 * most).collect()
-    both = select([(r["entry"], r["n01"] + r["n11"], r["n00"] + r["n10"]) for r in rows], n[0, 1] + n[1, 1], n[0, 0] + n[1, 0], most)
-    first = select([(r["entry"], r["n01"], r["n00"]) for r in rows], n[0, 1], n[0, 0], most)
-    held = spark.sparkContext.broadcast(Lexicon(first, exceptions))
-
-    def measure(texts: list, toxic: list) -> Iterable:
-        f = [held.value.features(t)[:3] for t in texts]
-        return [[x[0] for x in f], [x[1] for x in f], [x[2] for x in f], toxic]
-
-    got = common.map_rows(sample.where("half = 1"), ["text", "toxic"], measure, "a double, b double, c double, y int").collect()
-    common.drop(sample)
-    model = calibrate(np.array([[r["a"], r["b"], r["c"]] for r in got]), np.array([r["y"] for r in got], float)) if got else ()
-    return Lexicon(both, exceptions, model)
+    take = lambda y: hashed.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(per_class)
+    chosen = F.broadcast(take(0).union(take(1)).select("doc_id", "toxic", F.pmod("h", F.lit(2)).cast("int").alias("half")))
+    with common.scratch():
+        sample = common.keep(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic", "half"), "toxic")
+        sizes = {(r["half"], r["toxic"]): r["count"] for r in sample.groupBy("half", "toxic").count().collect()}
+        n = {(h, y): sizes.get((h, y), 0) for h in (0, 1) for y in (0, 1)}
+        if not n[0, 1] + n[1, 1] or not n[0, 0] + n[1, 0]:
+            return Lexicon({}, exceptions, ())
+
+        def count(texts: list, toxic: list, half: list) -> Iterable:
+            seen: dict[str, list[int]] = {}
+            for found, y, h in zip(entries(texts), toxic, half, strict=True):
+                for e in found:
+                    seen.setdefault(e, [0, 0, 0, 0])[2 * h + y] += 1
+            return [list(seen), *zip(*seen.values(), strict=True)] if seen else [[], [], [], [], []]
+
+        grams = common.map_rows(sample, ["text", "toxic", "half"], count, "entry string, n00 long, n01 long, n10 long, n11 long", rows=None)
+        summed = grams.groupBy("entry").agg(*[F.sum(c).alias(c) for c in ("n00", "n01", "n10", "n11")])
+        in_both = speaks(F.col("n01") + F.col("n11"), F.col("n00") + F.col("n10"), n[0, 1] + n[1, 1], n[0, 0] + n[1, 0])
+        in_first = speaks(F.col("n01"), F.col("n00"), n[0, 1], n[0, 0])
+        rows = summed.where(in_both | in_first).select("*", in_both.alias("both"), in_first.alias("first")).collect()
+        both = select([(r["entry"], r["n01"] + r["n11"], r["n00"] + r["n10"]) for r in rows if r["both"]], n[0, 1] + n[1, 1], n[0, 0] + n[1, 0])
+        first = select([(r["entry"], r["n01"], r["n00"]) for r in rows if r["first"]], n[0, 1], n[0, 0])
+        held = spark.sparkContext.broadcast(Lexicon(first, exceptions))
+
+        def measure(texts: list, toxic: list) -> Iterable:
+            f = [held.value.features(t)[:3] for t in texts]
+            return [[x[0] for x in f], [x[1] for x in f], [x[2] for x in f], toxic]
+
+        got = common.map_rows(sample.where("half = 1"), ["text", "toxic"], measure, "a double, b double, c double, y int").collect()
+        model = calibrate(np.array([[r["a"], r["b"], r["c"]] for r in got]), np.array([r["y"] for r in got], float)) if got else ()
+        return Lexicon(both, exceptions, model)
 
 
 def score(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score, predicted and n_hits for every document."""
-    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # at most MOST_ENTRIES entries
+    held = docs.sparkSession.sparkContext.broadcast(lexicon)  # its size is bounded by the sample (see LEAST_SHARE)
 
     def run(texts: list) -> Iterable:
         found = [held.value.score(t) for t in texts]
