@@ -118,15 +118,134 @@ APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
 # distributed under the License is distributed on an "AS IS" BASIS."""
 
 
+_BSD = """Copyright (c) 2019, Some Body
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Whole licences and notices, wrapped as they are found.
+WHOLE = {
+    "MIT": """MIT License
+
+Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.""",
+    "BSD-2-Clause": _BSD % "",
+    "BSD-3-Clause": _BSD % """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "ISC": """Copyright (c) 2020, Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR
+ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS.""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "LGPL": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+
+This library is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU
+Lesser General Public License for more details.
+
+You should have received a copy of the GNU Lesser General Public
+License along with this library; if not, write to the Free Software
+Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA  02110-1301  USA""",
+    "GPL-3.0 text": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works.""",
+    "GPL-2.0 text": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 2, June 1991
+
+ Copyright (C) 1989, 1991 Free Software Foundation, Inc.,
+ 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.""",
+    "Apache-2.0 text": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+
+      "License" shall mean the terms and conditions for use, reproduction,
+      and distribution as defined by Sections 1 through 9 of this document.""",
+}
+
+
 @pytest.mark.parametrize(
     "text, ids, found",
     [
         (MIT, "Copyright,MITgrant,MITnotice,ASIS", "MIT"),
-        (GPL, "GPLfree,GPLnowarranty,GPLreceived", "GPL"),
-        (GPL.replace("software:", "software;"), "GPLfree,GPLnowarranty,GPLreceived", "GPL"),
+        (GPL, "GPL3free,GPLnowarranty,GPLreceived", "GPL-3.0"),
+        (GPL.replace("software:", "software;").replace("version 3", "version 2"), "GPL2free,GPLnowarranty,GPLreceived", "GPL-2.0"),
         (BSD, "BSDredist,BSDsource,BSDbinary,BSDname", "BSD-3-Clause"),
         (APACHE, "Apache2ref,ApacheUse,ApacheCopy,ApacheLimit", "Apache-2.0"),
         ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not", "MPL2ref", "MPL-2.0"),
+        (WHOLE["MIT"], "Copyright,MITgrant,MITnotice,ASIS,Liability", "MIT"),
+        (WHOLE["BSD-2-Clause"], "Copyright,BSDredist,BSDsource,BSDbinary,ASIS,Liability", "BSD-2-Clause"),
+        (WHOLE["BSD-3-Clause"], "Copyright,BSDredist,BSDsource,BSDbinary,BSDname,ASIS,Liability", "BSD-3-Clause"),
+        (WHOLE["ISC"], "Copyright,ISCgrant,ISCasis,Liability", "ISC"),
+        (WHOLE["MPL-2.0"], "MPL2ref,MPLcopy", "MPL-2.0"),
+        (WHOLE["LGPL"], "LGPLfree,LGPLnowarranty,LGPLreceived", "LGPL"),
+        (WHOLE["GPL-3.0 text"], "GPL3title,FSFcopyright,GNUverbatim", "GPL-3.0"),
+        (WHOLE["GPL-2.0 text"], "GPL2title,FSFcopyright,GNUverbatim", "GPL-2.0"),
+        (WHOLE["Apache-2.0 text"], "Apache2title,ApacheTerms", "Apache-2.0"),
+        (WHOLE["MIT"] + "\n\n" + WHOLE["ISC"], "Copyright,MITgrant,MITnotice,ASIS,Liability,Copyright,ISCgrant,ISCasis,Liability", "MIT,ISC"),
         ("// SPDX-License-Identifier: MIT\nint main;", "SPDX-MIT", "MIT"),
         ("SPDX-License-Identifier: GPL-2.0-or-later", "SPDX-GPL-2.0", "GPL-2.0"),
         ("SPDX-License-Identifier: Zlib", "SPDX", ""),
