@@ -37,7 +37,7 @@ ORDER = 3
 #: Counts above this aren't discounted.
 TRUSTED = 5
 #: Tokens of a chunk (about), and training tokens of a bucket (on average), at least; tokens of an input split at most (about).
-CHUNK, BUCKET, SPLIT = 1 << 20, 1 << 20, 1 << 25
+CHUNK, BUCKET, SPLIT = 5 << 18, 1 << 20, 1 << 25
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: The id of the mark before a text; words have ids from 1.
@@ -109,12 +109,13 @@ class Unigrams:
 
 @dataclass(frozen=True)
 class Plan:
-    """What all chunks and buckets know: number of buckets, tokens of a bucket, whether the documents are learned from, the
-    unigrams and the discounts of orders 2 and up, as far as these are counted."""
+    """What all chunks and buckets know: number of buckets, tokens of a bucket, whether the documents are learned from and the model is
+    to be saved, the unigrams and the discounts of orders 2 and up, as far as these are counted."""
 
     n: int
     most: int
     learn: bool
+    save: bool = False
     unigrams: Unigrams | None = None
     discount: tuple[tuple[float, ...], ...] = ()
 
@@ -235,11 +236,12 @@ def _answer_words(bucket: int, got: list, p: Plan) -> Iterable[tuple]:
     counts = np.zeros(len(ids), np.int64)
     for at, c in parts:
         np.add.at(counts, at, c)
-    order = np.argsort(counts == 0, kind="stable")  # words of the model keep their places when others come
+    # Frequent words get small numbers, which pack well; words of the model keep their places when others come.
+    order = np.argsort(-counts if p.learn else counts == 0, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     yield -1, bucket, "totals", _tally(counts)
-    if p.learn and (counts > 0).any():
+    if p.save and (counts > 0).any():
         listed = list(ids)
         known = order[: (counts > 0).sum()]
         yield bucket, MODEL, "model", blobs.pack(*_pack_words([listed[i] for i in known]), blobs.small(counts[known]))
@@ -269,7 +271,7 @@ class Chunk:
     """A chunk's distinct n-grams, order by order, with what the buckets have answered so far.
 
     Of the current order: ``where`` (the n-gram of each token), ``context`` and ``word`` of each n-gram, the
-    ``low`` n-gram of one order less, ``ids`` (the words of each context, a column each), ``seen`` (how often a
+    ``low`` n-gram of one order less, ``ids`` (the words of each context from the last to the first, a column each), ``seen`` (how often a
     context was seen) and ``low_size`` (events of the context of one order less). A context is an n-gram of the
     order before, or, as the last one, the start of a text.
     """
@@ -303,7 +305,7 @@ class Chunk:
         before[1:] = self.where[:-1]
         before[self.starts] = n
         low_context = self.context[self.where] if self.order > 1 else None
-        self.ids = [np.append(x[self.context], START) for x in self.ids] + [np.append(self.word_ids[self.word], START)]
+        self.ids = [np.append(self.word_ids[self.word], START)] + [np.append(x[self.context], START) for x in self.ids]
         self.seen = np.append(self.c, self.texts)
         first, where = _distinct(before * len(self.words) + self.at)
         self.low_size = np.zeros(n + 1)
@@ -320,13 +322,13 @@ class Chunk:
         has a part of its total. Those are no more than eight contexts a bucket on average and order.
         """
         n, m = self.p.n, len(self.seen)
-        by = np.lexsort(self.ids[::-1])  # contexts by the ids of their words, which packs well
+        by = np.argsort(_joint(self.ids))  # contexts by the ids of their words, which packs well
         rank = np.empty(m, np.int64)
         rank[by] = np.arange(m)
         self.salts = self.seen // max(self.p.most // 4, 1) + 1
         salt = _salt(self.word_ids[self.word], self.salts[self.context])
         bucket = _bucket([x[self.context] for x in self.ids], salt, n)
-        order = np.argsort(bucket * m + rank[self.context], kind="stable")
+        order = np.argsort(_joint((bucket, rank[self.context], self.word)))
         edges = np.searchsorted(bucket[order], np.arange(n + 1))
         dealt = np.unique(self.context[self.salts[self.context] > 1])
         times = self.salts[dealt]
@@ -336,8 +338,13 @@ class Chunk:
         more_edges = np.searchsorted(more // m, np.arange(n + 1))
         for b in np.nonzero(np.diff(edges) + np.diff(more_edges))[0]:
             mine = order[edges[b] : edges[b + 1]]
-            own = np.union1d(rank[self.context[mine]], more[more_edges[b] : more_edges[b + 1]] % m)
-            yield int(b), mine, by[own], np.searchsorted(own, rank[self.context[mine]])
+            r, asked = rank[self.context[mine]], more[more_edges[b] : more_edges[b + 1]] % m
+            if len(asked):
+                own = np.union1d(r, asked)
+                yield int(b), mine, by[own], np.searchsorted(own, r)
+            else:
+                new = np.concatenate(([True], r[1:] != r[:-1]))
+                yield int(b), mine, by[r[new]], new.cumsum() - 1
 
     def ask(self, chunk: int) -> Iterable[tuple]:
         local = np.bincount(self.where[self.train], minlength=len(self.word))
@@ -353,15 +360,15 @@ class Chunk:
         """Counts and log probabilities of the n-grams from the buckets' answers."""
         m = len(self.seen)
         c = np.zeros(len(self.word), np.int64)
-        total, few, mass = np.zeros(m, np.int64), np.zeros((TRUSTED, m), np.int64), np.zeros(m)
+        total, lost, mass = np.zeros(m, np.int64), np.zeros(m), np.zeros(m)
+        d, r = np.array(self.p.discount[k - 2]), np.arange(1, TRUSTED + 1)
+        taken = (1 - d[1 : TRUSTED + 1]) * r  # from each small count of a context
         for b, mine, own, place in self.parts():
             x = blobs.unpack(self.got[str(k), b])
             c[mine] = x[0]
             total[own] += x[1].astype(np.int64)
-            few[:, own] += np.array(x[2 : 2 + TRUSTED], np.int64)
+            lost[own] += taken @ np.array(x[2 : 2 + TRUSTED])
             mass[own[_weighed(x[0], place, self.salts[own] > 1)]] += x[-1]
-        d, r = np.array(self.p.discount[k - 2]), np.arange(1, TRUSTED + 1)
-        lost = ((1 - d[1 : TRUSTED + 1]) * r) @ few  # taken from the small counts of each context
         self.size = np.where((lost <= 0) & (total > 0), total + 1, total).astype(np.float64)  # a context without one gives one event
         left = np.where(lost > 0, lost, 1.0) / np.maximum(self.size, 1)
         weight = np.where(total > 0, left / (1 - np.minimum(mass, 1 - 1e-15)), 1.0)
@@ -405,7 +412,7 @@ def _answer(bucket: int, got: list, p: Plan, k: int) -> Iterable[tuple]:
     total = np.bincount(of, c, n).astype(np.int64)
     few = [np.bincount(of[c == r], minlength=n) for r in range(1, TRUSTED + 1)]
     mass = np.bincount(of, low, n)
-    if p.learn and len(c):
+    if p.save and len(c):
         used = np.unique(of)
         columns = [x[first_owner][used] for x in ids]
         order = np.lexsort(columns[::-1])  # rows of the model are written as a chunk's
@@ -436,16 +443,16 @@ def _score(_: int, own: dict, got: list, p: Plan) -> Iterable[tuple]:
     yield from zip(own["ids"], (c.held == 1).tolist(), c.lens.tolist(), per((c.counts[c.at] > 0).astype(np.int64)), [uni.total] * len(c.lens), per(base[c.at]), per(c.log[c.where]), strict=True)
 
 
-def _build(docs: DataFrame, order: int, chunk: int | None, bucket: int | None, model: DataFrame | None = None) -> tuple[DataFrame, Plan, list[DataFrame]]:
+def _build(docs: DataFrame, order: int, chunk: int | None, bucket: int | None, model: DataFrame | None = None, save: bool = False) -> tuple[DataFrame, Plan, list[DataFrame]]:
     """The table of chunks, the plan with all totals, and the kept answers of the buckets for each order."""
     learn, n_splits = model is None, blobs.splits(docs)
-    table = common.keep(chunks(docs, chunk or blobs.size(n_splits, CHUNK, SPLIT), learn), "katz-chunks", buckets=(n_splits, "to"))
+    table = common.keep(chunks(docs, chunk or blobs.size(n_splits, CHUNK, SPLIT), learn), "katz-chunks", buckets=(2 * n_splits, "to"))
     if learn:
         most = bucket or blobs.size(n_splits, BUCKET, SPLIT)
         n = max(1, -(-(table.agg(F.sum("n")).first()[0] or 0) // most))
     else:
         n, most = model.select("buckets", "most").first()
-    p, answers = Plan(n, most, learn), []
+    p, answers = Plan(n, most, learn, save), []
     of_model = lambda k: model.where(F.col("order") == k).select(F.col("bucket").alias("to"), F.lit(MODEL).cast("long").alias("from"), F.lit("ask").alias("kind"), "data")
     for k in range(1, order + 1):
         if k == 1:
@@ -470,7 +477,7 @@ def _for_chunks(answers: list[DataFrame]) -> DataFrame:
 def fit(docs: DataFrame, path: str, order: int = ORDER, chunk: int | None = None, bucket: int | None = None) -> None:
     """Write the model of the documents that aren't held out: Parquet partitioned by order, a row for each bucket."""
     with common.scratch():
-        _, p, answers = _build(docs, order, chunk, bucket)
+        _, p, answers = _build(docs, order, chunk, bucket, save=True)
         for k, a in enumerate(answers, 1):
             rows = a.where(blobs.of("model")).select(F.col("to").alias("bucket"), F.lit(p.n).cast("long").alias("buckets"), F.lit(p.most).cast("long").alias("most"), F.lit(k).alias("order"), "data")
             rows.write.partitionBy("order").mode("append" if k > 1 else "overwrite").parquet(path)
