@@ -20,7 +20,7 @@ _CHUNK = 512
 
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends (trim would leave U+3000)."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.when(text.rlike(r"(?U)^\s|\s$"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
 def split_lines(text: Column) -> Column:
@@ -36,9 +36,10 @@ def fold(text: Column) -> Column:
 
 def normalise(text: Column) -> Column:
     """For matching: folded, without the blanks that break numbers apart, without blanks at all."""
-    joined = F.regexp_replace(fold(text), r"(?U)([0-9])\s*\.\s*([0-9])", "$1.$2")
+    folded = fold(text)
+    joined = F.regexp_replace(folded, r"(?U)([0-9])\s*\.\s*([0-9])", "$1.$2")
     joined = F.regexp_replace(joined, r"(?U)([0-9])\s+(?=[0-9]|mm|米|m|次)", "$1")
-    return F.translate(joined, " 　", "")
+    return F.translate(F.when(folded.rlike(r"(?U)[0-9.]\s"), joined).otherwise(folded), " 　", "")
 
 
 def heading_level(text: Column) -> Column:
@@ -77,8 +78,8 @@ def located(text: Column, pattern: str | Column) -> Column:
     )
 
 
-def placed(text: Column, pattern: Column) -> Column:
-    """As :func:`located`, for patterns without look-around and few matches: each match is looked for after the one before.
+def placed(text: Column, matches: Column) -> Column:
+    """As :func:`located`, of the few matches of a pattern without look-around: each match is looked for after the one before.
 
     An earlier equal substring would itself have been the leftmost match, so the first one found is the match.
     """
@@ -88,7 +89,6 @@ def placed(text: Column, pattern: Column) -> Column:
         s = F.position(m, text, acc["at"] + 1) - 1
         return F.struct((s + F.length(m)).alias("at"), F.array_append(acc["a"], s).alias("a"))
 
-    matches = F.regexp_extract_all(text, pattern, 0)
     starts = F.aggregate(matches, start, step, lambda acc: acc["a"])
     return F.transform(F.arrays_zip(matches.alias("m"), starts.alias("s")), lambda x: F.struct(x["m"].alias("m"), x["s"].cast("long").alias("s"), (x["s"] + F.length(x["m"])).cast("long").alias("e")))
 

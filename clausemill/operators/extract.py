@@ -7,6 +7,7 @@ parameter's aliases is passed over by a plain substring test.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -17,65 +18,80 @@ _SPAN = "array<struct<m:string,s:bigint,e:bigint,a:int>>"
 NUMBER = r"[0-9]+(?:\.[0-9]+)?"
 
 
-def _configured(params: Sequence[Numeric]) -> Column:
-    """The parameters as one constant array, so that the plan's size doesn't grow with the aliases."""
+def _configured(params: Sequence[Numeric], units: dict[str, str]) -> tuple[Column, Column]:
+    """The parameters, and the names of units, as constants of the plan."""
     words = lambda w: F.array(*map(F.lit, w)).cast("array<string>")
 
-    def of(i: int, p: Numeric) -> Column:
-        aliases = [F.struct(F.lit(k).alias("a"), F.lit(x).alias("alias"), F.lit(f"{T.quoted(x)}[^0-9]{{0,6}}?{NUMBER}{p.unit}").alias("pattern")) for k, x in enumerate(p.ranked())]
+    def of(p: Numeric) -> Column:
         return F.struct(
-            F.lit(i).alias("p"), F.lit(p.id).alias("param_id"), F.lit(p.name).alias("name"), F.lit(p.category).alias("category"), F.lit(p.low).alias("low"), F.lit(p.high).alias("high"),
-            F.lit(p.metres).alias("metres"), F.array(*aliases).alias("aliases"), words(p.not_after).alias("guards"),
+            F.lit(p.id).alias("param_id"), F.lit(p.name).alias("name"), F.lit(p.category).alias("category"), F.lit(p.low).alias("low"), F.lit(p.high).alias("high"),
+            F.lit(p.metres).alias("metres"), words(p.not_after).alias("guards"),
         )
 
-    return F.array(*[of(i, p) for i, p in enumerate(params)])
+    return F.array(*map(of, params)), F.create_map(*[F.lit(x) for kv in units.items() for x in kv]) if units else F.create_map().cast("map<string,string>")
+
 
+def _matched(norm: Column, params: Sequence[Numeric]) -> Column:
+    """Array of (p, found) of the parameters that the line names: every alias's matches, longer aliases first. Patterns are literals, so each is compiled once."""
+    none = F.array().cast("array<string>")
 
-def _named(norm: Column, aliases: Column) -> Column:
-    return F.filter(aliases, lambda a: F.contains(norm, a["alias"]))
+    def of(i: int, p: Numeric) -> Column:
+        hits = [F.when(F.contains(norm, F.lit(x)), F.regexp_extract_all(norm, F.lit(f"{T.quoted(x)}[^0-9]{{0,6}}?{NUMBER}{p.unit}"), 0)).otherwise(none) for x in p.ranked()]
+        return F.struct(F.lit(i).alias("p"), F.array(*hits).alias("found"))
 
+    return F.filter(F.array(*[of(i, p) for i, p in enumerate(params)]), lambda x: F.exists(x["found"], lambda m: F.size(m) > 0))
 
-def accepted(norm: Column, config: Column) -> Column:
+
+def accepted(norm: Column, found: Column, guards: Column) -> Column:
     """Matches of a parameter, longer aliases first, then by place, that overlap no accepted one and
     don't follow a guard word within four characters.
 
     A match out of the physical range holds its place too; a guarded one doesn't.
     """
-    found = F.transform(
-        _named(norm, config["aliases"]),
-        lambda a: F.transform(T.placed(norm, a["pattern"]), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["e"].alias("e"), a["a"].alias("a"))),
-    )
+    every = F.transform(found, lambda m, a: F.transform(T.placed(norm, m), lambda x: F.struct(x["m"].alias("m"), x["s"].alias("s"), x["e"].alias("e"), a.alias("a"))))
 
     def guarded(x: Column) -> Column:
         before = F.when(x["s"] == 0, "").otherwise(F.substr(norm, F.greatest(x["s"] - 3, F.lit(1)).cast("int"), F.least(x["s"], F.lit(4)).cast("int")))
-        return F.exists(config["guards"], lambda g: F.contains(before, g))
+        return F.exists(guards, lambda g: F.contains(before, g))
 
     def step(acc: Column, x: Column) -> Column:
         taken = F.exists(acc, lambda t: (t["s"] < x["e"]) & (x["s"] < t["e"]))
         return F.when(taken | guarded(x), acc).otherwise(F.array_append(acc, x))
 
-    return F.aggregate(F.flatten(found), F.array().cast(_SPAN), step)
+    return F.aggregate(F.flatten(every), F.array().cast(_SPAN), step)
+
+
+def _read(x: Column, config: Column, units: Column) -> Column:
+    """A match with its value and unit, read once: in steps, so that no expression stands in a plan twice."""
+    said = F.regexp_extract(x["m"], f"{NUMBER}([^0-9]+)$", 1)
+    raw = F.struct(F.regexp_extract(x["m"], f"({NUMBER})", 1).cast("double").alias("v"), F.coalesce(F.element_at(units, said), said).alias("u"))
+    shrunk = F.transform(F.array(raw), lambda r: F.when((r["u"] == "mm") & config["metres"], F.struct((r["v"] / 1000.0).alias("v"), F.lit("m").alias("u"))).otherwise(r))
+    return F.element_at(
+        F.transform(shrunk, lambda r: F.struct(x["a"].alias("a"), x["s"].alias("s"), x["m"].alias("raw_text"), r["v"].alias("value"), r["u"].alias("unit"), ((r["v"] > config["low"]) & (r["v"] <= config["high"])).alias("in_range"))), 1
+    )
+
+
+@lru_cache(maxsize=8)
+def _facts(params: tuple[Numeric, ...], units: tuple[tuple[str, str], ...]) -> tuple[str, Column, Column, Column]:
+    """The test of a line, its matches by parameter, the parameter's constants, and its facts: made once, as they have some hundred parts."""
+    configs, unit_names = _configured(params, dict(units))
+    named = "|".join(T.quoted(a) for p in params for a in p.aliases)
+    facts = F.transform(accepted(F.col("_norm"), F.col("_p.found"), F.col("_c.guards")), lambda x: _read(x, F.col("_c"), unit_names))
+    return named, _matched(F.col("_norm"), params), F.element_at(configs, F.col("_p.p") + 1), facts
 
 
 def numeric(lines: DataFrame, params: Sequence[Numeric] = NUMERIC, units: dict[str, str] = UNITS) -> DataFrame:
     """Every numeric fact: the line's columns, the parameter's, value, unit, place, in_range (both sides of the range filter)."""
-    named = "|".join(T.quoted(a) for p in params for a in p.aliases)
+    named, matched, config, facts = _facts(tuple(params), tuple(units.items()))
     norm = lines.withColumn("_norm", T.normalise(F.col("text"))).where(F.col("_norm").rlike(named))  # one test: the filter holds the folding once
-    mine = F.filter(_configured(params), lambda p: F.size(_named(F.col("_norm"), p["aliases"])) > 0)
-    hits = norm.withColumn("_p", F.explode(mine)).withColumn("_x", F.explode(accepted(F.col("_norm"), F.col("_p"))))
-    hits = hits.select(*lines.columns, "_p.p", "_p.param_id", "_p.name", "_p.category", "_p.low", "_p.high", "_p.metres", "_x.a", "_x.s", F.col("_x.m").alias("raw_text"))
-    said = F.regexp_extract("raw_text", f"{NUMBER}([^0-9]+)$", 1)
-    canon = said
-    for k, v in units.items():
-        canon = F.when(said == k, v).otherwise(canon)
-    out = hits.withColumns({"value": F.regexp_extract("raw_text", f"({NUMBER})", 1).cast("double"), "unit": canon})
-    shrink = (F.col("unit") == "mm") & F.col("metres")
-    out = out.withColumns({"value": F.when(shrink, F.col("value") / 1000.0).otherwise(F.col("value")), "unit": F.when(shrink, "m").otherwise(F.col("unit"))})
-    return out.withColumns({"in_range": (F.col("value") > F.col("low")) & (F.col("value") <= F.col("high")), "kind": F.lit(1)}).drop("metres")
+    hits = norm.withColumn("_p", F.explode(matched)).withColumn("_c", config)
+    out = hits.select(*lines.columns, "_p.p", "_c", F.explode(facts).alias("_x"))
+    return out.select(*lines.columns, "p", "_c.param_id", "_c.name", "_c.category", "_c.low", "_c.high", "_x.*", F.lit(1).alias("kind"))
 
 
-def textual(lines: DataFrame, params: Sequence[Textual] = TEXTUAL) -> DataFrame:
-    """The first fact of each textual parameter in a document: patterns in order within a line, lines in order."""
+@lru_cache(maxsize=8)
+def _said(params: tuple[Textual, ...]) -> Column:
+    """Array of the textual parameters' facts in a line."""
     norm = F.col("_norm")
 
     def of(i: int, p: Textual) -> Column:
@@ -86,9 +102,14 @@ def textual(lines: DataFrame, params: Sequence[Textual] = TEXTUAL) -> DataFrame:
             raw = F.when(hit, F.regexp_extract(norm, f"(?d){pattern}", 0)).otherwise(raw)
         return F.struct(F.lit(i).alias("p"), F.lit(p.id).alias("param_id"), F.lit(p.name).alias("name"), F.lit(p.category).alias("category"), value.alias("text_value"), raw.alias("raw_text"))
 
+    return F.filter(F.array(*[of(i, p) for i, p in enumerate(params)]), lambda x: x["text_value"].isNotNull())
+
+
+def textual(lines: DataFrame, params: Sequence[Textual] = TEXTUAL) -> DataFrame:
+    """The first fact of each textual parameter in a document: patterns in order within a line, lines in order."""
     any_ = "(?d)" + "|".join(f"(?:{x})" for p in params for x in p.patterns)
-    some = lines.withColumn("_norm", T.normalise(F.col("text"))).where(norm.rlike(any_))
-    hits = some.withColumn("_x", F.explode(F.filter(F.array(*[of(i, p) for i, p in enumerate(params)]), lambda x: x["text_value"].isNotNull())))
+    some = lines.withColumn("_norm", T.normalise(F.col("text"))).where(F.col("_norm").rlike(any_))
+    hits = some.withColumn("_x", F.explode(_said(tuple(params))))
     first = hits.groupBy("doc_id", "_x.param_id").agg(F.min_by(F.struct(*lines.columns, "_x"), "line_no").alias("_r"))
     return first.select(*[F.col(f"_r.{c}").alias(c) for c in lines.columns], "_r._x.*")
 

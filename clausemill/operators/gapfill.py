@@ -37,12 +37,32 @@ def candidates(lines: DataFrame, missing: DataFrame, params: Sequence[Numeric] =
     return picked.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).select("doc_id", "line_no", text.alias("text"))
 
 
-def prompts(offered: DataFrame, missing: DataFrame, head: str, foot: str) -> DataFrame:
-    """doc_id, prompt: head, one line per missing parameter, one per candidate line, foot."""
-    asked = missing.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("param")), "\n").alias("_p"))
+# The parts of a prompt.
+HEAD = "你是施工方案参数抽取助手。只从给定的原文行中抽取目标参数，禁止编造、禁止使用原文以外的知识。"
+FOOT = (
+    "输出要求：只输出一个 JSON 对象，不要任何解释文字：\n"
+    '{"items": [{"param": "参数id", "line_no": 原文行号, "excerpt": "从该行逐字连续摘录的原文片段（必须包含所依据的数值/取值）", "value": 数值或null, "text_value": 字符串或null, "unit": "单位或空"}]}\n'
+    '某参数在原文行中没有依据时，不要输出该参数。全部没有则输出 {"items": []}。'
+)
+
+
+def described(params: Sequence[Numeric] = NUMERIC, texts: Sequence[Textual] = TEXTUAL) -> dict[str, str]:
+    """What a prompt says of each parameter: name, unit and range, or that it is a text."""
+    numbers = {p.id: f"  {p.id}: {p.name}（单位 m 或 mm，合理范围 ({p.low:g}, {p.high:g}]，单位 mm 时按毫米填写）" for p in params}
+    return numbers | {t.id: f"  {t.id}: {t.name}（文本型，text_value 填原文取值）" for t in texts}
+
+
+def prompts(offered: DataFrame, missing: DataFrame, head: str = HEAD, foot: str = FOOT, names: DataFrame | None = None, about: dict[str, str] | None = None) -> DataFrame:
+    """doc_id, prompt: head, document, one line per missing parameter, one per candidate line, foot. ``names`` has doc_id and name."""
+    about = described() if about is None else about
+    shown = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in about.items() for x in kv]), F.col("param")), F.concat(F.lit("  "), "param")) if about else F.col("param")
+    asked = missing.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("param", shown.alias("s")))).alias("_p"))
     of = offered.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("_l"))
-    block = F.array_join(F.transform("_l", lambda x: F.concat(F.lit("  "), x["line_no"].cast("string"), F.lit(": "), x["text"])), "\n")
-    return of.join(asked, "doc_id").select("doc_id", F.concat_ws("\n", F.lit(head), "_p", block, F.lit(foot)).alias("prompt"))
+    x = of.join(asked, "doc_id")
+    x = x.join(names.select("doc_id", "name"), "doc_id", "left") if names is not None else x.withColumn("name", F.lit(None).cast("string"))
+    block = F.array_join(F.transform("_l", lambda r: F.concat(F.lit("  "), r["line_no"].cast("string"), F.lit(": "), r["text"])), "\n")
+    parts = [F.lit(head), F.concat(F.lit("文档："), F.coalesce("name", F.col("doc_id").cast("string")), F.lit("\n\n目标参数（可能一个也抽不到）：")), F.array_join(F.transform("_p", lambda r: r["s"]), "\n")]
+    return x.select("doc_id", F.concat_ws("\n", *parts, F.lit("\n原文行（行号: 内容）："), block, F.lit("\n" + foot)).alias("prompt"))
 
 
 def validate(items: DataFrame, missing: DataFrame, offered: DataFrame, params: Sequence[Numeric] = NUMERIC, texts: Sequence[Textual] = TEXTUAL) -> DataFrame:

@@ -10,34 +10,40 @@ from clausemill.functions import text as T
 LEAST_SCORE = 4
 #: A threshold table beyond this many rows isn't broadcast.
 BROADCAST_ROWS = 10_000
+#: Term counts of more rows than this aren't broadcast.
+BROADCAST_TERMS = 500_000
 TOP = 5
-# Fixed value: the answer where nothing was found.
+# The answer where nothing was found, and the last line of an answer from passages.
 NOTHING = "知识库未命中相关条文（当前库为深基坑示例子集）。"
+CLOSING = "（整理自公开文件，条目状态：待核对——引用前请以官方现行文本为准）"
 
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def term_counts(texts: DataFrame, key: str, text: Column) -> DataFrame:
-    """``key``, token, n: term frequencies."""
-    return texts.select(key, F.explode(T.tokens(F.coalesce(text, F.lit(""))).alias("t")).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+def term_counts(texts: DataFrame, key: str, text: Column, together: bool = False) -> DataFrame:
+    """``key``, token, n: term frequencies. ``together``: texts are shuffled once by key, and what follows by key needs no shuffle."""
+    rows = texts.select(key, F.coalesce(text, F.lit("")).alias("_t"))
+    if together:  # a stated number, as small texts would be put into few partitions
+        rows = rows.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return rows.select(key, F.explode(T.tokens(F.col("_t"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
 
 
 def cosine(queries: DataFrame, blocks: DataFrame, query: str = "query_id", block: str = "block_id") -> DataFrame:
     """Cosine of every (query, block) with a token in common; both are term counts.
 
-    Sums are whole numbers, so they don't depend on the order; the partial sums of the join's
-    map side keep a frequent token from gathering its pairs anywhere.
+    Sums are whole numbers, so they don't depend on the order. A side of at most ``BROADCAST_TERMS`` terms is broadcast; if
+    the other one is kept ``together`` (:func:`term_counts`), its rows are scored where they are, and no pair is shuffled.
     """
-    norm = lambda df, key, name: df.groupBy(key).agg(F.sum(F.col("n") * F.col("n")).alias(name))
-    q, b = queries.withColumnRenamed("n", "qn"), blocks.withColumnRenamed("n", "bn")
-    dot = q.join(b, "token").groupBy(query, block).agg(F.sum(F.col("qn") * F.col("bn")).alias("dot"))
-    return (
-        dot.join(norm(queries, query, "qq"), query)
-        .join(norm(blocks, block, "bb"), block)
-        .select(query, block, (F.col("dot") / (F.sqrt("qq") * F.sqrt("bb"))).alias("score"))
-    )
+    square = lambda df, key, name: df.withColumn(name, F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    q, b = square(queries, query, "qq").withColumnRenamed("n", "qn"), square(blocks, block, "bb").withColumnRenamed("n", "bn")
+    if queries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        q = F.broadcast(q)
+    elif blocks.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        b = F.broadcast(b)
+    dot = q.join(b, "token").groupBy(query, block).agg(F.sum(F.col("qn") * F.col("bn")).alias("dot"), F.first("qq").alias("qq"), F.first("bb").alias("bb"))
+    return dot.select(query, block, (F.col("dot") / (F.sqrt("qq") * F.sqrt("bb"))).alias("score"))
 
 
 def top(scored: DataFrame, k: int = TOP, query: str = "query_id", order: tuple[str, ...] = ("block_id",)) -> DataFrame:
@@ -47,10 +53,13 @@ def top(scored: DataFrame, k: int = TOP, query: str = "query_id", order: tuple[s
 
 
 def search(questions: DataFrame, blocks: DataFrame, k: int = TOP) -> DataFrame:
-    """query_id, rank, score and the passage's columns. ``blocks`` has block_id, doc, article_no, text, tags."""
+    """query_id, rank, score and the passage's columns. ``blocks`` has block_id, doc, article_no, text, tags.
+
+    Many questions meet few passages: passages are broadcast up to ``BROADCAST_ROWS``.
+    """
     text = F.concat_ws(" ", "text", F.array_join("tags", " "))
-    scored = cosine(term_counts(questions, "query_id", F.col("question")), term_counts(blocks, "block_id", text))
-    return top(scored.join(blocks, "block_id"), k, "query_id", ("doc", "article_no", "block_id"))
+    scored = cosine(term_counts(questions, "query_id", F.col("question"), together=True), term_counts(blocks, "block_id", text))
+    return top(scored.join(_small(blocks), "block_id"), k, "query_id", ("doc", "article_no", "block_id"))
 
 
 def keyword_score(keywords: Column, question: Column) -> Column:
@@ -97,7 +106,7 @@ def ask(questions: DataFrame, thresholds: DataFrame, blocks: DataFrame, k: int =
     found = search(rest, blocks, k)
     line = F.concat(F.lit("- "), block_text(F.col("doc"), F.col("chapter"), F.col("article_no"), F.col("status"), F.col("text")), F.lit("（相关度 "), F.format_string("%.2f", "score"), F.lit("）"))
     of = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line"), F.struct("doc", "chapter", "article_no", "status").alias("source")))).alias("r"))
-    lines = F.concat(F.lit("【条文检索 top-"), F.size("r").cast("string"), F.lit("】\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"))
+    lines = F.concat(F.lit("【条文检索 top-"), F.size("r").cast("string"), F.lit("】\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.lit("\n" + CLOSING))
     passages = of.select("query_id", lines.alias("b_answer"), F.transform("r", lambda x: x["source"]).alias("b_sources"))
     out = questions.join(answered, "query_id", "left").join(passages, "query_id", "left")
     route = F.when(F.col("t_answer").isNotNull(), "threshold").when(F.col("b_answer").isNotNull(), "blocks").otherwise("empty")

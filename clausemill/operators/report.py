@@ -74,20 +74,66 @@ def markdown(docs: DataFrame, found: DataFrame, cards: DataFrame, discarded: Dat
     return x.select("doc_id", report.alias("report"))
 
 
+def said(n_fail: Column, n_manual: Column) -> Column:
+    """The overall verdict as a sentence."""
+    return F.regexp_replace(F.regexp_replace(overall(n_fail, n_manual), r"\*\*", ""), "^总体结论: ", "")
+
+
+def _sorted_findings(found: DataFrame) -> DataFrame:
+    """doc_id and _f: the findings in report order."""
+    of = R.ranked(found)
+    row = F.struct("rank", "rule_id", "n", "rule_name", "level", "result", label(F.col("result")).alias("result_label"), "detail", "basis", "advice", F.col("evidence_line").alias("evidence"))
+    return of.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("_f"))
+
+
+def _sorted_cards(cards: DataFrame) -> DataFrame:
+    value = F.coalesce("text_value", F.col("value").cast("string"))
+    unit = F.when(F.col("unit") != "", F.col("unit")).when(F.col("text_value").isNotNull(), "文本").otherwise("")
+    has = lambda c: F.coalesce(F.col(c), F.lit("")) if c.split(".")[0] in cards.columns else F.lit("")
+    section = has("evidence.section") if "section" in cards.schema["evidence"].dataType.names else F.lit("")
+    row = F.struct("ord", "param_id", has("name").alias("name"), value.alias("value"), unit.alias("unit"), section.alias("section"), F.coalesce("evidence.line_text", F.lit("")).alias("line"), (F.col("source") if "source" in cards.columns else F.lit("rule")).alias("source"))
+    return cards.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("_c"))
+
+
 def review_json(docs: DataFrame, found: DataFrame, cards: DataFrame) -> DataFrame:
     """doc_id and review: a JSON value with summary, verdict, ordered findings and cards."""
-    f = R.ranked(found).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "rule_id", "n", "result", label(F.col("result")).alias("label"), "detail", "advice", "evidence_line"))).alias("_f"))
-    value = F.coalesce("text_value", F.col("value").cast("string"))
-    unit = F.when(F.col("unit") != "", F.col("unit")).otherwise("文本")
-    c = cards.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "param_id", value.alias("value"), unit.alias("unit"), "source"))).alias("_c"))
-    x = R.summary(found, docs).join(f, "doc_id", "left").join(c, "doc_id", "left")
+    x = R.summary(found, docs).join(_sorted_findings(found), "doc_id", "left").join(_sorted_cards(cards), "doc_id", "left")
     counts = F.struct(F.col("n_pass").alias("pass"), F.col("n_fail").alias("fail"), F.col("n_manual").alias("manual"))
-    return x.select("doc_id", F.to_json(F.struct(counts.alias("summary"), "overall", F.transform("_f", lambda r: r.dropFields("rank", "n")).alias("findings"), F.transform("_c", lambda r: r.dropFields("ord")).alias("cards"))).alias("review"))
+    findings, of_cards = F.transform("_f", lambda r: r.dropFields("rank", "n")), F.transform("_c", lambda r: r.dropFields("ord"))
+    none = lambda c, like: F.coalesce(c, F.slice(like, 1, 0))
+    return x.select("doc_id", F.to_json(F.struct(counts.alias("summary"), said(F.col("n_fail"), F.col("n_manual")).alias("overall"), none(findings, findings).alias("findings"), none(of_cards, of_cards).alias("cards"))).alias("review"))
+
+
+def console(docs: DataFrame, found: DataFrame, cards: DataFrame) -> DataFrame:
+    """doc_id, n_fail and text: a review as it is printed, with cards, counts, findings with evidence, basis and advice, and the verdict."""
+    x = R.summary(found, docs).join(_sorted_findings(found), "doc_id", "left").join(_sorted_cards(cards), "doc_id", "left")
+    more = lambda head, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"\n           {head}"), c)).otherwise("")
+    card = F.transform("_c", lambda c: F.concat(F.lit("  "), c["param_id"], F.lit(" "), c["value"], F.lit(" "), c["unit"], F.lit(" ← "), c["section"]))
+    finding = F.transform("_f", lambda f: F.concat(F.lit("  ["), f["result_label"], F.lit("] "), f["rule_id"], F.lit(" "), F.coalesce(f["rule_name"], F.lit("")), more("", f["detail"]), more("原文: ", f["evidence"]), F.lit("\n           依据: "), F.coalesce(f["basis"], F.lit("")), more("建议: ", f["advice"])))
+    n = lambda c: F.col(c).cast("string")
+    text = F.concat_ws(
+        "\n", F.concat(F.lit("提取参数卡 "), F.coalesce(F.nullif(F.size("_c"), F.lit(-1)), F.lit(0)).cast("string"), F.lit(" 张:")), F.array_join(card, "\n"), F.lit(""),
+        F.concat(F.lit("核查结论（不合规 "), n("n_fail"), F.lit(" / 待确认 "), n("n_manual"), F.lit(" / 通过 "), n("n_pass"), F.lit("）:")), F.array_join(finding, "\n"), F.lit(""),
+        F.concat(F.lit("总体结论: "), said(F.col("n_fail"), F.col("n_manual"))),
+    )
+    return x.select("doc_id", "n_fail", text.alias("text"))
+
 
+def parsed_json(docs: DataFrame, lines: DataFrame, sections: DataFrame, cards: DataFrame, discarded: DataFrame) -> DataFrame:
+    """doc_id and parsed: a JSON value with the numbers of sections and lines, the cards and what was discarded."""
+    from clausemill.operators import extract
 
-def write_markdown(reports: DataFrame, path: str) -> None:
-    """One text value per document, written by the executors."""
-    reports.write.mode("overwrite").parquet(path)
+    of_sections = sections.groupBy("doc_id").agg(F.count("*").alias("_s"))
+    of_cards = cards.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in cards.columns if c not in ("doc_id", "ord")]))).alias("cards"))
+    gone = discarded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*[c for c in discarded.columns if c != "doc_id"]))).alias("discarded"))
+    x = docs
+    for part in (of_sections, extract.scanned(lines), of_cards, gone):
+        x = x.join(part, "doc_id", "left")
+    name = F.col("name") if "name" in docs.columns else F.col("doc_id").cast("string")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    listed = F.coalesce(F.transform("cards", lambda c: c.dropFields("ord")), F.slice(F.transform("cards", lambda c: c.dropFields("ord")), 1, 0))
+    value = F.struct(name.alias("doc"), n("_s").alias("sections"), n("lines_scanned").alias("lines"), listed.alias("cards"), F.struct(n("lines_scanned").alias("lines_scanned"), "discarded").alias("meta"))
+    return x.select("doc_id", F.to_json(value).alias("parsed"))
 
 
 def append_log(rows: DataFrame, path: str) -> None:

@@ -6,7 +6,7 @@ are matched within their row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from clausemill.functions import text as T
 
@@ -22,6 +22,24 @@ CODE = r"[(\[]|\.\w+\s*\(|^os\.|^self\.|^config\.|^str\.|^int\."
 PERSONAL_PATH = r"(?<![\w.])[A-Za-z]:[\\/]+Users[\\/]+([^\s\\/'\"`(),;、。，（）]+)"
 PLACEHOLDERS = ("xx", "xxx", "xxxx", "username", "user", "name", "yourname", "your-name", "...", "…", "某用户", "机主名", "用户名")
 
+NOREPLY = r"(?i)@users\.noreply\.github\.com$"
+#: Samples of the self-test: kind, whether it must be found, parts.
+SAMPLES: tuple[tuple[str, bool, tuple[str, ...]], ...] = (
+    ("email", True, ("write to ada", "@", "lovelace.test-mail.net")),
+    ("phone", True, ("call 139", "0000", "1111 now")),
+    ("id_card", True, ("card 320102", "19800101", "123x")),
+    ("private_ip", True, ("host 172.", "20.3.4 up")),
+    ("secret_sk", True, ("s", "k-", "ABCDEFGH99")),
+    ("secret_assign", True, ("pass", "word = 'opensesame1'")),
+    ("personal_path", True, ("see D:\\", "Users\\", "ada\\notes")),
+    ("email", False, ("7+ada@users.", "noreply.github.com")),
+    ("email", False, ("ada@", "example.com")),
+    ("phone", False, ("number 5139", "00001111")),
+    ("private_ip", False, ("version 172.", "40.3.4")),
+    ("secret_assign", False, ("token = ", "config.get('token')")),
+    ("personal_path", False, ("C:\\Users\\", "<username>\\x")),
+)
+
 HINT = r"(?i)@|[0-9]{11}|192\.168|10\.[0-9]|172\.[0-9]|sk-|key|secret|passw|token|users[\\/]"
 KINDS = ("email", "phone", "id_card", "private_ip", "secret_sk", "secret_assign", "personal_path")
 
@@ -52,6 +70,26 @@ def hits(texts: DataFrame, label: str, text: str = "text") -> DataFrame:
     return found.select(label, "lineno", "n", "_h.kind", "_h.excerpt")
 
 
+def commit_pairs(commits: DataFrame) -> DataFrame:
+    """Distinct (author, committer) addresses of ``commits`` (author, committer)."""
+    return commits.select("author", "committer").distinct()
+
+
+def commit_hits(commits: DataFrame) -> DataFrame:
+    """role and address of every distinct pair's addresses that aren't private ones of the forge."""
+    roles = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.col(r).alias("address")) for r in ("author", "committer")]))
+    return commit_pairs(commits).select(roles.alias("_r")).select("_r.*").where(~F.col("address").rlike(NOREPLY))
+
+
+def self_test(spark: SparkSession) -> DataFrame:
+    """Samples that the detectors get wrong: sample, kind, expected. Samples are put together here, so that no text holds a whole one."""
+    rows = [(i, kind, "".join(parts), expected) for i, (kind, expected, parts) in enumerate(SAMPLES)]
+    texts = spark.createDataFrame(rows, "sample int, kind string, text string, expected boolean")
+    found = hits(texts, "sample").select("sample", "kind").distinct().withColumn("_hit", F.lit(True))
+    out = texts.join(found, ["sample", "kind"], "left")
+    return out.where(F.coalesce("_hit", F.lit(False)) != F.col("expected")).select("sample", "kind", "expected")
+
+
 def gate(found: DataFrame) -> int:
     """Exit code of a scan: 0 if clean, else 1."""
     return int(found.limit(1).count() > 0)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clausemill.functions import text as T
 
+#: Levels that have a window each; deeper headings take a longer way.
 DEEPEST = 9
 
 
@@ -44,18 +45,25 @@ def paths(numbered: DataFrame, deepest: int = DEEPEST) -> DataFrame:
     """Adds section_path: titles of the headings that are open at each line, a heading's own included.
 
     The stack without a stack: the last heading of a level is open unless a heading of a
-    smaller level came after it. Levels beyond ``deepest`` count as ``deepest``.
+    smaller level came after it. Headings beyond level ``deepest`` are rare and few between two others: there the stack
+    is folded from the list of them since the last other one.
     """
     w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    level = F.when(F.col("level").isNotNull(), F.least("level", F.lit(deepest)))  # least() would pass over a null
+    level = F.col("level")
     last = lambda k: F.last(F.when(level == k, F.struct(F.col("line_no").alias("n"), F.col("text").alias("t"))), ignorenulls=True).over(w)
-    out = numbered.withColumns({f"_l{k}": last(k) for k in range(1, deepest + 1)})
+    out = numbered.withColumns({f"_l{k}": last(k) for k in range(1, deepest + 1)} | {"_part": F.count_if(level <= deepest).over(w)})
+    within = Window.partitionBy("doc_id", "_part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    deep = F.collect_list(F.when(level > deepest, F.struct("level", "text"))).over(within)
+    step = lambda acc, x: F.array_append(F.filter(acc, lambda y: y["level"] < x["level"]), x)
+    none = F.array().cast("array<struct<level:int,text:string>>")
     parts, latest = [], F.lit(-1)
     for k in range(1, deepest + 1):
         at = F.col(f"_l{k}.n")
         parts.append(F.when(at > latest, F.col(f"_l{k}.t")))
         latest = F.greatest(latest, F.coalesce(at, F.lit(-1)))
-    return out.withColumn("section_path", F.concat_ws("/", *parts)).drop(*[f"_l{k}" for k in range(1, deepest + 1)])
+    out = out.withColumn("_deep", deep)
+    parts.append(F.when(F.size("_deep") > 0, F.array_join(F.transform(F.aggregate("_deep", none, step), lambda x: x["text"]), "/")))
+    return out.withColumn("section_path", F.concat_ws("/", *parts)).drop(*[f"_l{k}" for k in range(1, deepest + 1)], "_part", "_deep")
 
 
 def sections(with_paths: DataFrame) -> DataFrame:

@@ -6,6 +6,9 @@ the executors and reads the same every time.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Defects in turn, titles, and what the templates choose from.
@@ -16,40 +19,53 @@ FORMWORK_TITLE = "高大模板支撑体系（高支模）专项施工方案（
 SUPPORTS = ("放坡+土钉墙", "桩锚支护", "地下连续墙+内支撑", "钢板桩+内支撑")
 FORMWORKS = ("扣件式", "盘扣式", "碗扣式", "门式")
 
-# Paragraphs by section; {names} are filled per document, and a line that is null goes.
+# Lines with a parameter, a gate word or a number that must not be read, and section titles, are fixed; the prose between them is free.
+# {names} are filled per document, and a line that is null goes.
 PIT = (
-    ("一、工程概况", "本工程为合成样例项目 G{number}（虚构，仅用于测试），基坑采用{support}支护形式。"),
+    ("一、工程概况", "合成项目 G{number}（虚构，只作测试），基坑采用{support}支护形式。"),
     (None, "基坑开挖深度为{depth}m，基坑侧壁安全等级为二级。"),
-    ("二、编制依据", "1.《危险性较大的分部分项工程安全管理规定》（住建部令第37号）；"),
+    ("二、编制依据", "1.《危险性较大的分部分项工程安全管理规定》；"),
+    (None, "2.《专项施工方案编制指南》；"),
     (None, "3.《建筑基坑支护技术规程》JGJ 120-2012；"),
-    ("三、施工计划", "计划工期{days}天，分3段组织开挖。"),
+    (None, "4.《建筑基坑工程监测技术标准》GB 50497-2019。"),
+    ("三、施工计划", "总工期{days}天，土方分3段推进。"),
     ("四、施工工艺技术", "4.1 土方开挖"),
-    (None, "土方开挖分层分段进行，每层开挖深度不超过1.5m。"),
+    (None, "自上而下分层出土，每层开挖深度不超过1.5m。"),
     (None, "4.2 支护施工"),
-    ("五、施工安全保证措施", "5.2 监测方案"),
+    (None, "支护随土方逐段跟进，上段验收后再进入下段。"),
+    ("五、施工安全保证措施", "5.1 组织保障"),
+    (None, "安全小组由项目负责人牵头，逐级落实责任。"),
+    (None, "5.2 监测方案"),
     (None, "支护结构顶部水平位移控制值为{disp}mm。"),
     (None, "开挖至坑底期间，监测频率为{freq}次/d。"),
-    ("六、施工管理及作业人员配备", "现场配备专职安全员2名，特种作业人员持证上岗。"),
-    ("七、验收要求", "支护结构验收执行JGJ 120-2012相关规定，验收合格后方可进入下道工序。"),
+    ("六、施工管理及作业人员配备", "安全员两名常驻现场，特种工种凭证作业。"),
+    ("七、验收要求", "支护结构按现行规程验收，不合格不得转序。"),
     (None, "{review}"),
-    ("八、应急处置措施", "编制应急预案，配备应急物资，定期组织演练。"),
-    ("九、计算书及相关图纸", "支护结构计算书及基坑支护平面图见附件（合成样例略）。"),
+    ("八、应急处置措施", "备有应急预案和物资，每季演练一次。"),
+    ("九、计算书及相关图纸", "计算书与支护平面图另附（合成样例从略）。"),
     (None, "{second}"),
 )
 FORMWORK = (
-    ("一、工程概况", "本工程为合成样例项目 G{number}（虚构，仅用于测试），模板支撑体系采用{form}钢管脚手架搭设。"),
+    ("一、工程概况", "合成项目 G{number}（虚构，只作测试），模板支撑体系采用{form}钢管脚手架搭设。"),
     (None, "本工程属危大工程中的混凝土模板支撑工程，编制本专项施工方案。"),
-    ("二、编制依据", "3.《建筑施工模板安全技术规范》JGJ 162-2008；"),
-    ("三、施工计划", "计划工期{days}天，分3区组织搭设与浇筑。"),
+    ("二、编制依据", "1.《危险性较大的分部分项工程安全管理规定》；"),
+    (None, "2.《专项施工方案编制指南》；"),
+    (None, "3.《建筑施工模板安全技术规范》JGJ 162-2008；"),
+    (None, "4.《建筑施工扣件式钢管脚手架安全技术规范》JGJ 130-2011。"),
+    ("三、施工计划", "总工期{days}天，搭设与浇筑分3区推进。"),
     ("四、施工工艺技术", "4.1 模板支撑体系设计"),
     (None, "模板支撑体系搭设高度为{height}m。"),
     (None, "支撑体系采用{form}钢管，立杆底部设置垫板与扫地杆。"),
-    ("五、施工安全保证措施", "5.2 监测方案"),
-    (None, "模板支撑体系立杆间距为{spacing}m，浇筑期间安排专人对支撑体系变形进行监测。"),
-    ("六、施工管理及作业人员配备", "现场配备专职安全员2名，特种作业人员持证上岗。"),
-    ("七、验收要求", "支撑体系验收执行JGJ 162-2008相关规定，验收合格后方可浇筑混凝土。"),
-    ("八、应急处置措施", "编制应急预案，配备应急物资，定期组织演练。"),
-    ("九、计算书及相关图纸", "模板支撑体系计算书及模板平面图见附件（合成样例略）。"),
+    (None, "4.2 混凝土浇筑"),
+    (None, "浇筑分层对称进行，楼面不得集中堆料。"),
+    ("五、施工安全保证措施", "5.1 组织保障"),
+    (None, "安全小组由项目负责人牵头，逐级落实责任。"),
+    (None, "5.2 监测方案"),
+    (None, "模板支撑体系立杆间距为{spacing}m，浇筑时专人观测支架变形。"),
+    ("六、施工管理及作业人员配备", "安全员两名常驻现场，特种工种凭证作业。"),
+    ("七、验收要求", "支架按现行规范验收，不合格不得浇筑。"),
+    ("八、应急处置措施", "备有应急预案和物资，每季演练一次。"),
+    ("九、计算书及相关图纸", "计算书与模板平面图另附（合成样例从略）。"),
     (None, "{second}"),
 )
 REVIEWED = "本工程基坑属超过一定规模的危大工程，已按规定组织专家论证，论证意见已落实。"
@@ -88,8 +104,9 @@ def specs(spark: SparkSession, count: int, formwork: bool = False, first_id: int
     return d.withColumns({"second": F.when(has("multi_disp"), F.col("disp") + 5), "said_depth": F.when(has("unit_error"), F.col("depth") * 100).otherwise(F.col("depth"))})
 
 
-def render(spec: DataFrame, formwork: bool = False) -> DataFrame:
-    """doc_id, pos, text, level: the title, then headings (level 1) and paragraphs."""
+@lru_cache(maxsize=2)
+def _lines(formwork: bool) -> Column:
+    """Array of (text, level) of a plan's lines; made once, as it has some hundred parts."""
     missing = F.array_contains("defects", F.lit("missing_section"))
     if formwork:
         fill = {"number": F.col("number"), "days": F.col("days"), "form": F.col("form"), "height": _number(F.col("height")), "spacing": _number(F.col("said_spacing"))}
@@ -100,11 +117,8 @@ def render(spec: DataFrame, formwork: bool = False) -> DataFrame:
         fill["review"] = F.when(F.col("depth") >= 5, REVIEWED)
 
     def line(template: str) -> Column:
-        out = F.lit(template)
-        for k, v in fill.items():
-            if "{" + k + "}" in template:
-                out = F.replace(out, F.lit("{" + k + "}"), v)
-        return out
+        parts = re.split(r"\{(\w+)\}", template)
+        return F.concat(*[fill[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)]) if len(parts) > 1 else F.lit(template)
 
     rows = [F.struct(F.lit(FORMWORK_TITLE if formwork else PIT_TITLE).alias("text"), F.lit(0).alias("level"))]
     section = ""
@@ -115,7 +129,47 @@ def render(spec: DataFrame, formwork: bool = False) -> DataFrame:
             rows.append(F.when(there, F.struct(F.lit(heading).alias("text"), F.lit(1).alias("level"))))
         text = line(paragraph)
         rows.append(F.when(there & text.isNotNull(), F.struct(text.alias("text"), F.lit(None).cast("int").alias("level"))))
-    return spec.select("doc_id", F.posexplode(F.array_compact(F.array(*rows))).alias("pos", "_r")).select("doc_id", "pos", "_r.text", "_r.level")
+    return F.array_compact(F.array(*rows))
+
+
+def render(spec: DataFrame, formwork: bool = False) -> DataFrame:
+    """doc_id, pos, text, level: the title, then headings (level 1) and paragraphs."""
+    return spec.select("doc_id", F.posexplode(_lines(formwork)).alias("pos", "_r")).select("doc_id", "pos", "_r.text", "_r.level")
+
+
+def from_truth(labelled: DataFrame, formwork: bool = False) -> DataFrame:
+    """Plans to render (as :func:`specs`) from labelled truth: doc_id, expected_cards (values as text, by parameter), injected.
+
+    A parameter with a wrong unit isn't expected; what the plan says of it stands in the defect's detail.
+    """
+    got = lambda p, i=1: F.try_element_at(F.col("expected_cards")[p], F.lit(i))
+    number = lambda p, i=1: got(p, i).cast("double")
+    wrong = F.filter("injected", lambda x: x["type"] == "unit_error")
+    said = F.regexp_extract(F.try_element_at(wrong, F.lit(1))["detail"], r"([0-9]+(?:\.[0-9]+)?)m", 1).cast("double")
+    out = labelled.withColumns({"defects": F.transform("injected", lambda x: x["type"]), "number": F.lpad(F.regexp_extract("file", r"([0-9]+)", 1), 4, "0"), "days": F.lit("60")})
+    if formwork:
+        return out.withColumns({
+            "form": got("fs.formwork.type"), "height": number("fs.support.height"), "second": number("fs.support.height", 2), "spacing": F.coalesce(number("fs.pole.spacing"), said / 100),
+            "said_spacing": F.coalesce(number("fs.pole.spacing"), said), "heights": F.transform(F.col("expected_cards")["fs.support.height"], lambda x: x.cast("double")),
+        })
+    return out.withColumns({
+        "support": got("dp.support_type"), "depth": F.coalesce(number("dp.excavation_depth"), said / 100), "said_depth": F.coalesce(number("dp.excavation_depth"), said),
+        "disp": number("dp.retaining.displacement"), "second": number("dp.retaining.displacement", 2), "freq": number("dp.monitoring.frequency"),
+    })
+
+
+def injected(labelled: DataFrame) -> DataFrame:
+    """As :func:`expected`, from labelled truth."""
+    rows = labelled.select("doc_id", F.posexplode("injected").alias("inj_no", "_x"))
+    pairs = F.concat(F.array("_x.expect"), F.coalesce("_x.also_expect", F.array().cast("array<struct<rule_id:string,result:string>>")))
+    return rows.select("doc_id", "inj_no", "_x.type", F.explode(pairs).alias("_p")).select("doc_id", "inj_no", "type", "_p.rule_id", "_p.result")
+
+
+def labelled_values(labelled: DataFrame) -> DataFrame:
+    """As :func:`truth`, from labelled truth; what reads as a number is one."""
+    rows = labelled.select("doc_id", F.explode("expected_cards").alias("param", "_v")).select("doc_id", "param", F.explode("_v").alias("_v"))
+    num = F.expr("try_cast(_v AS DOUBLE)")
+    return rows.select("doc_id", "param", num.alias("num"), F.when(num.isNull(), F.col("_v")).alias("txt"))
 
 
 def truth(spec: DataFrame, formwork: bool = False) -> DataFrame:

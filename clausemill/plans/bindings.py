@@ -90,7 +90,8 @@ _AT = "l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey"
 
 def _sentences(spark, d, depth: str):
     text = f"concat('基坑开挖深度为', CAST(CAST({depth} AS INT) AS STRING), 'm，挖深同前，水平位移控制值取', CAST(l_linenumber * 90 AS STRING), 'mm。')"
-    return segment.parse(t(spark, d, "lineitem").selectExpr("l_orderkey AS doc_id", f"{_AT} AS pos", f"{text} AS text"))
+    raw = t(spark, d, "lineitem").selectExpr("l_orderkey AS doc_id", f"{_AT} AS pos", f"{text} AS text")
+    return segment.parse(raw.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id"))  # the file is one row group
 
 
 def param_cards(spark, d):
@@ -297,7 +298,7 @@ CJK_BIGRAMS = f"SELECT n_nationkey, unnest(list_concat(['基坑', '坑开', '开
 
 def cosine_topk(spark, d):
     q = K.term_counts(t(spark, d, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", F.col("text"))
-    b = K.term_counts(t(spark, d, "documents").withColumnRenamed("doc_id", "block_id"), "block_id", F.col("text"))
+    b = K.term_counts(t(spark, d, "documents").withColumnRenamed("doc_id", "block_id"), "block_id", F.col("text"), together=True)
     scored = K.cosine(q, b).withColumn("score", F.round("score", 9))
     return K.top(scored, 5).select("query_id", "block_id", "rank", "score")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -55,6 +55,24 @@ def review(raw: DataFrame, rules: DataFrame, docs: DataFrame | None = None, para
     return Review(docs, lines, sections, cards, extract.discarded(lines, params), found, rules)
 
 
+def with_model(raw: DataFrame, rules: DataFrame, docs: DataFrame, complete: Callable[[DataFrame], DataFrame] | None, keep: Callable[[DataFrame], DataFrame] = lambda df: df.cache()) -> tuple[Review, DataFrame]:
+    """A review in which a model fills missing parameters, and what became of it: doc_id, state, detail.
+
+    ``complete`` takes (doc_id, prompt) to (doc_id, answer, error); None: no model. Whatever fails leaves a document to the
+    rules alone, with the reason. Answers cost money, so they are kept before they are read twice.
+    """
+    plain = review(raw, rules, docs)
+    known = [*[p.id for p in NUMERIC], *[p.id for p in TEXTUAL]]
+    missing = plain.missing().where(F.col("param").isin(known))
+    if complete is None:
+        return plain, docs.select("doc_id", F.lit("off").alias("state"), F.lit("no model is configured").alias("detail"))
+    offered = gapfill.candidates(plain.lines, missing)
+    answers = keep(complete(gapfill.prompts(offered, missing, names=docs if "name" in docs.columns else None)))
+    done = review(raw, rules, docs, proposals=gapfill.parse_answers(answers))
+    state = F.when(F.col("error").isNotNull(), "degraded").when(F.col("answer").isNotNull(), "asked").otherwise("complete")
+    return done, docs.select("doc_id").join(answers, "doc_id", "left").select("doc_id", state.alias("state"), F.coalesce("error", F.lit("")).alias("detail"))
+
+
 def of_texts(docs: DataFrame, rules: DataFrame, text: str = "text", by: Column | None = None) -> Review:
     """The review of whole texts."""
     return review(segment.raw_lines(docs, text, by), rules, docs.select("doc_id").distinct())

@@ -9,8 +9,9 @@ from __future__ import annotations
 import io
 import json
 import re
+import subprocess
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -59,20 +60,77 @@ def docx_lines(content: bytes) -> Iterator[tuple[str, int | None]]:
                 yield "\n".join(map(said, cell.findall(f"{_W}p"))), 0
 
 
-def docx(spark: SparkSession, path: str) -> DataFrame:
-    """doc (file name), pos, text, page (null), level of every docx file under ``path``."""
+_RAW = "doc string, pos int, text string, page int, level int, error string"
+
+
+def _read_each(spark: SparkSession, path: str, suffixes: str, lines: Callable[[bytes], Iterator[tuple[str, int | None, int | None]]]) -> DataFrame:
+    """Lines (text, page, level) of every file; a file that can't be read gives one row with its error, and stops no other."""
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").option("recursiveFileLookup", "true").load(path).select("path", "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", suffixes).option("recursiveFileLookup", "true").load(path).select("path", "content")
 
     def read(batches):
         import pandas as pd
 
         for b in batches:
             for p, content in zip(b["path"], b["content"], strict=True):
-                rows = [(p.rsplit("/", 1)[-1], i, t, None, lv) for i, (t, lv) in enumerate(docx_lines(content))]
-                yield pd.DataFrame(rows, columns=["doc", "pos", "text", "page", "level"]).astype({"page": "Int32", "level": "Int32"})
+                name = p.rsplit("/", 1)[-1]
+                try:
+                    rows = [(name, i, t, page, lv, None) for i, (t, page, lv) in enumerate(lines(bytes(content)))]
+                except Exception as e:  # a broken file may fail anywhere in its zip or XML
+                    rows = [(name, -1, "", None, None, f"{type(e).__name__}: {e}")]
+                yield pd.DataFrame(rows, columns=["doc", "pos", "text", "page", "level", "error"]).astype({"page": "Int32", "level": "Int32"})
+
+    return found.mapInPandas(read, _RAW)
+
+
+def docx(spark: SparkSession, path: str) -> DataFrame:
+    """doc (file name), pos, text, page (null), level, error of every docx file under ``path``."""
+    return _read_each(spark, path, "*.{docx,DOCX}", lambda content: ((t, None, lv) for t, lv in docx_lines(content)))
+
+
+def pdf_lines(content: bytes) -> Iterator[tuple[str, int, None]]:
+    """Text and page of the lines of a text PDF that aren't blank; needs an optional library."""
+    try:
+        import pdfplumber
+    except ImportError as e:
+        raise RuntimeError("reading PDF needs pdfplumber; page extracts as JSON lines are read without it") from e
+    with pdfplumber.open(io.BytesIO(content)) as document:
+        for number, page in enumerate(document.pages, 1):
+            yield from ((x.strip(), number, None) for x in (page.extract_text() or "").split("\n") if x.strip())
+
 
-    return files.mapInPandas(read, "doc string, pos int, text string, page int, level int")
+def pdf(spark: SparkSession, path: str) -> DataFrame:
+    """doc, pos, text, page, level (null), error of every PDF file under ``path``."""
+    return _read_each(spark, path, "*.{pdf,PDF}", pdf_lines)
+
+
+def documents(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of the office and PDF files under ``path``; a file named as such that has another format is an error."""
+    if "." in path.rsplit("/", 1)[-1] and not path.lower().endswith(SUFFIXES):
+        raise ValueError(f"unknown format: {path}")
+    return docx(spark, path).unionByName(pdf(spark, path))
+
+
+def tracked(spark: SparkSession, root: str) -> DataFrame:
+    """label, text of the files that a git work tree tracks; binary ones are passed over, of office files all entries are read."""
+    names = [n for n in _git(root, "ls-files").splitlines() if n]
+    plain = [f"{root}/{n}" for n in names if not n.lower().endswith((".docx", ".xlsx", ".pptx"))]
+    office = [f"{root}/{n}" for n in names if n.lower().endswith((".docx", ".xlsx", ".pptx"))]
+    out = spark.createDataFrame([], "label string, text string")
+    if plain:
+        content = spark.read.format("binaryFile").load(plain).where(~F.contains(F.substring("content", 1, 8192), F.lit(b"\0")))
+        out = out.union(content.select(F.col("path").alias("label"), F.decode("content", "UTF-8").alias("text")))
+    return out.union(zip_entries(spark, office)) if office else out
+
+
+def commits(spark: SparkSession, root: str) -> DataFrame:
+    """author, committer, sha of every commit of a git work tree."""
+    rows = [tuple((x.split("\t") + ["", "", ""])[:3]) for x in _git(root, "log", "--all", "--format=%ae%x09%ce%x09%h").splitlines() if x.strip()]
+    return spark.createDataFrame(rows, "author string, committer string, sha string")
+
+
+def _git(root: str, *args: str) -> str:
+    return subprocess.run(["git", "-c", "core.quotepath=false", *args], cwd=root, capture_output=True, check=True).stdout.decode("utf-8", "replace")
 
 
 def pages(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +140,7 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("doc", (F.col("page") * 1_000_000 + F.col("k")).alias("pos"), F.trim("text").alias("text"), "page")
 
 
-def zip_entries(spark: SparkSession, path: str) -> DataFrame:
+def zip_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """label, text of every entry of office files: each entry's name, and the content of XML entries."""
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{docx,xlsx,pptx}").option("recursiveFileLookup", "true").load(path).select("path", "content")
@@ -116,6 +174,14 @@ def rules(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(numbered, f"{schemas.RULE}, pos int")
 
 
+def rule_bases(spark: SparkSession, path: str) -> DataFrame:
+    """id, status, reviewed_at and next_review of the rules with a structured basis."""
+    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.coalesce(F.get_json_object("value", "$.rules"), F.col("value")).alias("value"))
+    items = text.select(F.explode(F.from_json("value", "array<string>")).alias("_r"))
+    of = lambda k: F.get_json_object("_r", f"$.{k}")
+    return items.select(of("id").alias("id"), *[of(f"basis.{k}").alias(k) for k in ("status", "reviewed_at", "next_review")]).where("status is not null or next_review is not null")
+
+
 def blocks(spark: SparkSession, path: str) -> DataFrame:
     """Passages of a folder; an item's own doc and status go before the file's, those before the file name and the default."""
     item = "struct<doc:string,chapter:string,article_no:string,text:string,tags:array<string>,status:string>"

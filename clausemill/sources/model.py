@@ -12,6 +12,7 @@ import time
 import urllib.error
 import urllib.request
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 
@@ -21,6 +22,16 @@ from clausemill.workers import ship
 FINAL = (400, 401, 403, 404)
 
 
+def load_env(path: str | Path) -> list[str]:
+    """Put the KEY=VALUE lines of a file into the environment; what is set already stays. Returns the keys that were set."""
+    if not Path(path).is_file():
+        return []
+    pairs = [x.strip().partition("=") for x in Path(path).read_text("utf-8").splitlines() if "=" in x and not x.strip().startswith("#")]
+    new = {k.strip(): v.strip().strip("\"").strip("'") for k, _, v in reversed(pairs) if k.strip() and k.strip() not in os.environ}
+    os.environ.update(new)
+    return list(new)
+
+
 @dataclass(frozen=True)
 class Model:
     base_url: str
@@ -32,10 +43,11 @@ class Model:
     temperature: float = 0.1
 
     @staticmethod
-    def from_env() -> Model | None:
-        """From LLM_BASE_URL, LLM_API_KEY and LLM_MODEL; None if one is missing."""
+    def from_env(path: str | Path = ".env") -> Model | None:
+        """From LLM_BASE_URL, LLM_API_KEY and LLM_MODEL (LLM_TIMEOUT, LLM_MAX_RETRIES) of the environment or a file; None if one is missing."""
+        load_env(path)
         found = [os.environ.get(k, "") for k in ("LLM_BASE_URL", "LLM_API_KEY", "LLM_MODEL")]
-        return Model(*found) if all(found) else None
+        return Model(*found, float(os.environ.get("LLM_TIMEOUT", "60")), int(os.environ.get("LLM_MAX_RETRIES", "2"))) if all(found) else None
 
     def complete(self, prompt: str) -> str:
         body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": self.max_tokens, "temperature": self.temperature}

@@ -6,11 +6,12 @@ These are defaults. Every operator takes its own; :mod:`clausemill.sources.files
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill import schemas
+from clausemill.sources.defaults import BLOCKS, RULE_TEXTS, THRESHOLDS
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,7 @@ class Rule:
 
 _ADVISED = {"level": "建议", "severity": "warning"}
 # The predicates of the rules, in load order.
-RULES = (
+_PREDICATES = (
     Rule("R-DP-002", "required", "dp.support_type", PIT),
     Rule("R-DP-003", "required", "dp.safety_grade", PIT),
     Rule("R-DP-004", "required", "dp.retaining.displacement", PIT),
@@ -135,6 +136,9 @@ RULES = (
 )
 
 
+RULES = tuple(replace(r, **dict(zip(("name", "basis", "advice", "category", "stage"), RULE_TEXTS[r.id], strict=True))) for r in _PREDICATES)
+
+
 def rules(spark: SparkSession, rows: tuple[Rule, ...] = RULES) -> DataFrame:
     """Rules as a relation, with their place in load order (``pos``)."""
     names = [c.split(" ")[0] for c in _columns(schemas.RULE)]
@@ -163,8 +167,20 @@ def _columns(ddl: str) -> list[str]:
     return [*out, now.strip()]
 
 
-def thresholds(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """Thresholds as a relation; ``value`` may be a number, a text or a list, so it is a variant."""
+#: The state of an entry that has been put together but not been held against the official text.
+UNCHECKED = "待核对"
+_THRESHOLD = ("id", "param", "name", "op", "value", "unit", "condition", "basis", "doc", "article_no", "keywords")
+
+
+def blocks(spark: SparkSession, rows: dict[str, tuple] = BLOCKS) -> DataFrame:
+    """Passages as a relation."""
+    data = [(f"{doc}#{i:05d}", doc, chapter, article, text, list(tags), UNCHECKED) for doc, items in rows.items() for i, (chapter, article, text, tags) in enumerate(items)]
+    return spark.createDataFrame(data, "block_id string, doc string, chapter string, article_no string, text string, tags array<string>, status string")
+
+
+def thresholds(spark: SparkSession, rows: list[dict] | None = None) -> DataFrame:
+    """Thresholds as a relation, default: the ones of the library; ``value`` may be a number, a text or a list, so it is a variant."""
+    rows = [dict(zip(_THRESHOLD, x, strict=True)) | {"status": UNCHECKED} for x in THRESHOLDS] if rows is None else rows
     names = [c.split(" ")[0] for c in _columns(schemas.THRESHOLD)]
     data = [(*[json.dumps(r.get(n), ensure_ascii=False) if n == "value" else r.get(n, [] if n == "keywords" else "") for n in names], i) for i, r in enumerate(rows)]
     ddl = schemas.THRESHOLD.replace("value variant", "value string") + ", pos int"
