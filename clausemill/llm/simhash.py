@@ -7,13 +7,16 @@ blocks, and their Hamming distance is then verified.
 
 Exact copies fall together first (one row per distinct fingerprint). Keys are counted with
 partial sums; a key of two fingerprints gives its pair straight from its minimum and maximum.
-Larger keys are cut into chunks of about ``CHUNK`` members and every pair of chunks is a
-group of its own, so no group grows with the data; a group returns links to the smallest
+A key of more than ``CHUNK`` members is split by the bits that aren't in it, which are cut into parts again (pigeonhole
+within pigeonhole: four rows a member for some hundredth of the group size). What is larger even then is cut into chunks, and
+every pair of chunks is a group of its own, so no group grows with the data; a group returns links to the smallest
 member of each of its components, not its pairs. Components are joined over all groups.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; rows
-with a null id take part and a component of none but null ids has a null id; repeated
-rows stay repeated; an empty table gives an empty result.
+with a null id take part and a component of none but null ids has a null id; a very long text is hashed
+65,536 shingles at a time; a bit that is set in just half of the hashes isn't set; repeated
+rows stay repeated (``dedupe`` keeps one row of a class, ties by a hash of the row); extra columns are left out, ``dedupe``
+keeps them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -63,6 +66,14 @@ def masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
+def parts(mask: int, n: int) -> list[int]:
+    """The bits of a signed mask in ``n`` parts of about as many, as signed masks."""
+    bits = [b for b in range(64) if mask >> b & 1]
+    edges = [round(i * len(bits) / n) for i in range(n + 1)]
+    out = [sum(1 << b for b in bits[a:z]) for a, z in zip(edges, edges[1:], strict=False)]
+    return [m - (1 << 64) if m >> 63 else m for m in out]
+
+
 def _near(a: Column, b: Column, distance: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
@@ -113,15 +124,20 @@ def _linked(batches: Iterable, distance: int) -> Iterable:
 
 def links(distinct: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
     """Links (a, b) whose components are those of all pairs of ``distinct`` (fp) within ``distance`` bits."""
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks(blocks, distance))])
-    members = distinct.select("fp", F.explode(keys).alias("key"))
+    each = masks(blocks, distance)
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(each)])
+    members = distinct.select("fp", F.posexplode(keys).alias("i", "key"))
     sizes = common.keep(members.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "keys")
     pairs = sizes.where("n = 2").where(_near(F.col("a"), F.col("b"), distance)).select("a", "b")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    many = members.join(sizes.where("n > 2").select("key", chunks.alias("c")), "key")
-    mine = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
-    dealt = many.withColumn("i", mine).select("key", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j"))
-    groups = dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "fp")
+    some = members.join(sizes.where(F.col("n").between(3, chunk)).select("key"), "key").select("key", F.lit(0).alias("lo"), F.lit(0).alias("hi"), "fp")
+    # Of a frequent key the other bits are cut again: pairs agree in one of ``distance`` + 1 parts of them.
+    rest = F.array(*[F.array(*map(F.lit, parts(~m, distance + 1))) for m in each])
+    finer = F.transform(F.element_at(rest, F.col("i") + 1), lambda m, j: F.xxhash64(F.col("key"), j, F.col("fp").bitwiseAND(m)))
+    often = members.join(sizes.where(F.col("n") > chunk).select("key"), "key").select("fp", F.explode(finer).alias("key"))
+    counted = often.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / chunk).cast("int").alias("c"))
+    many = often.join(counted, "key").withColumn("i", F.pmod(F.xxhash64("fp"), F.col("c")).cast("int"))
+    dealt = many.select("key", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("c") - 1)).alias("j"))
+    groups = some.union(dealt.select("key", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "fp"))
     sorted_ = groups.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return pairs.union(common.arrow(sorted_, lambda batches: _linked(batches, distance), "a long, b long"))
 
