@@ -18,7 +18,9 @@ pre-aggregated counts beyond that.
 
 Defined cases: a null text is an empty one and has no spans; rows with the same id and the
 same text get the same spans; a null id is an id like any other; a value in all documents is
-worth nothing and discloses nothing; an empty table gives an empty result.
+worth nothing and discloses nothing; a very long text is matched whole; a term that discloses just the share is one; spans that
+overlap are generalised together, named by the first; extra columns are left out, ``sanitise`` keeps them; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -85,12 +87,14 @@ def beside(text: Column, spans: Column) -> Column:
     return F.filter(words, lambda w: fits(w) & ~F.exists(spans, lambda x: (w["s"] < x["e"]) & (x["s"] < w["e"])))
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """doc_id, hash of the text, base spans and the terms beside them: one row per document, narrow without spans."""
+def found(docs: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id, hash of the text, base spans and the terms beside them: one row per document, narrow without spans; with ``row`` all columns too."""
     text = F.coalesce(F.col("text"), F.lit(""))
     none = "array<struct<term:string,s:bigint,e:bigint>>"
-    some = docs.select("doc_id", F.xxhash64(text).alias("h"), text.alias("_t"), base_spans(text).alias("base"))
-    return some.select("doc_id", "h", "base", F.when(F.size("base") > 0, beside(F.col("_t"), F.col("base"))).otherwise(F.array().cast(none)).alias("beside"))
+    kept = [F.struct(*docs.columns).alias("_row")] if row else []
+    some = docs.select(F.col("doc_id"), F.xxhash64(text).alias("h"), text.alias("_t"), base_spans(text).alias("base"), *kept)
+    terms = F.when(F.size("base") > 0, beside(F.col("_t"), F.col("base"))).otherwise(F.array().cast(none)).alias("beside")
+    return some.select("doc_id", "h", "base", terms, *(["_row"] if row else []))
 
 
 def _values(narrow: DataFrame) -> DataFrame:
@@ -140,15 +144,20 @@ def disclosing(narrow: DataFrame, docs: DataFrame, share: float = DISCLOSURE, su
 def spans(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """doc_id, h (hash of the text), base and terms (sorted arrays of spans) for every document."""
     narrow = common.keep(found(docs.select("doc_id", "text")), "pii")
-    pairs = common.keep(disclosing(narrow, docs, share, support), "disclosing")
-    told = common.keep(_values(narrow).join(pairs, "value").select("doc_id", "h", "term").distinct(), "told")
-    words = _of(narrow, told.select("doc_id", "h").distinct(), "left_semi").select("doc_id", "h", F.explode("beside").alias("x")).select("doc_id", "h", "x.*")
-    hits = _of(words, told.withColumnRenamed("term", "_term"), "inner").where("term = _term").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
-    out = _of(narrow, hits, "left")
+    out = _of(narrow, told_spans(narrow, docs, share, support), "left")
     none = F.array().cast("array<struct<s:bigint,e:bigint>>")
     return out.select("doc_id", "h", "base", F.coalesce("terms", none).alias("terms"))
 
 
+def told_spans(narrow: DataFrame, docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """doc_id, h and terms of the documents that have term spans, of the table :func:`found`."""
+    pairs = common.keep(disclosing(narrow, docs, share, support), "disclosing")
+    told = common.keep(_values(narrow).join(pairs, "value").select("doc_id", "h", "term").distinct(), "told")
+    words = _of(narrow.select("doc_id", "h", "beside"), told.select("doc_id", "h").distinct(), "left_semi").select("doc_id", "h", F.explode("beside").alias("x")).select("doc_id", "h", "x.*")
+    hits = _of(words, told.withColumnRenamed("term", "_term"), "inner").where("term = _term")
+    return hits.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("terms"))
+
+
 def digest(found_: DataFrame) -> DataFrame:
     said = lambda kind, x: F.concat_ws(":", kind, x["s"], x["e"])
     base = F.array_join(F.transform("base", lambda x: said(x["kind"], x)), ",")
@@ -175,21 +184,20 @@ def replaced(text: Column, base: Column, terms: Column) -> Column:
 def sanitise(docs: DataFrame, share: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """The documents with all spans generalised in the text, all columns kept.
 
-    Base spans are found again within the row; only the rare rows with term spans meet a join. They
-    are broadcast up to ``BROADCAST_SPANS`` spans, so that no text is shuffled; beyond that Spark
-    splits a hot id in the sort-merge join.
+    Texts are matched once: a table holds each row with its base spans, and only the rare rows with term spans meet a
+    join. They are broadcast up to ``BROADCAST_SPANS`` spans, so that no text is shuffled; beyond that Spark splits a hot
+    id in the sort-merge join.
     """
-    found_ = spans(docs, share, support).where(F.size("terms") > 0).select(F.col("doc_id").alias("__cm_id"), F.col("h").alias("__cm_h"), F.col("terms").alias("__cm_terms"))
-    hits = common.keep(found_.distinct(), "term-spans")
-    if (hits.agg(F.sum(F.size("__cm_terms"))).first()[0] or 0) <= BROADCAST_SPANS:
+    marked = common.keep(found(docs, row=True), "pii")
+    terms = told_spans(marked, docs.select("doc_id", "text"), share, support)
+    hits = common.keep(terms.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "terms").distinct(), "term-spans")
+    if (hits.agg(F.sum(F.size("terms"))).first()[0] or 0) <= BROADCAST_SPANS:
         hits = F.broadcast(hits)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__cm_key", F.xxhash64(text))
-    joined = keyed.join(hits, F.col("doc_id").eqNullSafe(F.col("__cm_id")) & (F.col("__cm_key") == F.col("__cm_h")), "left")
-    terms = F.coalesce("__cm_terms", F.array().cast("array<struct<s:bigint,e:bigint>>"))
-    marked = joined.withColumns({"__cm_base": base_spans(text), "__cm_terms": terms})
-    clean = F.when(F.size("__cm_base") + F.size("__cm_terms") > 0, replaced(F.col("text"), F.col("__cm_base"), F.col("__cm_terms"))).otherwise(F.col("text"))
-    return marked.withColumn("text", clean).select(*docs.columns)
+    joined = marked.drop("beside").join(hits, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
+    every = F.coalesce("terms", F.array().cast("array<struct<s:bigint,e:bigint>>"))
+    text = F.col("_row.text")
+    clean = F.when(F.size("base") + F.size(every) > 0, replaced(text, F.col("base"), every)).otherwise(text)
+    return joined.select(F.col("_row").withField("text", clean).alias("_row")).select("_row.*").select(*docs.columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
