@@ -5,9 +5,13 @@ multiple of the source's own size, and every document is emitted floor(rate) tim
 Bernoulli copy seeded by a hash of its id. All of it is DataFrame code: one scan, one
 partial aggregation to a row per source, one join with that table.
 
+What a source takes is near its target by the law of large numbers only: with n documents of like size it differs by some 1 / (2 sqrt(n)) of
+its size, more where few long documents hold most of its words. Windows go over the one row per source, in one task.
+
 Defined cases: a null or empty text has size 0 and takes nothing; a null source is a source
 of its own, sorted last; documents with a null id draw by their text; repeated rows with the
-same id and source draw alike; an empty table gives an empty result.
+same id and source draw alike; a very long text counts whole; sources that reach their stop at the same level go in code-point order; extra
+columns are left out, ``mix`` keeps them; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -300,6 +300,91 @@ def test_quality_rejects_noise(spark):
     assert got[99]["rejected_by"] and not got[99]["kept"] and all(got[i]["kept"] for i in range(30))
 
 
+def test_quality_long_texts():
+    """Runs of blanks that the vocabulary's own encoder can't take, and the same tokens where it can."""
+    assert quality.base(" " * 2_000_000) == (0, 0, 0, 0, 0) and quality.fertility(" " * 2_000_000)[0] > 0
+    assert quality.fertility("a" * 2_000_000)[0] > 0
+    own = quality._encoding(quality.TOKENIZERS)
+    rng = np.random.default_rng(3)
+    for trial in range(30):
+        blank = lambda n: "".join(rng.choice([" ", "\n", "\t", "\u3000", "\xa0", "\r"], n))  # noqa: B023, E731
+        word = lambda: "".join(rng.choice(list("abc1#é"), int(rng.integers(1, 9))))  # noqa: B023, E731
+        sizes = rng.choice([1, 2, 9_999, 10_000, 10_001, 12_000], int(rng.integers(1, 4)))
+        text = word() * (trial % 2) + "".join(blank(n) + word() for n in sizes) + blank(10_500) * (trial % 3 == 0)
+        assert quality.encode(text) == own.encode_ordinary(text)
+
+
+def test_quality_bands_by_brute_force(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(300)]
+    noise = lambda i: "ꙮ%#" if i % 15 == 7 else " "
+    rows = [(i, "ab"[i % 2], noise(i).join(rng.choice(words[: 40 + 5 * (i % 20)], 60)) + " x" * 60 * (i % 15 == 7) + "".join(f" {k}y" for k in range(60)) * (i % 15 == 7) + ("#" * (i % 9) * 3) + ("ꙮ" * (i % 5))) for i in range(60)] + [(90, "c", "x " * 20), (91, None, None), (92, "a", "")]
+    got = as_dict(quality.judge(common.keep(quality.measure(spark.createDataFrame(rows, "doc_id long, lang string, text string")), "q")))
+    base = {i: quality.base(t) for i, _, t in rows}
+    failed = {i: b[0] < 50 or 100 * b[4] > 50 * b[0] for i, b in base.items()}
+    measures = {i: dict(zip(("n", "chars_per_token", "byte_share", "entropy"), quality.fertility(t), strict=True)) for i, _, t in rows}
+    middle = lambda x: sorted(x)[(len(x) - 1) // 2]
+    for i, lang, _ in rows:
+        group = [j for j, other, _ in rows if other == lang and not failed[j] and measures[j]["n"] >= quality.LEAST_TOKENS]
+        bad = []
+        for m in quality.MEASURES:
+            if not group or measures[i]["n"] < quality.LEAST_TOKENS or lang is None:
+                continue
+            mid = middle([measures[j][m] for j in group])
+            half = max(quality.WIDTH * middle([abs(measures[j][m] - mid) for j in group]), quality.LEAST_HALF[m] * (1 if m == "byte_share" else mid))
+            gap = measures[i][m] - mid
+            if (gap if m == "byte_share" else abs(gap)) > half:
+                bad.append(m)
+        assert (got[i]["base_failed"], got[i]["rejected_by"], got[i]["kept"]) == (failed[i], ",".join(bad), not failed[i] and not bad), i
+    assert any(r["rejected_by"] for r in got.values())
+    assert quality.judge(common.keep(quality.measure(spark.createDataFrame([], "doc_id long, lang string, text string")), "q")).count() == 0
+
+
+def brute_profiles(rows, ranks):
+    """Profiles and out-of-place distances with plain dictionaries."""
+    def grams(t):
+        c = collections.Counter()
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            x = f" {w} "
+            c.update(w)
+            c.update(x[i : i + 2] for i in range(len(x) - 1))
+            c.update(x[i : i + 3] for i in range(len(x) - 2))
+        return c
+
+    def top(c):
+        code = lambda g: sum(ord(x) << 21 * (len(g) - 1 - i) for i, x in enumerate(g))
+        return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], code(x[0])))[:ranks]]
+
+    profiles = {lang: top(sum((grams(t) for _, t, x in rows if x == lang), collections.Counter())) for lang in {x for *_, x in rows if x}}
+
+    def predict(t):
+        own = top(grams(t))
+        if not own:
+            return langid.UNKNOWN, 0.0, 1.0
+        d = {lang: sum(abs(i - p.index(g)) if g in p else ranks for i, g in enumerate(own)) / (len(own) * ranks) for lang, p in profiles.items()}
+        best = min(sorted(d), key=d.get)
+        return best, 1 / sum(math.exp(-langid.SHARPNESS * (x - d[best])) for x in d.values()), d[best]
+
+    return predict
+
+
+def test_language_by_brute_force(spark, rows):
+    """Profiles, distances and scores, with all languages at once and in blocks of one and two."""
+    rng = np.random.default_rng(6)
+    text = lambda letters: " ".join("".join(rng.choice(list(letters), int(rng.integers(2, 7)))) for _ in range(30))
+    train = [(i, text(("abcde", "cdefg", "äbcdö", "efghi", "abxyz")[i % 5]), ("de", "en", "fr", "ro", "xx")[i % 5]) for i in range(50)]
+    test = [(i, t) for i, t, *_ in train[:20]] + [(100 + i, r[1]) for i, r in enumerate(rows[:12])] + [(200, None), (201, "12"), (202, "zzz"), (203, "a b" * 40_000)]
+    predict = brute_profiles(train, 40)
+    df = spark.createDataFrame(test, "doc_id long, text string")
+    for block in (500, 2, 1):
+        profiles = langid.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"), ranks=40, block=block)
+        got = as_dict(langid.identify(df, profiles))
+        for i, t in test:
+            want = predict(t)
+            assert got[i]["lang_pred"] == want[0] and got[i]["score"] == pytest.approx(want[1]) and got[i]["distance"] == pytest.approx(want[2]), i
+    assert langid.identify(df.where("false"), profiles).count() == 0
+
+
 def test_language(spark, docs, rows):
     a = "the cat sat on the mat and the dog ran to the house with the children"
     b = "der hund und die katze sind in dem haus und das kind ist nicht hier"
@@ -358,6 +443,104 @@ def test_toxicity(spark):
     assert none.where("score != 0").count() == 0
 
 
+def test_toxicity_by_brute_force(spark):
+    """Counts, weights, lexicon, calibration and scores with plain loops."""
+    rng = np.random.default_rng(2)
+    words = [f"word{c}{d}" for c in "abcdefgh" for d in "abcde"]
+    bad = ["scumbag", "scummy", "idiotic", "nitwit"]
+    rows = []
+    for i in range(160):
+        toxic = i % 4 == 0
+        some = [str(w) for w in rng.choice(words, 25)] + ([str(w) for w in rng.choice(bad, 3)] if toxic else [bad[i % 4]] * (i % 13 == 0))
+        rows.append((i, " ".join(rng.permutation(some)), int(toxic)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    half = {r["i"]: r["h"] for r in labels.selectExpr("doc_id AS i", "CAST(pmod(xxhash64(CAST(doc_id AS STRING)), 2) AS INT) AS h").collect()}
+
+    def lexicon(some):
+        n = [sum(y == k for *_, y in some) for k in (0, 1)]
+        seen = collections.Counter((e, y) for _, t, y in some for e in next(toxicity.entries([t])))
+        weights = {}
+        for e in sorted({e for e, _ in seen}, key=lambda x: (len(x.rstrip()), x)):
+            t, o = seen[e, 1], seen[e, 0]
+            w = math.log((t + 0.5) / (n[1] + 1)) - math.log((o + 0.5) / (n[0] + 1))
+            if t >= max(3, 0.004 * n[1]) and w >= toxicity.LEAST_WEIGHT and t * n[0] > 4 * o * n[1]:
+                if not any(e[:k] in weights and weights[e[:k]] >= w - 0.75 for k in range(5, len(e))):
+                    weights[e] = w
+        return weights
+
+    def features(t, weights):
+        text, best = toxicity.fold(t), {}
+        for e, w in weights.items():
+            for m in re.finditer(f"(?={re.escape(e)})", text):
+                if w > best.get(m.start(), (0, ""))[0]:
+                    best[m.start()] = (w, e)
+        total = sum(w for w, _ in best.values())
+        return (total, 100 * total / (text.count(" ") + 20), len({e for _, e in best.values()})) if best else (0.0, 0.0, 0.0)
+
+    got = toxicity.fit(docs, labels)
+    assert got.weights == pytest.approx(lexicon(rows)) and got.weights
+    first = lexicon([r for r in rows if half[r[0]] == 0])
+    other = [r for r in rows if half[r[0]] == 1]
+    model = toxicity.calibrate(np.array([features(t, first) for _, t, _ in other]), np.array([y for *_, y in other], float))
+    assert got.model == pytest.approx(model)
+    scores = as_dict(toxicity.score(docs, got))
+    for i, t, _ in rows:
+        x = features(t, got.weights)
+        z = sum(a * b for a, b in zip(model, (1, *map(math.log1p, x), x[0] > 0), strict=True))
+        assert scores[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_toxicity_odd_rows(spark, docs, rows):
+    """Ids that repeat or are missing, ids as text, clashing columns, very long texts, empty tables."""
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (2, None), (None, 1)], "doc_id long, toxic int")
+    lex = toxicity.fit(docs, labels)
+    assert toxicity.score(docs, lex).count() == len(rows)
+    assert toxicity.score(docs.where("false"), lex).count() == 0 and toxicity.fit(docs.where("false"), labels).weights == {}
+    named = toxicity.fit(docs.selectExpr("CAST(doc_id AS STRING) AS doc_id", "text"), labels.selectExpr("CAST(doc_id AS STRING) AS doc_id", "toxic"))
+    assert named.weights == lex.weights
+    long = toxicity.Lexicon({" idio": 5.0}, model=(-3.0, 1.0, 1.0, 0.5, 1.0))
+    assert long.features("word " * 400_000 + "idiot")[3] == 1
+
+
+def test_empty_documents(spark, docs):
+    """Operators that keep no test of their own for it."""
+    none = docs.where("false")
+    assert mixing.plan(none.select("doc_id", "text", "source")).count() == 0 and mixing.mix(none).count() == 0
+    assert simhash.near_duplicates(none.select("doc_id", "text")).count() == 0
+    bench = spark.createDataFrame([(1, "one two three")], "item_id long, text string")
+    assert decontaminate.scan(none, bench).count() == 0 and decontaminate.clean(none, bench).columns == docs.columns
+
+
+def test_shared_folder(spark, monkeypatch):
+    """Only a session on this machine may go without the setting; tables of a scratch go at its end."""
+    import os
+
+    class Conf:
+        def __init__(self, found):
+            self.found = found
+
+        def get(self, *_):
+            return self.found
+
+    class Missing:
+        def isDefined(self):  # noqa: N802
+            return False
+
+    def session(master, found=None):
+        context = type("C", (), {"master": master, "getConf": lambda self: Conf(None), "_jsc": type("J", (), {"sc": lambda self: type("S", (), {"getCheckpointDir": lambda self: Missing()})()})()})()
+        return type("X", (), {"conf": Conf(found), "sparkContext": context})()
+
+    assert common.shared_dir(session("spark://x", "/shared/")) == "/shared" and os.path.isdir(common.shared_dir(session("local[2]")))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(session("spark://x"))
+    with common.scratch():
+        a, b = common.keep(spark.range(3), "a"), common.lasting(common.keep(spark.range(4), "b", buckets=(2, "id")))
+    assert not os.path.exists(a._kept_at) and b.count() == 4
+    common.drop(b)
+    assert not os.path.exists(b._kept_at) and not spark.catalog.tableExists(b._kept_as)
+
+
 def fingerprint(t):
     w = WORD.findall(lower(t))
     h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []

@@ -50,8 +50,32 @@ def test_stages(spark, folder):
         docs, state = out, {r["doc_id"]: r for r in got}
 
 
+def test_stages_odd_rows(spark, docs, rows, folder):
+    """Ids that repeat or are missing, repeated rows, clashing columns, a very long text, an empty table: nothing crashes, columns stay."""
+    from pyspark.sql import functions as F
+
+    long = " ".join(f"word{i % 5000}" for i in range(60_000))
+    more = spark.createDataFrame([(800, long, "a", "s1"), (800, long, "a", "s1"), (None, "a text without an id", "a", None)], "doc_id long, text string, lang string, source string")
+    now = docs.unionByName(more, allowMissingColumns=True).withColumn("n_chars", F.length("text"))
+    extra = [c for c in now.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.keep(stage(spark, now, folder), "stage")
+        assert out.columns == now.columns and set(extra) < set(out.columns)
+        assert stage(spark, now.where("false"), folder).count() == 0
+        if name == "near_duplicates":
+            assert out.where("text = '" + long[:20] + "' or length(text) > 100000").count() == 1
+        now = out
+    assert now.where("length(text) > 100000").count() >= 1 and now.where("doc_id is null").count() >= 1
+
+
 def test_run(spark, folder):
+    import os
+
+    kept = f"{common.shared_dir(spark)}/clausemill"
+    before = set(os.listdir(kept))
     assert corpus_pipeline.run(spark, folder).count() > 0
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(kept)) - before}
+    assert left <= {"personal_data", "targets"}  # what the result reads
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "benchmark_decontamination", "personal_data", "source_mix"]
 
 
