@@ -1,6 +1,11 @@
 """A corpus from raw documents to a training mix, in five stages.
 
-Each stage takes the documents that the one before it kept, as a table read from Parquet.
+Each stage takes the documents that the one before it kept, as a table read from Parquet; the table before that and
+what a stage kept for itself are deleted when it is written.
+
+Defined cases, for every stage: a null, empty or letterless text is rejected by the first stage; a null id is kept like any other; repeated
+rows are one class of near duplicates, of which one row stays (ties by a hash of the row); very long texts go through whole; extra columns
+stay, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -55,7 +60,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of a data folder; what a stage keeps is a table in the shared folder."""
     docs = common.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.keep(stage(spark, docs, sf_dir), name)
+        with common.scratch():
+            after = common.lasting(common.keep(stage(spark, docs, sf_dir), name))
+        common.drop(docs)
+        docs = after
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
