@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clausemill.functions import text as T
 from clausemill.operators import evaluate as E, extract, gapfill, knowledge as K, rules as R, scan, segment, synth
-from clausemill.plans import review as V
+from clausemill.plans import benchmark, review as V
 from clausemill.sources import tables
 from clausemill.sources.tables import Rule
 
@@ -116,6 +118,37 @@ SELECT doc_id, 'dp.excavation_depth' AS param, q AS value, 'm' AS unit, '超出
 UNION ALL SELECT doc_id, 'dp.retaining.displacement', CAST(k * 90 AS DOUBLE), 'mm', '超出物理合理范围(0, 500]' FROM x WHERE k * 90 > 500"""
 
 
+def _tricky(q: str) -> str:
+    """Sentences with a guard word, millimetres and a second name of a unit, overlapping names, and a fact said twice."""
+    return (f"CASE l_linenumber % 4 WHEN 0 THEN concat('每层开挖深度不超过', {q}, 'm，分段挖深', {q}, 'm') WHEN 1 THEN concat('基坑开挖深度为', {q}, '00mm，位移报警值', {q}, '毫米') "
+            f"WHEN 2 THEN concat('挖深见开挖深度', {q}, 'm，基坑深度', {q}, '.5m') ELSE concat('监测频率', {q}, '次/天，监测频次', {q}, '次每日') END")
+
+
+def param_guards(spark, d):
+    raw = t(spark, d, "lineitem").selectExpr("l_orderkey AS doc_id", f"{_AT} AS pos", f"{_tricky('CAST(CAST(l_quantity AS INT) AS STRING)')} AS text")
+    facts_ = extract.numeric(segment.lines(raw))
+    return facts_.select("doc_id", "line_no", "param_id", "raw_text", F.round("value", 6).alias("value"), "unit", "in_range")
+
+
+PARAM_GUARDS = """
+WITH x AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber * 10000000000 + l_partkey * 10000 + l_suppkey) - 1 AS INTEGER) AS line_no, l_linenumber % 4 AS k, CAST(l_quantity AS INT) AS n, CAST(CAST(l_quantity AS INT) AS VARCHAR) AS q FROM lineitem),
+f AS (SELECT doc_id, line_no, 'dp.excavation_depth' AS param_id, '开挖深度为' || q || '00mm' AS raw_text, n * 100 / 1000.0 AS value, 'm' AS unit FROM x WHERE k = 1
+  UNION ALL SELECT doc_id, line_no, 'dp.retaining.displacement', '位移报警值' || q || '毫米', n, 'mm' FROM x WHERE k = 1
+  UNION ALL SELECT doc_id, line_no, 'dp.excavation_depth', '开挖深度' || q || 'm', n, 'm' FROM x WHERE k = 2
+  UNION ALL SELECT doc_id, line_no, 'dp.excavation_depth', '基坑深度' || q || '.5m', n + 0.5, 'm' FROM x WHERE k = 2
+  UNION ALL SELECT doc_id, line_no, 'dp.monitoring.frequency', '监测频率' || q || '次/天', n, '次/d' FROM x WHERE k = 3
+  UNION ALL SELECT doc_id, line_no, 'dp.monitoring.frequency', '监测频次' || q || '次每日', n, '次/d' FROM x WHERE k = 3)
+SELECT doc_id, line_no, param_id, raw_text, round(CAST(value AS DOUBLE), 6) AS value, unit,
+  value > 0 AND value <= CASE param_id WHEN 'dp.excavation_depth' THEN 50 WHEN 'dp.retaining.displacement' THEN 500 ELSE 24 END AS in_range FROM f"""
+
+
+def lines_scanned(spark, d):
+    return extract.scanned(_lines(spark, d))
+
+
+LINES_SCANNED = f"SELECT doc_id, count(*) AS lines_scanned FROM ({LINES_OFFSETS}) GROUP BY doc_id"
+
+
 def text_param_first(spark, d):
     text = "CASE WHEN (l_linenumber + l_orderkey) % 3 = 0 THEN concat('侧壁安全等级为', CASE l_returnflag WHEN 'A' THEN '一' WHEN 'N' THEN '二' ELSE '三' END, '级。') ELSE '本行无取值' END"
     raw = t(spark, d, "lineitem").selectExpr("l_orderkey AS doc_id", f"{_AT} AS pos", f"{text} AS text")
@@ -339,18 +372,41 @@ SELECT query_id, id, CAST(score AS INTEGER) AS score FROM r WHERE k = 1"""
 
 
 def ask_route(spark, d):
+    """Route, whole answer and number of sources of every question."""
     passages = t(spark, d, "benchmark").selectExpr("CAST(item_id AS STRING) AS block_id", "'D' AS doc", "'' AS chapter", "CAST(item_id AS STRING) AS article_no", "text", "array() AS tags", "'ok' AS status")
     out = K.ask(_questions(spark, d), tables.thresholds(spark, THRESHOLDS), passages.withColumn("tags", F.array().cast("array<string>")))
-    return out.select("query_id", "route", F.size("sources").alias("n_sources"))
+    return out.select("query_id", "route", F.md5("answer").alias("answer_md5"), F.size("sources").alias("n_sources"))
 
 
+_SAID = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in {"T-1": "one：要求 3m。\n依据：A 1\n", "T-2": "two：要求：as agreed。\n依据：B 2\n", "T-3": "three：要求 2～5。\n依据：C 3\n", "T-4": "four：允许取值：x～y。\n依据：D 4\n"}.items())
 ASK_ROUTE = f"""
-WITH {_QUESTIONS}, s AS ({_SCORED}), hit AS (SELECT DISTINCT query_id FROM s WHERE score >= 4),
-qt AS (SELECT DISTINCT query_id, unnest({_TOKENS.format('question')}) AS token FROM q), bt AS (SELECT DISTINCT item_id, unnest({_TOKENS.format('text')}) AS token FROM benchmark),
-near AS (SELECT query_id, count(DISTINCT item_id) AS n FROM qt JOIN bt USING (token) GROUP BY query_id)
-SELECT query_id, CASE WHEN h.query_id IS NOT NULL THEN 'threshold' WHEN n > 0 THEN 'blocks' ELSE 'empty' END AS route,
-  CAST(CASE WHEN h.query_id IS NOT NULL THEN 1 ELSE least(coalesce(n, 0), 3) END AS INTEGER) AS n_sources
-FROM q LEFT JOIN hit h USING (query_id) LEFT JOIN near USING (query_id)"""
+WITH {_QUESTIONS}, s AS ({_SCORED}), best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS k FROM s WHERE score >= 4),
+hit AS (SELECT query_id, '【阈值表命中·ok】' || CASE id {_SAID} END AS answer FROM best WHERE k = 1),
+qt AS (SELECT query_id, token, count(*) AS n FROM (SELECT query_id, unnest({_TOKENS.format('question')}) AS token FROM q) GROUP BY ALL),
+bt AS (SELECT item_id, token, count(*) AS n FROM (SELECT item_id, unnest({_TOKENS.format('text')}) AS token FROM benchmark) GROUP BY ALL),
+qq AS (SELECT query_id, sum(n * n) AS qq FROM qt GROUP BY ALL), bb AS (SELECT item_id, sum(n * n) AS bb FROM bt GROUP BY ALL),
+dots AS (SELECT query_id, item_id, sum(qt.n * bt.n) AS dot FROM qt JOIN bt USING (token) GROUP BY ALL),
+near AS (SELECT query_id, item_id, CAST(dot AS DOUBLE) / (sqrt(CAST(qq AS DOUBLE)) * sqrt(CAST(bb AS DOUBLE))) AS score FROM dots JOIN qq USING (query_id) JOIN bb USING (item_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(item_id AS VARCHAR)) AS k FROM near),
+line AS (SELECT query_id, k, '- 《D》 ' || CASE WHEN regexp_matches(CAST(item_id AS VARCHAR), '^[0-9]') THEN '第' || item_id || '条' ELSE CAST(item_id AS VARCHAR) END || '（ok）：' || text || '（相关度 ' || printf('%.2f', floor(score * 100 + 0.5) / 100) || '）' AS l
+         FROM top JOIN benchmark USING (item_id) WHERE k <= 3),
+passages AS (SELECT query_id, count(*) AS n, '【条文检索 top-' || count(*) || '】\n' || string_agg(l, '\n' ORDER BY k) || '\n{K.CLOSING}' AS answer FROM line GROUP BY query_id)
+SELECT query_id, CASE WHEN h.query_id IS NOT NULL THEN 'threshold' WHEN n > 0 THEN 'blocks' ELSE 'empty' END AS route, md5(coalesce(h.answer, p.answer, '{K.NOTHING}')) AS answer_md5,
+  CAST(CASE WHEN h.query_id IS NOT NULL THEN 1 ELSE coalesce(n, 0) END AS INTEGER) AS n_sources
+FROM q LEFT JOIN hit h USING (query_id) LEFT JOIN passages p USING (query_id)"""
+
+
+def search_order(spark, d):
+    """Passages with equal scores come by document, article, place."""
+    x = t(spark, d, "nation").join(t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    blocks = x.selectExpr("CAST(n_nationkey AS STRING) AS block_id", "left(n_name, 1) AS doc", "CAST(n_nationkey % 2 AS STRING) AS article_no", "concat(replace(r_name, ' ', ''), ' common') AS text", "array('x1') AS tags")
+    questions = t(spark, d, "region").selectExpr("r_regionkey AS query_id", "replace(r_name, ' ', '') AS question")
+    return K.search(questions, blocks, 4).select("query_id", "block_id", "rank", F.round("score", 9).alias("score"))
+
+
+SEARCH_ORDER = """
+SELECT r_regionkey AS query_id, block_id, CAST(rank AS INTEGER) AS rank, round(1 / sqrt(3.0::DOUBLE), 9) AS score FROM (
+  SELECT n_regionkey AS r_regionkey, CAST(n_nationkey AS VARCHAR) AS block_id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name[1], CAST(n_nationkey % 2 AS VARCHAR), CAST(n_nationkey AS VARCHAR)) AS rank FROM nation) WHERE rank <= 4"""
 
 
 def embedding_cosine(spark, d):
@@ -373,6 +429,7 @@ def pii_hits(spark, d):
 def _hits_sql(table: str, key: str) -> str:
     runs = lambda p, full: f"list_filter(regexp_extract_all(line, '{p}'), lambda x: regexp_full_match(x, '{full}'))"
     assign = r"(?i)(?:^|[^A-Za-z0-9])(api[_-]?key|secret|password|passwd|token|access[_-]?key)\s*[:=]\s*[\"'']?([^\s\"''#,;]{8,})"
+    path = r"(?:^|[^\w.])[A-Za-z]:[\\/]+Users[\\/]+([^\s\\/''\"`(),;、。，（）]+)"
     kinds = [
         ("email", f"list_filter(regexp_extract_all(line, '{scan.EMAIL}'), lambda x: NOT regexp_matches(x, '{scan.EMAIL_ALLOWED}'))"),
         ("phone", runs("[0-9]+", "1[3-9][0-9]{9}")),
@@ -380,6 +437,7 @@ def _hits_sql(table: str, key: str) -> str:
         ("private_ip", runs("[0-9.]+", r"192\.168\.[0-9]{1,3}\.[0-9]{1,3}|10\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}|172\.(1[6-9]|2[0-9]|3[01])\.[0-9]{1,3}\.[0-9]{1,3}")),
         ("secret_sk", f"regexp_extract_all(line, '{scan.SECRET_KEY}')"),
         ("secret_assign", f"list_transform(list_filter(list_zip(regexp_extract_all(line, '{assign}', 1), regexp_extract_all(line, '{assign}', 2)), lambda z: NOT regexp_matches(z[2], '{scan.CODE}')), lambda z: z[1])"),
+        ("personal_path", f"list_filter(regexp_extract_all(line, '{path}', 1), lambda u: NOT regexp_matches(u, '^[<%{{$`\\[]') AND NOT list_contains({list(scan.PLACEHOLDERS)!r}, lower(u)))"),
     ]
     every = "list_concat(" * (len(kinds) - 1) + ", ".join(
         f"list_transform({e}, lambda y: {{'kind': '{k}', 'excerpt': y}})" + (")" if i else "") for i, (k, e) in enumerate(kinds)
@@ -401,11 +459,32 @@ def pii_by_kind(spark, d):
 PII_BY_KIND = f"SELECT kind, count(*) AS n_hits, count(DISTINCT doc_id) AS n_docs FROM ({PII_HITS}) GROUP BY kind"
 
 
+#: A line for each detector, put together so that this text holds none, and two that are allowed.
+_HITS = (
+    "'call 138' || '0000' || right(CAST(10000 + conv_id % 10000 AS VARCHAR(9)), 4)", "'id 110101' || '19900101' || '123X'", "'host 10.' || '1.2.' || CAST(conv_id % 256 AS VARCHAR(9))", "'s' || 'k-abcdefgh' || CAST(conv_id AS VARCHAR(9))",
+    "'pass' || 'word: hunter' || CAST(conv_id + 1000 AS VARCHAR(9))", "'D:/' || 'Users/u' || CAST(conv_id AS VARCHAR(9)) || '/x'", "'mail u' || CAST(conv_id AS VARCHAR(9)) || '@' || 'b-c.net'",
+    "'token = ' || 'config.get(1)'", "'C:/' || 'Users/xx/y and a@' || 'example.org'",
+)
+_PLANTED = "text || chr(10) || CASE conv_id % 9 " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(_HITS)) + " END"
+
+
 def pii_conversations(spark, d):
-    return scan.hits(t(spark, d, "conversations"), "conv_id")
+    """Hits of all seven detectors in conversations, a planted line each."""
+    x = t(spark, d, "conversations").selectExpr("conv_id * 1000 + turn AS place", f"{_PLANTED} AS text")
+    return scan.hits(x, "place")
+
 
+PII_CONVERSATIONS = _hits_sql(f"(SELECT conv_id * 1000 + turn AS place, {_PLANTED} AS text FROM conversations)", "place")
 
-PII_CONVERSATIONS = _hits_sql("conversations", "conv_id")
+
+def commit_hits(spark, d):
+    """Addresses of distinct pairs that aren't the forge's own."""
+    who = "concat('c', o_custkey, CASE WHEN o_custkey % 3 = 0 THEN '@Users.NoReply.github.com' ELSE '@firm.net' END)"
+    return scan.commit_hits(t(spark, d, "orders").selectExpr(f"{who} AS author", "concat(o_orderstatus, '@x.org') AS committer")).distinct()
+
+
+COMMIT_HITS = """
+SELECT DISTINCT 'author' AS role, 'c' || o_custkey || '@firm.net' AS address FROM orders WHERE o_custkey % 3 <> 0 UNION ALL SELECT DISTINCT 'committer', o_orderstatus || '@x.org' FROM orders"""
 
 
 def crlf_docs(spark, d):
@@ -435,12 +514,16 @@ WITH l AS ({LINES_OFFSETS.replace('md5(l) AS line_md5', 'l')}), c AS (SELECT *,
 SELECT doc_id, line_no, CAST(length(l) AS INTEGER) AS n FROM c WHERE k <= 120"""
 
 
-def gap_validate(spark, d):
+def _validated(spark, d):
     offered = gapfill.candidates(_lines(spark, d), _missing(spark, d))
     param = "CASE doc_id % 4 WHEN 0 THEN 'fs.pole.spacing' ELSE 'dp.excavation_depth' END"
     excerpt = "CASE line_no % 3 WHEN 0 THEN substring(text, 1, 5) WHEN 1 THEN 'not there' ELSE substring(text, 2, 6) END"
     items = offered.selectExpr("doc_id", "line_no AS n", f"{param} AS param", "CAST(line_no + CASE WHEN line_no % 5 = 4 THEN 100000 ELSE 0 END AS INT) AS line_no", f"{excerpt} AS excerpt", "CAST(line_no * 20 AS DOUBLE) AS value", "CAST(NULL AS STRING) AS text_value")
-    return gapfill.validate(items, _missing(spark, d), offered).select("doc_id", "n", "param", "value", "reason")
+    return gapfill.validate(items, _missing(spark, d), offered)
+
+
+def gap_validate(spark, d):
+    return _validated(spark, d).select("doc_id", "n", "param", "value", "reason")
 
 
 GAP_VALIDATE = f"""
@@ -450,6 +533,31 @@ i AS (SELECT doc_id, line_no AS n, CASE doc_id % 4 WHEN 0 THEN 'fs.pole.spacing'
 SELECT doc_id, n, param, value, CASE WHEN param <> 'dp.excavation_depth' THEN 'param 不在缺失清单' WHEN NOT known THEN 'line_no 无效' WHEN e = '' OR NOT contains(l, e) THEN '摘录不是原文子串（防幻觉拦截）'
   WHEN NOT (value > 0 AND value <= 50) THEN '数值超出物理合理范围' END AS reason FROM i"""
 
+
+
+def gap_cards(spark, d):
+    """The first valid item of each parameter as a card, after the document's own."""
+    lines = segment.parse(segment.raw_lines(t(spark, d, "documents"))).drop("level")
+    checked = _validated(spark, d).withColumn("unit", F.lit("m"))
+    return gapfill.cards(gapfill.accept(checked), lines).select("doc_id", "ord", "param_id", "name", "value", "raw_text", "source", "confidence", F.md5("evidence.line_text").alias("line_md5"))
+
+
+GAP_CARDS = f"""
+WITH v AS ({GAP_VALIDATE.replace('SELECT doc_id, n, param, value, CASE', 'SELECT doc_id, n, param, value, e, l, CASE')}), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, param ORDER BY n) AS k FROM v WHERE reason IS NULL)
+SELECT doc_id, CAST(1000000 + row_number() OVER (PARTITION BY doc_id ORDER BY n) AS INTEGER) AS ord, param AS param_id, '基坑开挖深度' AS name, value, left(e0, 60) AS raw_text, 'llm' AS source, CAST(0.6 AS DOUBLE) AS confidence, md5(l) AS line_md5
+FROM (SELECT *, CASE n % 3 WHEN 0 THEN substring(l, 1, 5) WHEN 1 THEN 'not there' ELSE substring(l, 2, 6) END AS e0 FROM f WHERE k = 1)"""
+
+
+def gap_prompts(spark, d):
+    missing = _missing(spark, d)
+    return gapfill.prompts(gapfill.candidates(_lines(spark, d), missing), missing).select("doc_id", F.md5("prompt").alias("prompt_md5"))
+
+
+GAP_PROMPTS = f"""
+WITH l AS ({LINES_OFFSETS.replace('md5(l) AS line_md5', 'l')}), c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS k FROM l WHERE regexp_matches(l, '[0-9]'))
+SELECT doc_id, md5('{gapfill.HEAD}\n文档：' || doc_id || '\n\n目标参数（可能一个也抽不到）：\n{gapfill.described()["dp.excavation_depth"]}\n\n原文行（行号: 内容）：\n' || string_agg('  ' || line_no || ': ' || l, '\n' ORDER BY line_no) || '\n\n{gapfill.FOOT}') AS prompt_md5
+FROM c WHERE k <= 120 GROUP BY doc_id"""
+
 # -- evaluation
 
 
@@ -472,6 +580,20 @@ p AS (SELECT *, CASE WHEN tp + fp = 0 THEN 1.0 ELSE CAST(tp AS DOUBLE) / (tp + f
 EVAL_PRF = _EVAL + "SELECT param, tp, fp, fn, round(CAST(pr AS DOUBLE), 9) AS precision, round(CAST(re AS DOUBLE), 9) AS recall, round(CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END, 9) AS f1 FROM p"
 
 
+def eval_close(spark, d):
+    """Large numbers that differ by a small share match, others don't."""
+    o = t(spark, d, "orders")
+    none = "CAST(NULL AS STRING) AS txt"
+    truth = o.selectExpr("o_orderkey AS doc_id", "o_orderstatus AS param", "o_totalprice * 1e6 AS num", none)
+    got = o.selectExpr("o_orderkey AS doc_id", "o_orderstatus AS param", "o_totalprice * 1e6 * CASE o_orderkey % 3 WHEN 0 THEN 1 + 1e-10 WHEN 1 THEN 1 + 1e-7 ELSE 1 END AS num", none)
+    return E.prf(E.matched(truth, got)).select("param", "tp", "fp", "fn")
+
+
+EVAL_CLOSE = """
+WITH m AS (SELECT o_orderstatus AS param, count(*) FILTER (o_orderkey % 3 <> 1) AS tp, count(*) FILTER (o_orderkey % 3 = 1) AS f FROM orders GROUP BY 1)
+SELECT param, tp, f AS fp, f AS fn FROM m UNION ALL SELECT NULL, CAST(sum(tp) AS BIGINT), CAST(sum(f) AS BIGINT), CAST(sum(f) AS BIGINT) FROM m"""
+
+
 def _expected(spark, d):
     x = t(spark, d, "labels").where("toxic = 1").join(t(spark, d, "documents"), "doc_id")
     return x.selectExpr("doc_id", "0 AS inj_no", "lang AS type", "'R-TOX' AS rule_id", "'fail' AS result")
@@ -500,40 +622,55 @@ FALSE_POSITIVES = """
 SELECT doc_id, 'R-TOX' AS rule_id, 'fail' AS result FROM documents WHERE (contains(text, 'idiot') OR contains(text, 'scum')) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"""
 
 
-def _corpus(spark) -> tuple[DataFrame, DataFrame, V.Review]:
-    """Truth, expected findings and the review of 30 pit and 10 formwork plans."""
-    pit, form = synth.specs(spark, 30), synth.specs(spark, 10, True, 1000)
-    raw = synth.render(pit).union(synth.render(form, True))
-    r = V.review(raw, tables.rules(spark), pit.select("doc_id").union(form.select("doc_id")))
-    return synth.truth(pit).union(synth.truth(form, True)), synth.expected(pit).union(synth.expected(form, True)), r
+def _corpus(spark) -> tuple[benchmark.Corpus, V.Review]:
+    """30 pit and 10 formwork plans and their review."""
+    c = benchmark.generated(spark)
+    return c, V.review(c.raw, tables.rules(spark), c.docs)
 
 
 def corpus_prf(spark, d):
-    truth, _, r = _corpus(spark)
+    c, r = _corpus(spark)
     got = r.cards.selectExpr("doc_id", "param_id AS param", "value AS num", "text_value AS txt")
-    return E.prf(E.matched(truth, got)).selectExpr("param", "tp", "fp", "fn", "CAST(f1 AS DOUBLE) AS f1")
-
-
-CORPUS_PRF = """
-SELECT param, CAST(tp AS BIGINT) AS tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(1.0 AS DOUBLE) AS f1 FROM (VALUES (NULL, 180), ('dp.excavation_depth', 18), ('dp.monitoring.frequency', 30),
-  ('dp.retaining.displacement', 42), ('dp.safety_grade', 30), ('dp.support_type', 30), ('fs.formwork.type', 10), ('fs.pole.spacing', 6), ('fs.support.height', 14)) AS v(param, tp)"""
+    return E.prf(E.matched(c.truth, got)).selectExpr("param", "tp", "fp", "fn", "CAST(f1 AS DOUBLE) AS f1")
+
+
+#: What the plans say, from their numbers alone: defects, and for each parameter how many values.
+_PLANS = """
+pit AS (SELECT i, ['over_disp', 'low_freq', 'multi_disp', 'unit_error', 'missing_section'] AS k, [k[i % 5 + 1], k[(i + 16) % 5 + 1]] AS has FROM range(30) AS r(i)),
+form AS (SELECT i, ['over_height', 'low_spacing', 'multi_height', 'unit_error', 'missing_section'] AS k, [k[i % 5 + 1], k[(i + 6) % 5 + 1]] AS has, round(5.5 + (i * 7 % 21) / 10.0, 1) AS h FROM range(10) AS r(i))"""
+CORPUS_PRF = f"""
+WITH {_PLANS},
+n AS (SELECT 'dp.excavation_depth' AS param, count(*) FILTER (NOT list_contains(has, 'unit_error')) AS tp FROM pit UNION ALL SELECT 'dp.monitoring.frequency', count(*) FROM pit UNION ALL SELECT 'dp.safety_grade', count(*) FROM pit
+  UNION ALL SELECT 'dp.support_type', count(*) FROM pit UNION ALL SELECT 'dp.retaining.displacement', count(*) + count(*) FILTER (list_contains(has, 'multi_disp')) FROM pit
+  UNION ALL SELECT 'fs.formwork.type', count(*) FROM form UNION ALL SELECT 'fs.pole.spacing', count(*) FILTER (NOT list_contains(has, 'unit_error')) FROM form
+  UNION ALL SELECT 'fs.support.height', count(*) + count(*) FILTER (list_contains(has, 'multi_height') AND NOT list_contains(has, 'over_height') AND least(7.8, round(h + 1, 1)) <> h) FROM form),
+s AS (SELECT param, tp FROM n UNION ALL SELECT NULL, CAST(sum(tp) AS BIGINT) FROM n)
+SELECT param, tp, CAST(0 AS BIGINT) AS fp, CAST(0 AS BIGINT) AS fn, CAST(1.0 AS DOUBLE) AS f1 FROM s"""
+#: The defects that show: a second value hides an excess, an excess drops a second height.
+_SHOWN = """
+shown AS (SELECT i AS doc_id, false AS fs, unnest(has) AS type, has FROM pit UNION ALL SELECT 30 + i, true, unnest(has), has FROM form),
+seen AS (SELECT DISTINCT doc_id, fs, type FROM shown WHERE NOT (type = 'over_disp' AND list_contains(has, 'multi_disp')) AND NOT (type = 'multi_height' AND list_contains(has, 'over_height')))"""
 
 
 def corpus_detection(spark, d):
-    _, expected, r = _corpus(spark)
-    return E.detection_rate(E.detections(expected, r.findings)).select("type", "hits", "total")
+    c, r = _corpus(spark)
+    return E.detection_rate(E.detections(c.expected, r.findings)).select("type", "hits", "total")
 
 
-CORPUS_DETECTION = """
-SELECT type, CAST(n AS BIGINT) AS hits, CAST(n AS BIGINT) AS total FROM (VALUES (NULL, 80), ('low_freq', 12), ('low_spacing', 4), ('missing_section', 16), ('multi_disp', 12), ('multi_height', 4), ('over_disp', 12), ('over_height', 4), ('unit_error', 16)) AS v(type, n)"""
+CORPUS_DETECTION = f"WITH {_PLANS}, {_SHOWN} SELECT type, count(*) AS hits, count(*) AS total FROM seen GROUP BY ROLLUP (type)"
 
 
 def corpus_false_positives(spark, d):
-    _, expected, r = _corpus(spark)
-    return E.false_positives(r.findings, expected)
+    """Every finding of the corpus that isn't a pass, and whether a defect explains it."""
+    c, r = _corpus(spark)
+    wrong = r.findings.where("result != 'pass'").select("doc_id", "rule_id", "result").distinct()
+    return wrong.join(c.expected.select("doc_id", "rule_id", "result", F.lit(True).alias("_e")).distinct(), ["doc_id", "rule_id", "result"], "left").select("doc_id", "rule_id", "result", F.coalesce("_e", F.lit(False)).alias("explained"))
 
 
-CORPUS_FALSE_POSITIVES = "SELECT CAST(0 AS BIGINT) AS doc_id, '' AS rule_id, '' AS result WHERE false"
+_GIVES = "VALUES " + ", ".join(
+    f"('{k.removeprefix('fs:')}', {str(k.startswith('fs:') or k in synth.FORMWORK_DEFECTS[:3]).lower()}, '{r}', '{x}')" for k, v in synth.EXPECTED.items() for r, x in v
+)
+CORPUS_FALSE_POSITIVES = f"WITH {_PLANS}, {_SHOWN} SELECT DISTINCT CAST(doc_id AS BIGINT) AS doc_id, rule_id, result, true AS explained FROM seen JOIN ({_GIVES}) AS g(type, fs, rule_id, result) USING (type, fs)"
 
 # -- inventory, JSON, logs
 
@@ -565,10 +702,61 @@ def log_resume(spark, d):
 LOG_RESUME = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id"
 
 
+_MADE = """
+SELECT CAST(p_partkey AS {text}) AS id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name END AS name,
+  CASE p_partkey % 5 WHEN 0 THEN 'required' WHEN 1 THEN 'threshold_max' WHEN 2 THEN 'within_range' WHEN 3 THEN 'enum' ELSE 'conditional_program' END AS check_type, 'p' AS param,
+  CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_brand END AS basis, CASE WHEN p_size % 17 = 0 THEN 'x' ELSE '强制' END AS level, CASE WHEN p_size % 19 = 0 THEN 'x' WHEN p_size % 2 = 0 THEN 'error' ELSE 'info' END AS severity,
+  CASE WHEN p_size % 3 = 0 THEN NULL ELSE '<=' END AS op, CASE WHEN p_size % 7 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS value, CASE WHEN p_size % 4 = 0 THEN NULL ELSE 1.0 END AS min_value,
+  CASE WHEN p_size % 6 = 0 THEN NULL ELSE 9.0 END AS max_value, CASE WHEN p_size % 5 = 0 THEN NULL ELSE 'a' END AS one_allowed, CASE WHEN p_size % 8 = 0 THEN NULL ELSE 5.0 END AS low, CASE WHEN p_size % 9 = 0 THEN '' ELSE 'text' END AS require_text,
+  p_partkey % 4 <> 0 AS enabled FROM {part}"""
+
+
+def _made_rules(spark, d):
+    """Rules out of parts, with every kind of fault."""
+    t(spark, d, "part").createOrReplaceTempView("_made_part")
+    x = spark.sql(_MADE.format(text="STRING", part="_made_part"))
+    return x.withColumns({
+        "allowed": F.when(F.col("one_allowed").isNotNull(), F.array("one_allowed")), "condition": F.when(F.col("low").isNotNull(), F.struct(F.col("low").alias("min"), F.lit(None).cast("double").alias("max"))),
+        "sections": F.lit(None).cast("array<struct<title:string,keywords:array<string>>>"),
+    })
+
+
+def rule_violations(spark, d):
+    return R.violations(_made_rules(spark, d))
+
+
+RULE_VIOLATIONS = f"""
+SELECT id, CASE WHEN name = '' OR coalesce(basis, '') = '' THEN 'missing field' WHEN check_type = 'threshold_max' AND (op IS NULL OR value IS NULL) THEN 'threshold without op or value'
+  WHEN check_type = 'within_range' AND min_value IS NULL AND max_value IS NULL THEN 'range without limits' WHEN check_type = 'enum' AND one_allowed IS NULL THEN 'enum without values'
+  WHEN check_type = 'conditional_program' AND (low IS NULL OR require_text = '') THEN 'condition or text missing' WHEN level = 'x' THEN 'unknown level' WHEN severity = 'x' THEN 'unknown severity' END AS reason
+FROM ({_MADE.format(text='VARCHAR', part='part')}) WHERE reason IS NOT NULL"""
+
+
 def rule_inventory(spark, d):
-    return tables.rules(spark).groupBy("check_type", "severity").agg(F.count("*").alias("n"))
+    """Enabled rules that can be used, by type and severity."""
+    made = _made_rules(spark, d)
+    return made.where("enabled").join(R.violations(made).select("id"), "id", "left_anti").groupBy("check_type", "severity").agg(F.count("*").alias("n"))
+
+
+RULE_INVENTORY = f"SELECT check_type, severity, count(*) AS n FROM ({_MADE.format(text='VARCHAR', part='part')}) WHERE enabled AND id NOT IN (SELECT id FROM ({RULE_VIOLATIONS})) GROUP BY ALL"
+
+
+def rule_enabled(spark, d):
+    """A disabled rule gives no finding; the exit code of each document."""
+    docs, lines, titles = _orders(spark, d)
+    some = [r for r in RULES if r.id in ("E-MAX", "E-REQ")]
+    found = R.findings(facts(spark, d), tables.rules(spark, tuple(replace(r, enabled=r.id != "E-REQ") for r in some)), docs, lines, titles)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("result") == "fail").cast("int")).alias("exit_code"))
+
+
+RULE_ENABLED = """
+SELECT l_orderkey AS doc_id, CAST(1 AS BIGINT) AS n, CAST(count(DISTINCT l_quantity) = 1 AND min(l_quantity) > 45 AS INTEGER) AS exit_code FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY l_orderkey"""
+
+
+def rule_overdue(spark, d):
+    x = t(spark, d, "orders").selectExpr("CAST(o_orderkey AS STRING) AS id", "CASE WHEN o_orderkey % 7 = 0 THEN 'soon' ELSE date_format(add_months(CAST(o_orderdate AS DATE), 12), 'yyyy-MM-dd') END AS next_review")
+    return R.overdue(x, "1996-06-01")
 
 
-RULE_INVENTORY = """
-SELECT check_type, severity, CAST(n AS BIGINT) AS n FROM (VALUES ('required', 'error', 9), ('threshold_max', 'error', 2), ('threshold_max', 'warning', 2), ('conditional_program', 'error', 4), ('within_range', 'error', 2),
-  ('within_range', 'warning', 1), ('enum', 'error', 1), ('enum', 'warning', 2), ('checklist_section', 'error', 3), ('threshold_min', 'error', 1), ('threshold_min', 'warning', 2)) AS v(check_type, severity, n)"""
+RULE_OVERDUE = """
+SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(CAST(o_orderdate AS DATE) + INTERVAL 12 MONTH AS DATE) AS next_review FROM orders WHERE o_orderkey % 7 <> 0 AND CAST(o_orderdate AS DATE) + INTERVAL 12 MONTH < DATE '1996-06-01'"""

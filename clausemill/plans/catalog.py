@@ -8,10 +8,10 @@ from clausemill.plans import bindings as B
 
 #: Queries whose SQL has their name in capitals.
 NAMES = (
-    "lines_offsets", "numbered_lines", "heading_levels", "section_paths", "fold_normalize", "param_cards", "param_discarded", "text_param_first", "cards_unpivot",
-    "rule_skipped", "findings_summary", "verdict_counts", "missing_params", "findings_order", "tokens_tf", "cjk_bigrams", "cosine_topk", "threshold_match", "ask_route", "embedding_cosine",
-    "pii_hits", "pii_by_kind", "pii_conversations", "crlf_docs", "gap_candidates", "gap_validate", "eval_prf", "detection_rate", "false_positives",
-    "corpus_prf", "corpus_detection", "corpus_false_positives", "inventory_by_category", "json_value_variant", "log_resume", "rule_inventory",
+    "lines_offsets", "numbered_lines", "heading_levels", "section_paths", "fold_normalize", "param_cards", "param_discarded", "param_guards", "lines_scanned", "text_param_first", "cards_unpivot",
+    "rule_skipped", "findings_summary", "verdict_counts", "missing_params", "findings_order", "tokens_tf", "cjk_bigrams", "cosine_topk", "threshold_match", "ask_route", "search_order", "embedding_cosine",
+    "pii_hits", "pii_by_kind", "pii_conversations", "crlf_docs", "commit_hits", "gap_candidates", "gap_validate", "gap_cards", "gap_prompts", "eval_prf", "eval_close", "detection_rate", "false_positives",
+    "corpus_prf", "corpus_detection", "corpus_false_positives", "inventory_by_category", "json_value_variant", "log_resume", "rule_inventory", "rule_violations", "rule_enabled", "rule_overdue",
 )
 CHECKS = {
     "rule_required": (("E-REQ",), B.RULE_REQUIRED),
