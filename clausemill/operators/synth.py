@@ -215,11 +215,12 @@ def expected(spec: DataFrame, formwork: bool = False) -> DataFrame:
     """doc_id, inj_no, type, rule_id, result: the findings that the defects must give.
 
     Two defects that touch the same parameter hide one another: a second value beside an excess makes
-    the check manual, and an excess drops the second height.
+    the check manual, an excess drops the second height, and a wrong unit drops the spacing.
     """
     rows = spec.select("doc_id", F.posexplode("defects").alias("inj_no", "type"), "defects")
     if formwork:
         rows = rows.where(~((F.col("type") == "multi_height") & F.array_contains("defects", F.lit("over_height"))))
+        rows = rows.where(~((F.col("type") == "low_spacing") & F.array_contains("defects", F.lit("unit_error"))))
     else:
         rows = rows.where(~((F.col("type") == "over_disp") & F.array_contains("defects", F.lit("multi_disp"))))
     key = F.when(F.col("type").isin("unit_error", "missing_section"), F.concat(F.lit("fs:" if formwork else ""), F.col("type"))).otherwise(F.col("type"))
@@ -227,3 +228,24 @@ def expected(spec: DataFrame, formwork: bool = False) -> DataFrame:
     for k, v in EXPECTED.items():
         pairs = F.when(key == k, F.array(*[F.struct(F.lit(r).alias("rule_id"), F.lit(x).alias("result")) for r, x in v])).otherwise(pairs)
     return rows.select("doc_id", "inj_no", "type", F.explode(pairs).alias("_p")).select("doc_id", "inj_no", "type", "_p.*")
+
+
+def truth_files(spec: DataFrame, formwork: bool = False, seed: int = 2026) -> DataFrame:
+    """file, value: each plan's truth as JSON, as :func:`clausemill.sources.files.truth` reads it."""
+    said = F.coalesce("txt", F.regexp_replace(F.col("num").cast("string"), r"\.0$", ""))
+    cards = truth(spec, formwork).groupBy("doc_id", "param").agg(F.array_sort(F.collect_list(said)).alias("v"))
+    cards = cards.groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("param", "v")))).alias("expected_cards"))
+    pair = F.struct("rule_id", "result")
+    wrong = F.col("said_spacing") if formwork else F.col("said_depth")
+    found = expected(spec, formwork).groupBy("doc_id", "inj_no", "type").agg(F.collect_list(pair).alias("_p")).join(spec.select("doc_id", _number(wrong).alias("_said")), "doc_id")
+    main = F.coalesce(F.try_element_at(F.filter("_p", lambda x: x["rule_id"].isin(*[v[0][0] for v in EXPECTED.values()])), F.lit(1)), F.col("_p")[0])
+    detail = F.when(F.col("type") == "unit_error", F.concat(F.lit("误写为"), "_said", F.lit("m"))).otherwise(F.col("type"))
+    each = F.struct("inj_no", "type", detail.alias("detail"), main.alias("expect"), F.filter("_p", lambda x: x != main).alias("also_expect"))
+    injections = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(each)).alias("_i"))
+    x = spec.select("doc_id", "number").join(cards, "doc_id").join(injections, "doc_id", "left")
+    file = F.concat(F.lit("fs_" if formwork else "gen_"), "number", F.lit(".docx"))
+    listed = F.coalesce(F.transform("_i", lambda r: r.dropFields("inj_no")), F.slice(F.transform("_i", lambda r: r.dropFields("inj_no")), 1, 0))
+    value = F.struct(
+        file.alias("file"), F.lit("formwork_support" if formwork else "deep_pit").alias("category"), F.lit(seed).alias("seed"), F.lit(FORMWORK_TITLE if formwork else PIT_TITLE).alias("title"), "expected_cards", listed.alias("injected")
+    )
+    return x.select(file.alias("file"), F.to_json(value).alias("value"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from clausemill.functions import text as T
-from clausemill.operators import evaluate as E, extract, gapfill, knowledge as K, report, rules as R, scan, segment
+from clausemill.operators import evaluate as E, extract, gapfill, knowledge as K, report, rules as R, scan, segment, synth
 from clausemill.plans import benchmark, review as V
 from clausemill.sources import model, tables
 from clausemill.sources.tables import Rule
@@ -214,6 +214,15 @@ def test_labelled_plans(spark, tmp_path):
     assert json.loads((tmp_path / "results.json").read_text())["gates"] == {"detection": True, "f1": True, "false_positives": True}
 
 
+def test_truth_files_round_trip(spark, tmp_path):
+    """Plans' truth written as JSON and read again gives plans with the same review."""
+    for formwork, n in ((False, 10), (True, 5)):
+        for r in synth.truth_files(synth.specs(spark, n, formwork), formwork).collect():
+            (tmp_path / f"{r['file']}.truth.json").write_text(r["value"])
+    result = benchmark.run(spark, benchmark.labelled(spark, str(tmp_path)))
+    assert all(result["gates"].values()) and result["values"]["fn"] == 0 and result["detection"]["total"] > 20
+
+
 def test_model_fills_gaps(spark):
     """A model's answers fill what is missing; its failures leave a document to the rules, with the reason."""
     docs = spark.createDataFrame([(1, "a.txt"), (2, "b.txt"), (3, "c.txt")], "doc_id long, name string")
