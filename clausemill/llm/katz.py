@@ -326,11 +326,12 @@ class Chunk:
         rank = np.empty(m, np.int64)
         rank[by] = np.arange(m)
         self.salts = self.seen // max(self.p.most // 4, 1) + 1
-        salt = _salt(self.word_ids[self.word], self.salts[self.context])
-        bucket = _bucket([x[self.context] for x in self.ids], salt, n)
-        order = np.argsort(_joint((bucket, rank[self.context], self.word)))
-        edges = np.searchsorted(bucket[order], np.arange(n + 1))
-        dealt = np.unique(self.context[self.salts[self.context] > 1])
+        known = np.nonzero(self.seen[self.context] > 0)[0]  # after a context that was never seen nothing was: the lower order decides
+        context, word = self.context[known], self.word[known]
+        bucket = _bucket([x[context] for x in self.ids], _salt(self.word_ids[word], self.salts[context]), n)
+        by_bucket = np.argsort(_joint((bucket, rank[context], word)))
+        order, edges = known[by_bucket], np.searchsorted(bucket[by_bucket], np.arange(n + 1))
+        dealt = np.unique(context[self.salts[context] > 1])
         times = self.salts[dealt]
         owner = np.repeat(dealt, times)
         salt = np.arange(len(owner)) - np.repeat(times.cumsum() - times, times)
