@@ -44,7 +44,12 @@ SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "
 EXCEPTIONS = ("trash can", "trash bin", "trash collection", "clown fish", "stupid simple", "idiot proof", "idiot light", "scum of the pond")
 
 _SIGN = re.compile(r"(?<=[^\W\d_])[01345789@$!|]+(?=[^\W\d_])|(?<![\w@$!|])[01345789@$]+(?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[0134578]+(?![\w@$!|])")
+#: A sign can only be read as a letter where one of these stands.
+_MAY = re.compile(r"[01345789@$!|][^\W\d_]|[^\W\d_][0134578]")
 _OTHER = re.compile(r"[\W\d_]+")
+_HIGH = re.compile(r"[^\x00-\x7F]+")
+#: ASCII characters other than lower-case letters, to blanks.
+_BLANKS = {i: " " for i in range(128) if not 97 <= i <= 122}
 
 
 @lru_cache(maxsize=1)
@@ -68,8 +73,12 @@ def fold(text: str | None) -> str:
     """Folded words, one blank between and at both ends."""
     t = (text or "").lower()
     if not t.isascii():
-        t = t.translate(_plain())
-    t = _SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), t)
+        t = _HIGH.sub(lambda m: m[0].translate(_plain()), t)
+    if _MAY.search(t):
+        t = _SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), t)
+    if t.isascii():
+        words = t.translate(_BLANKS).split()
+        return f" {' '.join(words)} " if words else " "
     return _OTHER.sub(" ", f" {t} ")
 
 

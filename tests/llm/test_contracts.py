@@ -422,6 +422,19 @@ def test_toxicity_folding():
     assert f("moron### $$$ x") == " moron x " and f(None) == " "
 
 
+def test_toxicity_folding_shortcuts():
+    """Texts that take a shorter way fold as by the patterns alone."""
+    def plain(text):
+        t = text.lower() if text.isascii() else text.lower().translate(toxicity._plain())
+        return toxicity._OTHER.sub(" ", f" {toxicity._SIGN.sub(lambda m: ''.join(toxicity.SIGNS[c] for c in m[0]), t)} ")
+
+    rng = np.random.default_rng(5)
+    for letters in ("aZ0 13!@$|_-.\n", "aé0 іß1!@中\u3000"):
+        for _ in range(3000):
+            text = "".join(rng.choice(list(letters), int(rng.integers(0, 14))))
+            assert toxicity.fold(text) == plain(text), repr(text)
+
+
 def test_toxicity_lexicon():
     lex = toxicity.Lexicon({" idio": 5.0, " trash ": 4.0}, model=(-3.0, 1.0, 1.0, 0.5, 1.0))
     assert lex.features("you idiots, idiotic")[0] == 10.0
