@@ -38,6 +38,8 @@ ORDER = 3
 TRUSTED = 5
 #: Tokens of a chunk (about), and training tokens of a bucket (on average), at least; tokens of an input split at most (about).
 CHUNK, BUCKET, SPLIT = 5 << 18, 1 << 20, 1 << 25
+#: Bytes of a word beyond which it isn't handled together with others.
+LONG = 1 << 10
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MIX, _MORE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: The id of the mark before a text; words have ids from 1.
@@ -120,12 +122,24 @@ class Plan:
     discount: tuple[tuple[float, ...], ...] = ()
 
 
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of whole numbers from 0, and them in that order. Numbers with their places beside them, if both fit, are sorted faster than places by numbers."""
+    bits = len(key).bit_length()
+    if len(key) and int(key.max()) < 2 ** (63 - bits):
+        packed = key.astype(np.int64) << bits
+        packed |= np.arange(len(key))
+        packed.sort()
+        return packed & ((1 << bits) - 1), packed >> bits
+    order = np.argsort(key)
+    return order, key[order]
+
+
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A place of each distinct value of ``key``, ascending, and each row's number among the values."""
-    order = np.argsort(key)
+    order, key = _sorted(key)
     new = np.empty(len(key), bool)
     new[:1] = True
-    new[1:] = key[order[1:]] != key[order[:-1]]
+    np.not_equal(key[1:], key[:-1], out=new[1:])
     where = np.empty(len(key), np.int64)
     where[order] = new.cumsum() - 1
     return order[new], where
@@ -160,10 +174,36 @@ def _salt(word: np.ndarray, salts: np.ndarray) -> np.ndarray:
         return ((word.astype(np.uint64) * _MIX) >> np.uint64(32)) % salts.astype(np.uint64)
 
 
-def _owners(words: list[bytes], n: int) -> np.ndarray:
+def _owners(lens: np.ndarray, body: np.ndarray, n: int) -> np.ndarray:
+    """Owner of each word, by a polynomial of its bytes or, if it is long, a digest; words as :func:`_pack_words` has them."""
     from xxhash import xxh64_intdigest
 
-    return np.array([xxh64_intdigest(w) % n for w in words], np.int64)
+    lens = lens.astype(np.int64)
+    ends, h = lens.cumsum(), np.empty(len(lens), np.uint64)
+    with np.errstate(over="ignore"):
+        power = np.full(LONG, _MIX).cumprod(dtype=np.uint64)
+        short = np.where(lens > LONG, 0, lens)
+        for i in range(0, len(lens), 1 << 16):  # what stands beside the bytes is eight times as large
+            j = slice(i, i + (1 << 16))
+            at = np.arange(short[j].sum()) - np.repeat(short[j].cumsum() - short[j], short[j])
+            x = (body[at + np.repeat((ends - lens)[j], short[j])] + _MORE) * power[at]
+            sums = np.append(np.uint64(0), x.cumsum(dtype=np.uint64))
+            h[j] = sums[short[j].cumsum()] - sums[short[j].cumsum() - short[j]]
+        for i in np.nonzero(lens > LONG)[0]:
+            h[i] = xxh64_intdigest(body[ends[i] - lens[i] : ends[i]].tobytes())
+        h = (h ^ (h >> np.uint64(32))) * _MORE
+        h = (h ^ (h >> np.uint64(32))) * _MIX
+        return ((h >> np.uint64(24)) % np.uint64(n)).astype(np.int64)
+
+
+def _reordered(lens: np.ndarray, body: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed words in another order."""
+    if len(lens) and int(lens.max()) > LONG:
+        words = _unpack_words(lens, body)
+        return lens[order], np.frombuffer(b"".join([words[i] for i in order]), np.uint8)
+    lens = lens.astype(np.int64)
+    own, start = lens[order], (lens.cumsum() - lens)[order]
+    return own, body[np.arange(own.sum()) + np.repeat(start - (own.cumsum() - own), own)]
 
 
 def _pack_words(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -202,7 +242,7 @@ def chunks(docs: DataFrame, most: int, learn: bool) -> DataFrame:
             id_arrow = b.column(0).type
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 ids.append(doc_id)
-                parts.append(np.array([words[w] for w in tokens(text)], np.int32))
+                parts.append(np.array(list(map(words.__getitem__, tokens(text))), np.int32))
                 size += len(parts[-1])
                 if size >= most:
                     yield chunk()
@@ -216,15 +256,18 @@ def chunks(docs: DataFrame, most: int, learn: bool) -> DataFrame:
 def _load(data: bytes) -> tuple:
     lens, held_, word_lens, body, at = blobs.unpack(data)
     lens = lens.astype(np.int64)
-    return lens, held_, _unpack_words(word_lens, body), at.astype(np.int64), np.repeat(held_ == 0, lens)
+    return lens, held_, (word_lens, body), at.astype(np.int64), np.repeat(held_ == 0, lens)
 
 
 def _ask_words(chunk: int, own: dict, n: int) -> Iterable[tuple]:
     _, _, words, at, train = _load(own["data"])
-    counts, bucket = np.bincount(at[train], minlength=len(words)), _owners(words, n)
+    counts, bucket = np.bincount(at[train], minlength=len(words[0])), _owners(*words, n)
+    order = np.argsort(bucket, kind="stable")
+    lens, body = _reordered(*words, order)
+    edges, ends = np.concatenate(([0], np.bincount(bucket, minlength=n).cumsum())), np.concatenate(([0], lens.cumsum(dtype=np.int64)))
     for b in np.unique(bucket):
-        mine = np.nonzero(bucket == b)[0] if n > 1 else np.arange(len(words))
-        yield int(b), chunk, "ask", blobs.pack(*_pack_words([words[i] for i in mine]), blobs.small(counts[mine]))
+        x, y = edges[b], edges[b + 1]
+        yield int(b), chunk, "ask", blobs.pack(blobs.small(lens[x:y]), body[ends[x] : ends[y]], blobs.small(counts[order[x:y]]))
 
 
 def _answer_words(bucket: int, got: list, p: Plan) -> Iterable[tuple]:
@@ -278,22 +321,23 @@ class Chunk:
 
     def __init__(self, own: dict, got: list, p: Plan) -> None:
         self.p, self.got = p, {(kind, b): data for b, kind, data in got}
-        self.lens, self.held, self.words, self.at, self.train = _load(own["data"])
+        self.lens, self.held, words, self.at, self.train = _load(own["data"])
+        self.n_words = len(words[0])
         self.starts = np.concatenate(([0], self.lens.cumsum()[:-1]))
-        bucket = _owners(self.words, p.n)
-        self.word_ids, self.c = np.zeros(len(self.words), np.int64), np.zeros(len(self.words), np.int64)
+        bucket = _owners(*words, p.n)
+        self.word_ids, self.c = np.zeros(self.n_words, np.int64), np.zeros(self.n_words, np.int64)
         for b in np.unique(bucket):
             ids, c = blobs.unpack(self.got["1", int(b)])
             mine = bucket == b
             self.word_ids[mine], self.c[mine] = ids, c
         self.order, self.counts = 1, self.c
-        self.texts = int(self.c[self.words.index(END)])  # training texts: each has one end
+        self.texts = int(self.c[words[0] == len(END)][0])  # training texts: each has one end, the only empty word
         self.where = self.word = self.at
         self.log = np.log10(p.unigrams.probability(self.c))
         self.ids: list[np.ndarray] = []
         self.size = np.zeros(1)
-        self.context = np.zeros(len(self.words), np.int64)
-        self.word = np.arange(len(self.words))
+        self.context = np.zeros(self.n_words, np.int64)
+        self.word = np.arange(self.n_words)
         for k in range(2, 2 + len(p.discount)):
             self.extend()
             self.learn(k)
@@ -307,7 +351,7 @@ class Chunk:
         low_context = self.context[self.where] if self.order > 1 else None
         self.ids = [np.append(self.word_ids[self.word], START)] + [np.append(x[self.context], START) for x in self.ids]
         self.seen = np.append(self.c, self.texts)
-        first, where = _distinct(before * len(self.words) + self.at)
+        first, where = _distinct(before * self.n_words + self.at)
         self.low_size = np.zeros(n + 1)
         if low_context is not None:
             self.low_size[before[first]] = self.size[low_context[first]]
@@ -322,15 +366,15 @@ class Chunk:
         has a part of its total. Those are no more than eight contexts a bucket on average and order.
         """
         n, m = self.p.n, len(self.seen)
-        by = np.argsort(_joint(self.ids))  # contexts by the ids of their words, which packs well
+        by = _sorted(_joint(self.ids))[0]  # contexts by the ids of their words, which packs well
         rank = np.empty(m, np.int64)
         rank[by] = np.arange(m)
         self.salts = self.seen // max(self.p.most // 4, 1) + 1
         known = np.nonzero(self.seen[self.context] > 0)[0]  # after a context that was never seen nothing was: the lower order decides
         context, word = self.context[known], self.word[known]
         bucket = _bucket([x[context] for x in self.ids], _salt(self.word_ids[word], self.salts[context]), n)
-        by_bucket = np.argsort(_joint((bucket, rank[context], word)))
-        order, edges = known[by_bucket], np.searchsorted(bucket[by_bucket], np.arange(n + 1))
+        order = known[_sorted(_joint((bucket, rank[context], word)))[0]]
+        edges = np.concatenate(([0], np.bincount(bucket, minlength=n).cumsum()))
         dealt = np.unique(context[self.salts[context] > 1])
         times = self.salts[dealt]
         owner = np.repeat(dealt, times)
@@ -439,7 +483,7 @@ def _answer(bucket: int, got: list, p: Plan, k: int) -> Iterable[tuple]:
 def _score(_: int, own: dict, got: list, p: Plan) -> Iterable[tuple]:
     c = Chunk(own, got, p)
     uni = p.unigrams
-    base = np.log10((c.counts + 0.5) / (uni.total + 0.5 * (uni.distinct + 1))) if uni.total else np.zeros(len(c.words))
+    base = np.log10((c.counts + 0.5) / (uni.total + 0.5 * (uni.distinct + 1))) if uni.total else np.zeros(c.n_words)
     per = lambda x: np.add.reduceat(x, c.starts).tolist()
     yield from zip(own["ids"], (c.held == 1).tolist(), c.lens.tolist(), per((c.counts[c.at] > 0).astype(np.int64)), [uni.total] * len(c.lens), per(base[c.at]), per(c.log[c.where]), strict=True)
 
@@ -452,7 +496,7 @@ def _build(docs: DataFrame, order: int, chunk: int | None, bucket: int | None, m
         most = bucket or blobs.size(n_splits, BUCKET, SPLIT)
         n = max(1, -(-(table.agg(F.sum("n")).first()[0] or 0) // most))
     else:
-        n, most = model.select("buckets", "most").first()
+        n, most = model.select("owners", "most").first()
     p, answers = Plan(n, most, learn, save), []
     of_model = lambda k: model.where(F.col("order") == k).select(F.col("bucket").alias("to"), F.lit(MODEL).cast("long").alias("from"), F.lit("ask").alias("kind"), "data")
     for k in range(1, order + 1):
@@ -480,7 +524,7 @@ def fit(docs: DataFrame, path: str, order: int = ORDER, chunk: int | None = None
     with common.scratch():
         _, p, answers = _build(docs, order, chunk, bucket, save=True)
         for k, a in enumerate(answers, 1):
-            rows = a.where(blobs.of("model")).select(F.col("to").alias("bucket"), F.lit(p.n).cast("long").alias("buckets"), F.lit(p.most).cast("long").alias("most"), F.lit(k).alias("order"), "data")
+            rows = a.where(blobs.of("model")).select(F.col("to").alias("bucket"), F.lit(p.n).cast("long").alias("owners"), F.lit(p.most).cast("long").alias("most"), F.lit(k).alias("order"), "data")
             rows.write.partitionBy("order").mode("append" if k > 1 else "overwrite").parquet(path)
 
 

@@ -812,6 +812,19 @@ def test_decontaminate(spark, docs, rows):
     assert decontaminate.clean(docs, bench.where("false")).count() == len(rows)
 
 
+def test_katz_words_have_one_owner():
+    """In any company, also words longer than are handled together; bytes stay with their words when packed ones are put in order; large and small numbers sort alike."""
+    words = [b"", b"a", b"b", b"ab", b"ba", "ñandú".encode(), b"x" * katz.LONG, b"x" * (katz.LONG + 1), b"y" * 5000, *(b"w%d" % i for i in range(5000))]
+    for some in (words, words[:7], words[::-1], words[:1]):
+        packed, order = katz._pack_words(some), np.argsort([zlib.crc32(w) for w in some])
+        assert katz._owners(*packed, 13).tolist() == [int(katz._owners(*katz._pack_words([w]), 13)[0]) for w in some]
+        assert katz._unpack_words(*katz._reordered(*packed, order)) == [some[i] for i in order]
+    assert np.bincount(katz._owners(*katz._pack_words(words), 13), minlength=13).min() > 300
+    for key in (np.array([5, 0, 5, 3]), np.array([2**61, 0, 2**61, 7]), np.array([], np.int64)):
+        order, ordered = katz._sorted(key)
+        assert ordered.tolist() == sorted(key.tolist()) == key[order].tolist()
+
+
 def brute_katz(rows, order=katz.ORDER, train=None):
     """Scores by a plain dictionary model of any order; ``train``: rows to learn from instead of those not held out."""
     held = {i: train is not None or zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows}
