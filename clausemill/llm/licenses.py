@@ -7,7 +7,8 @@ within its row: no shuffle, no join, no Python.
 A piece between two ends (line end, or . ! ? ; : before a blank) that is a known sentence is one. Notices
 are wrapped and hold such marks themselves, so pieces parted by a single line end, by ; or : or by the
 point of "v." also make up a sentence together, where the first of them isn't one; a full stop or an empty
-line always ends it. The SQL has single pieces only, and no SPDX rule.
+line always ends it. The SQL has single pieces only, of these those with a
+word of ``HINT``, and no SPDX rule.
 
 Defined cases: a null or empty text has no sentences and no licence; a sentence repeated in
 a text counts each time; of patterns that fit a sentence, and of rules that fit a place, the first listed is taken; a very long text
@@ -75,7 +76,8 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("Proprietary", ("Reserved",)),
 )
 
-#: A sentence without one of these can't be known; texts without one aren't split at all.
+#: The SQL looks only at texts and pieces with one of these. The operator has no such filter: listed sentences lack them ("dedicated to the public
+#: domain"), a line end may stand inside one, and a caller's own sentences needn't have any.
 HINT = r"(?i)licen[sc]ed?|copyright|permission|redistribution|warrant|rights reserved|spdx|mozilla public|as is|mit |released under|neither the name|without any"
 #: Sentences end at a line end, or at . ! ? ; : before white space.
 ENDS = r"\n+|[.!?;:]+[\x20\x09-\x0D]+"
@@ -132,13 +134,14 @@ MORE_RULES: tuple[tuple[str, tuple[str, ...]], ...] = tuple((name, (f"SPDX-{name
 #: Marks of ends in normalised text: of those that end every sentence, and of those that a sentence may go over.
 HARD, SOFT = "\x01", "\x02"
 _BLANK = r"[\x20\x09-\x0D]+"
+#: A run is looked at from its start only and without a group that repeats, so long runs neither take squared time nor fill the stack.
 MARKS = (
     (rf"(?<![a-z0-9])v\.{_BLANK}", f"v{SOFT}"),
-    (r"\n(?:[^a-z0-9\n\x02]*\n)+", HARD),
-    (rf"[;:]*[.!?][.!?;:]*{_BLANK}", HARD),
-    (rf"[;:]+{_BLANK}|\n", SOFT),
+    (r"\n[^a-z0-9\x02]*\n", HARD),
+    (rf"(?<![.!?;:])[;:]*[.!?][.!?;:]*{_BLANK}", HARD),
+    (rf"(?<![;:])[;:]+{_BLANK}|\n", SOFT),
     (r"[^a-z0-9\x01\x02]+", " "),
-    (r"[ \x02]*\x01[ \x01\x02]*", HARD),
+    (r"(?<![ \x02])[ \x02]*\x01[ \x01\x02]*", HARD),
     (r" *\x02[ \x02]*", SOFT),
 )
 ADDED = ("n_sentences", "sentence_ids", "licenses", "n_unmatched")
@@ -179,7 +182,7 @@ def scan(docs: DataFrame, sentences: Sequence[tuple[str, str]] = MORE_SENTENCES
     matches = F.transform(F.regexp_extract_all(marked(F.col("text")), F.lit(known_sentences(sentences)), 0), lambda s: F.translate(s, SOFT, " "))
     ids = F.filter(F.transform(matches, lambda s: sentence_id(s, sentences)), lambda x: x.isNotNull())
     none = F.lit([]).cast("array<string>")
-    found = docs.withColumn("__cm_ids", F.when(F.col("text").rlike(HINT), ids).otherwise(none))
+    found = docs.withColumn("__cm_ids", F.coalesce(ids, none))
     left = F.concat(F.lit(""), F.array_join(F.transform("__cm_ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""))
     for name, parts in rules:
         left = F.regexp_replace(left, rule_pattern(parts), f"[{name}]")

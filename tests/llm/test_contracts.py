@@ -259,6 +259,22 @@ def test_licenses_of_canonical_notices(spark, text, ids, found):
         assert (r["sentence_ids"], r["licenses"]) == (ids, found)
 
 
+def test_licenses_without_hint_words(spark):
+    """Every listed sentence counts, whatever words it has and wherever it is wrapped; so do a caller's own."""
+    texts = [
+        ("This work is dedicated to the public domain.", "CC0ref", "CC0-1.0"),
+        ("Prose.\nDistributed under CC BY 4.0.\nMore.", "CCBY4ref", "CC-BY-4.0"),
+        ("All rights\nreserved.", "Reserved", "Proprietary"),
+        ("In no event shall the authors be liable for any claim.", "Liability", ""),
+        ("x" + "\n" * 200_000 + "All rights\nreserved.", "Reserved", "Proprietary"),
+        (None, "", ""),
+    ]
+    rows = licenses.scan(spark.createDataFrame([(i, t[0]) for i, t in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["sentence_ids"], r["licenses"]) for r in rows] == [t[1:] for t in texts]
+    own = licenses.scan(spark.createDataFrame([(1, "Do what you like.")], "doc_id long, text string"), (("Free", "do what you like"),), (("Own", ("Free",)),)).first()
+    assert (own["n_sentences"], own["sentence_ids"], own["licenses"], own["n_unmatched"]) == (1, "Free", "Own", 0)
+
+
 def test_licenses_odd_rows(spark, docs, rows):
     out = licenses.scan(docs)
     assert out.count() == len(rows) and set(docs.columns) <= set(out.columns) and out.where("licenses != ''").count() == 0
